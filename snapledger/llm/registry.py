@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import importlib.util
 
-from snapledger.llm import exact_dedup, simhash
+from snapledger.llm import exact_dedup, language_id, quality_knn, simhash, token_output
 
-MODULES = (simhash, exact_dedup)
+MODULES = (language_id, token_output, simhash, quality_knn, exact_dedup)
 
 
 def queries() -> dict:
