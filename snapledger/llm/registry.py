@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import importlib.util
 
-from snapledger.llm import decontaminate, exact_dedup, language_id, quality_knn, simhash, token_output
+from snapledger.llm import decontaminate, exact_dedup, language_id, lm_scoring, mixing, quality_knn, simhash, token_output
 
-MODULES = (decontaminate, language_id, token_output, simhash, quality_knn, exact_dedup)
+MODULES = (decontaminate, language_id, token_output, simhash, mixing, quality_knn, exact_dedup, lm_scoring)
 
 
 def queries() -> dict:
