@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import importlib.util
 
-from snapledger.llm import decontaminate, exact_dedup, language_id, lm_scoring, mixing, quality_knn, simhash, token_output
+from snapledger.llm import decontaminate, exact_dedup, html_main, language_id, lm_scoring, mixing, quality_knn, simhash, token_output, warc
 
-MODULES = (decontaminate, language_id, token_output, simhash, mixing, quality_knn, exact_dedup, lm_scoring)
+MODULES = (
+    decontaminate, language_id, token_output, simhash, warc, mixing, quality_knn, exact_dedup, html_main, lm_scoring,
+)
 
 
 def queries() -> dict:
