@@ -77,29 +77,32 @@ def fit_classifier(
     return priors, likely
 
 
-def posteriors(bucket_list: Column, n: Column, priors: list[float], likely: list[float]) -> Column:
-    """Array of the domains' posteriors: word evidence is scaled by the root of the length, which keeps it soft."""
-    k = len(priors)
-    table_ = numbers(likely)
-    zero = F.struct(*(F.lit(0.0).alias(f"s{i}") for i in range(k)))
-    sums = F.aggregate(
-        bucket_list,
-        zero,
-        lambda acc, b: F.struct(*((acc[f"s{i}"] + F.get(table_, b * k + i)).alias(f"s{i}") for i in range(k))),
-    )
-    logs = F.array(*(sums[f"s{i}"] / F.sqrt(F.greatest(n, F.lit(1))) + priors[i] for i in range(k)))
-    raised = F.transform(logs, lambda x: F.exp(x - F.array_max(logs)))
-    total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(raised, lambda x: x / total)
-
-
 def with_posteriors(docs: DataFrame, domains: DataFrame, names: list[str], id_col: str, text_col: str) -> DataFrame:
-    """docs with _n (words) and _p (posteriors, in the order of names)."""
+    """docs with _n (words) and _p (posteriors, in the order of names).
+
+    The evidence of the words is divided by the root of their number, which keeps memberships soft. Each step is a
+    column of its own: an expression that is used twice would run twice.
+    """
     model = fit_classifier(docs, domains, names, id_col, text_col)
+    k = len(names)
     rows = docs.withColumn("_b", F.transform(words(text_col), bucket)).withColumn("_n", F.size("_b").cast("double"))
     if model is None:
-        return rows.withColumn("_p", numbers([1 / len(names)] * len(names))).drop("_b")
-    return rows.withColumn("_p", posteriors(F.col("_b"), F.col("_n"), *model)).drop("_b")
+        return rows.withColumn("_p", numbers([1 / k] * k)).drop("_b")
+    priors, likely = model
+    by_domain = [numbers(likely[i::k]) for i in range(k)]
+    added = F.aggregate(
+        "_b",
+        F.struct(*(F.lit(0.0).alias(f"s{i}") for i in range(k))),
+        lambda acc, b: F.struct(*((acc[f"s{i}"] + F.get(by_domain[i], b)).alias(f"s{i}") for i in range(k))),
+    )
+    logs = F.array(*(F.col("_s")[f"s{i}"] / F.sqrt(F.greatest("_n", F.lit(1.0))) + priors[i] for i in range(k)))
+    return (
+        rows.withColumn("_s", added)
+        .withColumn("_l", logs)
+        .withColumn("_e", F.transform("_l", lambda x: F.exp(x - F.array_max("_l"))))
+        .withColumn("_p", F.transform("_e", lambda x: x / F.aggregate("_e", F.lit(0.0), lambda a, y: a + y)))
+        .drop("_b", "_s", "_l", "_e")
+    )
 
 
 def fit_rates(known: DataFrame, targets: list[float], total: float | None = None) -> Column:
