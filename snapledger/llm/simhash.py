@@ -54,6 +54,12 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], ["_id", "fp"])
 
 
+def _with_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        found = np.array([fingerprint(x.as_py()) for x in b.column(1)], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64()), b.column(2)], ["_id", "fp", "_row"])
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_id and fp (the fingerprint as a signed long) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -215,6 +221,17 @@ def fingerprint_links(distinct: DataFrame, tree_size: int = TREE) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_links, "a bigint, b bigint")
 
 
+def classes_of(fps: DataFrame) -> DataFrame:
+    """fp, component and component_id (smallest _id of the component) of the distinct fingerprints of fps (_id, fp)."""
+    nodes = stored(fps.groupBy("fp").agg(F.min("_id").alias("root")), "simhash-nodes")
+    links = connected_components(fingerprint_links(nodes.select("fp")))
+    member = nodes.join(links.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn(
+        "component", F.coalesce("component", "fp")
+    )
+    smallest = member.groupBy("component").agg(F.min("root").alias("component_id"))
+    return member.join(smallest, "component").select("fp", "component", "component_id")
+
+
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, fingerprint (16 hex digits), component_id (smallest id it can reach).
 
@@ -223,17 +240,27 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id unless a class has no other. An empty table gives an empty result.
     """
     fps = stored(fingerprints(docs, id_col, text_col), "simhash")
-    nodes = stored(fps.groupBy("fp").agg(F.min("_id").alias("root")), "simhash-nodes")
-    links = connected_components(fingerprint_links(nodes.select("fp")))
-    member = nodes.join(links.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn(
-        "component", F.coalesce("component", "fp")
-    )
-    smallest = member.groupBy("component").agg(F.min("root").alias("component_id"))
-    return fps.join(member.join(smallest, "component").select("fp", "component_id"), "fp").select(
+    return fps.join(classes_of(fps).drop("component"), "fp").select(
         F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
+def near_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, one for each component: that with the smallest id. Their columns stay as they are.
+
+    Of rows with that id one stays; a row without an id stays only where no row of the component has one.
+    """
+    row = F.struct(*docs.columns).alias("_row")
+    found = stored(
+        docs.select(F.col(id_col).alias("_id"), full_text(text_col).alias("_text"), row).mapInArrow(
+            _with_fingerprints, docs.select(F.col(id_col).alias("_id"), F.lit(0).cast("bigint").alias("fp"), row).schema
+        ),
+        "simhash-rows",
+    )
+    smallest = found.join(classes_of(found.select("_id", "fp")), "fp").where(F.col("_id").eqNullSafe(F.col("component_id")))
+    return smallest.dropDuplicates(["component"]).select("_row.*")
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_classes(table(spark, sf_dir, "documents"))
 
