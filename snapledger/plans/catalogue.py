@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from snapledger.plans import feed_queries, state_queries
+
+MODULES = (feed_queries, state_queries)
 FLAGSHIP = "feed_recent"
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
+ORACLE = {k: s for m in MODULES for k, s in m.ORACLE.items()}
