@@ -184,8 +184,9 @@ def identify(
 
 def known_language(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
     """The rows of docs whose text has a language that the classifier knows; their columns stay as they are."""
-    found = identify(docs, keep=docs.columns)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*docs.columns)
+    rows = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("_row"))
+    found = identify(rows, keep=["_row"])
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("_row.*")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
