@@ -25,7 +25,7 @@ END_ID = 2
 #: Bytes of text that go to a shard, on average.
 SHARD_BYTES = 16 << 20
 #: Pieces that a worker remembers, and characters of the longest of them.
-CACHE, PIECE = 900_000, 48
+CACHE, PIECE = 1_000_000, 48
 
 _SPLIT = re.compile(r" (?=\S)")
 _encoders: dict[str, Encoder] = {}
@@ -53,45 +53,41 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.widths[i] = len(token)
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces, each with its space before it: encoded as one text, cut where the bytes of the ids say."""
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that no token crosses: encoded as one text, cut where the bytes of the ids say."""
         if not pieces:
             return []
-        ids = self.tokenizer.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)[0].ids
+        ids = self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids
         ids = np.array(ids, self.kind)
-        ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
+        ends = np.cumsum([len(p.encode()) for p in pieces])
         reached = np.cumsum(self.widths[ids])
         cut = np.searchsorted(reached, ends)
-        if reached[-1] != ends[-1] or (reached[cut] != ends).any():
-            return self._bytes([f" {p}" for p in pieces])
+        if reached[-1:].sum() != ends[-1] or (reached[cut] != ends).any():
+            found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+            return [np.array(e.ids, self.kind).tobytes() for e in found]
         data, step = ids.tobytes(), ids.itemsize
         cut = ((cut + 1) * step).tolist()
         return [data[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
 
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, self.kind).tobytes() for e in found]
-
     def encode(self, text: str) -> bytes:
-        pieces = text.split(" ")
-        head, tail = pieces[0], pieces[1:]
-        try:
-            return b"".join([*self._bytes([head] if head else []), *map(self.known.__getitem__, tail)])
-        except KeyError:
-            pass
-        new = {p for p in tail if p not in self.known}
-        if any(not p or p[0].isspace() for p in new):
+        """The ids of a text, as bytes of the encoder's kind of number."""
+        head, *tail = text.split(" ")
+        new = set(tail).difference(self.known)
+        if "" in new or any(map(str.isspace, {p[0] for p in new})):
             head, *tail = _SPLIT.split(text)
-            new = {p for p in tail if p not in self.known}
+            new = set(tail).difference(self.known)
         if len(self.known) + len(new) > CACHE:
             self.known.clear()
             new = set(tail)
-        asked = list(new)
-        ids = dict(zip(asked, self._pieces(asked), strict=True))
-        self.known.update((p, x) for p, x in ids.items() if len(p) <= PIECE)
-        known = self.known
-        body = [ids[p] if p in ids else known[p] for p in tail]
-        return b"".join([*self._bytes([head] if head else []), *body])
+        new = list(new)
+        first = [head] if head else []
+        ids = self._ids(first + [f" {p}" for p in new])
+        self.known.update(zip(new, ids[len(first) :], strict=True))
+        out = b"".join([*ids[: len(first)], *map(self.known.__getitem__, tail)])
+        for p in new:
+            if len(p) > PIECE:
+                del self.known[p]
+        return out
 
 
 def encoder(path: str) -> Encoder:
