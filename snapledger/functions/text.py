@@ -61,7 +61,7 @@ def first_non_empty(*columns: Column) -> Column:
 
 def compact_list(c: Column) -> Column:
     """Trimmed, non-empty, distinct without regard to case; the first spelling and the order stay."""
-    trimmed = F.filter(F.transform(c, F.trim), lambda x: x != "")
+    trimmed = F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != "")
     return F.filter(trimmed, lambda x, i: F.array_position(F.transform(trimmed, F.lower), F.lower(x)) == i + 1)
 
 
@@ -71,9 +71,9 @@ def truncate_bytes(c: Column, limit: int) -> Column:
         return F.when(c.isNotNull(), F.lit(""))
     raw = c.cast("binary")
     cut = F.substring(raw, 1, limit).cast("string")
-    whole = F.regexp_replace(F.try_validate_utf8(cut), "$^", "")
+    whole = F.try_validate_utf8(cut)
     shorter = [F.try_validate_utf8(F.substring(raw, 1, limit - k).cast("string")) for k in range(1, 4) if limit > k]
-    return F.when(F.octet_length(c) <= limit, c).otherwise(F.coalesce(whole, *shorter, F.lit("")))
+    return F.when(c.isNull() | (F.octet_length(c) <= limit), c).otherwise(F.coalesce(whole, *shorter, F.lit("")))
 
 
 def ellipsis(c: Column, limit: int = 72) -> Column:
