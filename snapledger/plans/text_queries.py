@@ -48,6 +48,13 @@ def identity_keys(spark, sf_dir):
     return o.select("seq", F.array_join(keys, "\n").alias("keys"), identity.stable_id(keys).alias("id"))
 
 
+def identity_resolution(spark, sf_dir):
+    """Jobs of the observations, every other one without a native id; too order-dependent for SQL, tested against fixtures."""
+    o = D.observations(spark, sf_dir).withColumn("source_native_id", F.when(F.col("seq") % 2 == 0, F.col("source_native_id")).otherwise(""))
+    found = identity.resolve(o, url.canonical_url_plain(F.col("apply_url")), ["observed_at", "seq"])
+    return found.select("seq", "job_id")
+
+
 def canonical_url(spark, sf_dir):
     return D.table(spark, sf_dir, "pages").select("page_id", url.canonical_url(F.col("url")).alias("url"))
 
@@ -128,7 +135,7 @@ def html_meta(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        canonical_text, padded_text, feed_text, company_key, phrase_match, stable_ids, identity_keys, canonical_url, same_site, path_segments, route_classify,
+        canonical_text, padded_text, feed_text, company_key, phrase_match, stable_ids, identity_keys, identity_resolution, canonical_url, same_site, path_segments, route_classify,
         track_category, level_family, countries, source_authority, failure_classes, parse_times, stale_years, tags_contains, json_props, html_meta,
     )
 }
