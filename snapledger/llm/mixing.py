@@ -20,13 +20,13 @@ from snapledger.llm.common import SPACES, discard, full_text, stored, table
 FIT_ROWS, BUCKETS = 6000, 8192
 #: Steps at most, and the largest miss, as a share of all tokens wanted, at which they end.
 STEPS, TOLERANCE = 40, 1e-6
-TARGETS = {"good": 0.94, "low": 0.05, "toxic": 0.01}
+TARGETS = {"good": 0.97, "low": 0.03}
 
 
 def quality_domains(labels: DataFrame) -> DataFrame:
-    """doc_id and domain of the labelled rows: toxic, else low or good by quality. Rows with a null label are left out."""
+    """doc_id and domain of the labelled rows: good, or low where quality is bad or the text toxic. Rows with a null label are left out."""
     return labels.where("quality IS NOT NULL AND toxic IS NOT NULL").select(
-        "doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("low").alias("domain")
+        "doc_id", F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "good").otherwise("low").alias("domain")
     )
 
 
@@ -111,8 +111,8 @@ def fit_rates(known: DataFrame, targets: list[float], total: float | None = None
     Minimises the squared misses (expected tokens - target) over rates of zero or more, from a start of one. The misses are
     weighted by the inverse of the moment matrix of the rows whose rate is above zero; that makes the gradient's
     Lipschitz constant one over those rows, however soft the posteriors are. `total` is the number of tokens wanted; None
-    asks for the largest mixture in which no domain has to be repeated. Domains without tokens are out of reach, and the
-    others share their weight.
+    keeps the tokens of the domain of the largest weight as they are. Domains without tokens are out of reach, and the others
+    share their weight.
     """
     k = len(targets)
     p = [F.col("_p")[i] for i in range(k)]
@@ -126,7 +126,8 @@ def fit_rates(known: DataFrame, targets: list[float], total: float | None = None
         return F.lit(1.0)
     weight = [w / sum(weight) for w in weight]
     if total is None:
-        total = min(m / w for m, w in zip(present, weight, strict=True) if w > 0)
+        main = weight.index(max(weight))
+        total = present[main] / weight[main]
     wanted = [total * w for w in weight]
     squares = np.reshape(moments[k:], (k, k))
     rate = F.lit(1.0)

@@ -24,8 +24,8 @@ from snapledger.llm.wavelet import Shard, WaveletMatrix, dump
 END_ID = 2
 #: Bytes of text that go to a shard, on average.
 SHARD_BYTES = 16 << 20
-#: Pieces that a worker remembers, and characters of the longest of them.
-CACHE, PIECE = 1_000_000, 48
+#: Pieces that a worker remembers (in each of two generations), and characters of the longest of them.
+CACHE, PIECE = 200_000, 48
 
 _SPLIT = re.compile(r" (?=\S)")
 _encoders: dict[str, Encoder] = {}
@@ -48,6 +48,7 @@ class Encoder:
         self.bits = (size - 1).bit_length()
         self.kind = np.uint16 if self.bits <= 16 else np.uint32
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         #: Bytes of text that each id stands for: byte-level tokens have a character for each byte.
         self.widths = np.zeros(size, np.int64)
         for token, i in self.tokenizer.get_vocab().items():
@@ -77,8 +78,11 @@ class Encoder:
             head, *tail = _SPLIT.split(text)
             new = set(tail).difference(self.known)
         if len(self.known) + len(new) > CACHE:
-            self.known.clear()
+            self.known, self.older = {}, self.known
             new = set(tail)
+        if again := {p for p in new if p in self.older}:
+            self.known.update((p, self.older[p]) for p in again)
+            new -= again
         new = list(new)
         first = [head] if head else []
         ids = self._ids(first + [f" {p}" for p in new])
