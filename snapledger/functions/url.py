@@ -27,33 +27,44 @@ def host(url: Column) -> Column:
     return F.lower(part(url, "HOST"))
 
 
+_PARTS = "^([A-Za-z]+)://([A-Za-z0-9.-]+)(?::([0-9]+))?(/[^?#]*)?(?:\\?([^#]*))?"
+
+
+def _with(value: Column, body) -> Column:
+    """body of a value that is computed once: an expression that is used twice would run twice."""
+    return F.transform(F.array(value), body)[0]
+
+
 def canonical_url_plain(url: Column) -> Column:
     """canonical_url of URLs that match _PLAIN, as built-in expressions; null for others."""
-    u = F.trim(url)
-    scheme = F.lower(F.regexp_extract(u, "^([A-Za-z]+)://", 1))
-    name = F.lower(F.regexp_extract(u, "^[A-Za-z]+://([A-Za-z0-9.-]+)", 1))
-    board = name.isin(*BOARD_HOSTS)
-    scheme = F.when(board, F.lit("https")).otherwise(scheme)
-    name = F.when(board, F.lit(BOARD_HOSTS[1])).otherwise(name)
-    port = F.regexp_extract(u, "^[A-Za-z]+://[A-Za-z0-9.-]+:([0-9]+)", 1)
-    usual = ((scheme == "https") & (port == "443")) | ((scheme == "http") & (port == "80")) | (port == "")
-    path = F.regexp_extract(u, "^[A-Za-z]+://[^/?#]+(/[^?#]*)", 1)
-    path = F.when(F.length(path) > 1, F.regexp_replace(path, "/$", "")).otherwise("/")
-    query = F.regexp_extract(u, "^[^?#]+\\?([^#]*)", 1)
-    pairs = F.transform(
-        F.filter(F.split(query, "&"), lambda p: p != ""),
-        lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.regexp_replace(p, "^[^=]*=?", "").alias("v")),
-    )
-    kept = F.filter(
-        pairs,
-        lambda p: ~(F.lower(p["k"]).isin(*TRACKING_KEYS) | F.lower(p["k"]).startswith("utm_") | (board & (p["k"] == BOARD_ID_KEY))),
-    )
-    text = F.array_join(F.transform(F.array_sort(kept), lambda p: F.concat_ws("=", p["k"], p["v"])), "&")
-    whole = F.concat(
-        scheme, F.lit("://"), name, F.when(usual, "").otherwise(F.concat(F.lit(":"), port)), path,
-        F.when(text == "", "").otherwise(F.concat(F.lit("?"), text)),
-    )
-    return F.when(u.rlike(_PLAIN), F.when(scheme.isin("http", "https"), F.regexp_replace(whole, "/$", "")).otherwise(""))
+
+    def split(u: Column) -> Column:
+        group = lambda i: F.regexp_extract(u, _PARTS, i)
+        parts = F.struct(
+            F.lower(group(1)).alias("scheme"), F.lower(group(2)).alias("host"), group(3).alias("port"), group(4).alias("path"), group(5).alias("query"),
+            F.lower(group(2)).isin(*BOARD_HOSTS).alias("board"),
+        )
+        return F.when(u.rlike(_PLAIN), _with(parts, join))
+
+    def join(p: Column) -> Column:
+        scheme = F.when(p["board"], F.lit("https")).otherwise(p["scheme"])
+        host = F.when(p["board"], F.lit(BOARD_HOSTS[1])).otherwise(p["host"])
+        usual = (p["port"] == "") | ((scheme == "https") & (p["port"] == "443")) | ((scheme == "http") & (p["port"] == "80"))
+        path = F.when(F.length(p["path"]) > 1, F.regexp_replace(p["path"], "/$", "")).otherwise("/")
+        pairs = F.transform(
+            F.filter(F.split(p["query"], "&"), lambda x: x != ""),
+            lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.regexp_replace(x, "^[^=]*=?", "").alias("v")),
+        )
+        kept = F.filter(
+            pairs,
+            lambda x: ~(F.lower(x["k"]).isin(*TRACKING_KEYS) | F.lower(x["k"]).startswith("utm_") | (p["board"] & (x["k"] == BOARD_ID_KEY))),
+        )
+        query = F.array_join(F.transform(F.array_sort(kept), lambda x: F.concat_ws("=", x["k"], x["v"])), "&")
+        tail = _with(query, lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+        whole = F.concat(scheme, F.lit("://"), host, F.when(usual, "").otherwise(F.concat(F.lit(":"), p["port"])), path, tail)
+        return F.when(scheme.isin("http", "https"), F.regexp_replace(whole, "/$", "")).otherwise("")
+
+    return _with(F.trim(url), split)
 
 
 def _canonical(url: str) -> str:
@@ -103,8 +114,8 @@ def canonical_url(url: Column) -> Column:
     escapes of the path stay, in upper case. Plain URLs never leave the JVM's expressions; the others go through one Arrow
     UDF.
     """
-    plain = canonical_url_plain(url)
-    return F.coalesce(plain, _canonical_udf(F.when(plain.isNull(), url)), F.lit(""))
+    odd = F.when(~F.trim(url).rlike(_PLAIN), url)
+    return F.coalesce(canonical_url_plain(url), _canonical_udf(odd), F.lit(""))
 
 
 def path_segments(url: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from snapledger.functions.text import canonical_text, company_key, digest_prefix, in_feed_text, feed_text
 from snapledger.operators.components import connected_components
+from snapledger.scratch import stored
 
 # Form of a requisition id in a URL.
 UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
@@ -149,6 +150,7 @@ def resolve(observations: DataFrame, canonical: Column, order: list[str], replay
     rows = observations.withColumn("_url", canonical).withColumn("keys", identity_keys(F.col("_url"))).drop("_url").withColumn("company_id", company_key(F.col("company"))).withColumn(
         "native", F.when(F.element_at("keys", 1).startswith("native:"), F.element_at("keys", 1))
     )
+    rows = stored(rows, "identity")
     bad = rows.where("keys IS NULL").drop("company_id", "native").withColumn("job_id", F.lit(None).cast("string"))
     good = blocks(rows.where("keys IS NOT NULL"))
     schema = good.drop("company_id", "native", "block").withColumn("job_id", F.lit("")).schema
