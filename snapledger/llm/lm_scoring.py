@@ -20,8 +20,8 @@ from snapledger.llm.common import full_text, stored, table
 
 #: Words of the longest n-gram, weight of a step back, and count from which a longer n-gram counts as seen.
 ORDER, BACKOFF, SEEN = 2, 0.4, 2
-BLOCK_BYTES = 16 << 20
-CACHE = 300_000
+BLOCK_BYTES = 8 << 20
+CACHE = 400_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _known: dict[bytes, int] = {}
