@@ -23,9 +23,9 @@ from snapledger.llm.wavelet import Shard, WaveletMatrix, dump
 
 END_ID = 2
 #: Bytes of text that go to a shard, on average.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 #: Pieces that a worker remembers (in each of two generations), and characters of the longest of them.
-CACHE, PIECE = 200_000, 48
+CACHE, PIECE = 450_000, 48
 
 _SPLIT = re.compile(r" (?=\S)")
 _encoders: dict[str, Encoder] = {}

@@ -8,6 +8,7 @@ ones before every 512th bit, which gives rank in constant time and select by a s
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import zstandard
@@ -16,6 +17,7 @@ MAGIC = b"SLWM"
 VERSION = 1
 HEAD = struct.Struct("<4sHHIQQQ")
 BLOCK = 8  # words of 64 bits
+PART = 1 << 17
 
 
 class Plane:
@@ -35,8 +37,12 @@ class Plane:
         raw[: len(packed)] = packed
         return cls(raw.view("<u8"), len(bits))
 
-    def bits(self) -> np.ndarray:
-        return np.unpackbits(self.words.view(np.uint8), bitorder="little", count=self.n).view(bool)
+    def parts(self, values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """values and the plane's bits beside them, in parts that fit a processor's cache."""
+        raw = self.words.view(np.uint8)
+        for at in range(0, self.n, PART):
+            part = values[at : at + PART]
+            yield part, np.unpackbits(raw[at // 8 :], bitorder="little", count=len(part)).view(bool)
 
     def get(self, i: np.ndarray) -> np.ndarray:
         return (self.words[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1)
@@ -72,19 +78,28 @@ class WaveletMatrix:
     def build(cls, ids: np.ndarray, bits: int) -> WaveletMatrix:
         planes, now = [], ids
         for b in range(bits - 1, -1, -1):
-            one = (now & now.dtype.type(1 << b)) != 0
-            planes.append(Plane.of(one))
-            now = np.concatenate([np.compress(~one, now), np.compress(one, now)])
+            plane = Plane.of((now & now.dtype.type(1 << b)) != 0)
+            planes.append(plane)
+            if b:
+                after, low, high = np.empty_like(now), 0, plane.zeros
+                for part, one in plane.parts(now):
+                    zeros, ones = np.compress(~one, part), np.compress(one, part)
+                    after[low : low + len(zeros)], after[high : high + len(ones)] = zeros, ones
+                    low, high = low + len(zeros), high + len(ones)
+                now = after
         return cls(planes, len(ids))
 
     def decode(self) -> np.ndarray:
         """All ids in their order."""
         now = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for b, plane in enumerate(reversed(self.planes)):
-            one = plane.bits()
-            above = np.empty_like(now)
-            above[np.flatnonzero(~one)] = now[: plane.zeros]
-            above[np.flatnonzero(one)] = now[plane.zeros :] | now.dtype.type(1 << b)
+            above, low, high = np.empty_like(now), 0, plane.zeros
+            for part, one in plane.parts(above):
+                where = np.flatnonzero(one)
+                n = len(part) - len(where)
+                part[np.flatnonzero(~one)] = now[low : low + n]
+                part[where] = now[high : high + len(where)] | now.dtype.type(1 << b)
+                low, high = low + n, high + len(where)
             now = above
         return now
 

@@ -7,14 +7,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from snapledger.llm import arc, token_output, warc
+from snapledger.llm import arc, token_output, warc, wavelet
 from snapledger.llm.common import scratch_path
 from snapledger.llm.html_main import Page, extract, main_text
 from snapledger.llm.wavelet import Shard, WaveletMatrix, dump
 
 
 @pytest.mark.parametrize("n", [0, 1, 63, 64, 511, 512, 513, 5000])
-def test_wavelet_matrix_equals_the_list(n):
+def test_wavelet_matrix_equals_the_list(n, monkeypatch):
+    monkeypatch.setattr(wavelet, "PART", 512)
     rng = np.random.default_rng(n)
     ids = rng.integers(0, 40, n).astype(np.uint16)
     s = Shard(dump(WaveletMatrix.build(ids, 6), np.arange(3), np.array([n, 0, 0]), 4) + b"\n")
