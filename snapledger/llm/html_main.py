@@ -28,7 +28,8 @@ OUTSIDE = -1.0
 
 # HTML element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script|style|noscript|template|textarea|title|select|iframe|svg|math|object|canvas|audio|video"
+RAW = "script|style|noscript|textarea|title|iframe"
+EMBEDDED = frozenset("template select svg math object canvas audio video".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form"
     " h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td"
@@ -49,10 +50,11 @@ MARKS = frozenset(
 )
 INNER = MARKS - {"header", "banner"}
 
-_ATTRIBUTES = r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+"
+#: Up to the slash that closes a tag, which is no part of an attribute, or to its end; a slash in an unquoted value is part of that.
+_ATTRIBUTES = r"(?:=\s*+[^\s>\"']*+|[^>\"'=/]++|/(?!>)|\"[^\"]*+\"|'[^']*+')*+"
 _PIECE = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b{_ATTRIBUTES}(?:/>|>.*?(?:</\1\s*+>|\Z))|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})>"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)|([^<]++)|<",
+    rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>]){_ATTRIBUTES}(?:/>|>.*?(?:</\1(?=[\s/>])[^>]*+(?:>|\Z)|\Z))"
+    rf"|<(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES}/?)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)|([^<]++)|<",
     re.S | re.I,
 )
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -82,17 +84,22 @@ class Page:
             if closing:
                 for k in range(len(stack) - 1, 0, -1):
                     if self.names[stack[k]] == name:
-                        self._close(stack, k)
+                        if name in EMBEDDED:
+                            self._drop(stack, k)
+                        else:
+                            self._close(stack, k)
                         break
-                self.pieces.append((stack[-1], name, None))
+                if name not in EMBEDDED:
+                    self.pieces.append((stack[-1], name, None))
                 continue
             if name in BLOCK:
                 self._end(stack, "p", BLOCK - {"p"})
             if name in ENDS:
                 self._end(stack, name, frozenset(("ul", "ol", "dl", "table", "select")))
                 self._end(stack, ENDS[name], frozenset(("ul", "ol", "dl", "table", "select")))
-            self.pieces.append((stack[-1], name, None))
-            if name not in VOID:
+            if name not in EMBEDDED:
+                self.pieces.append((stack[-1], name, None))
+            if name not in VOID and not (name in ("svg", "math") and (m[4] or "").endswith("/")):
                 self.names.append(name)
                 self.attributes.append((m[4] or m[7] or "").strip())
                 self.parents.append(stack[-1])
@@ -100,6 +107,26 @@ class Page:
                 self.last.append(-1)
                 stack.append(len(self.names) - 1)
         self._close(stack, 0)
+        self._open_embedded()
+
+    def _drop(self, stack: list[int], k: int) -> None:
+        """Forget an embedded element that its own end tag closes, and all it holds."""
+        e = stack[k]
+        del self.pieces[self.first[e] :]
+        for column in (self.names, self.attributes, self.parents, self.first, self.last):
+            del column[e:]
+        del stack[k:]
+
+    def _open_embedded(self) -> None:
+        """What follows an embedded element without an end tag is text of the page: it belongs to the element around."""
+        if EMBEDDED.isdisjoint(self.names):
+            return
+        home = list(range(len(self.names)))
+        for e in range(1, len(home)):
+            self.parents[e] = home[self.parents[e]]
+            if self.names[e] in EMBEDDED:
+                home[e], self.attributes[e] = self.parents[e], ""
+        self.pieces = [(home[e], name, text) for e, name, text in self.pieces]
 
     def _close(self, stack: list[int], k: int) -> None:
         for e in stack[k:]:
@@ -112,7 +139,7 @@ class Page:
             if here == name:
                 self._close(stack, k)
                 return
-            if here in walls:
+            if here in walls or here in EMBEDDED:
                 return
 
     def main_element(self) -> int | None:

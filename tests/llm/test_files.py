@@ -161,3 +161,24 @@ def test_odd_pages(spark):
     assert {(1, "", 0), (2, "", 0), (3, "just text <b>", 13), (4, "", 0), (1, "again", 5), (6, "broken quote here", 17)} <= got
     assert (5, "a\na\na\na\na\na\na\na\na\na\n", 5999) in got
     assert extract(pages.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize(
+    "tag",
+    [
+        "<video-js>", "<svg-icon name=a></svg-icon>", "<title-bar>", "<select-menu>", "<svg/>", "<svg />", "<math/>", '<svg class="menu"/>', "<svg hidden/>",
+        "<object data=a>", '<video src="a" class="banner">', "<canvas>", "<audio hidden>", "<select>", "<template>", "<svg width=10/>", "<iframe src='a'/>", "<iframe allowfullscreen/>",
+        "<svg><title>no</title><path d='M0'/></svg>", "<object><object>no</object>no<p>no</p></object>", "<select><option>no<option>no</select>", "<iframe src=a/>no</iframe>",
+        "<video src=a><p>Your browser is too old</p></video>", "<style>no</style >", "<script>no</script x>",
+    ],
+)
+@pytest.mark.parametrize("around", ["{}", "<div>{}</div>"])
+def test_embedded_elements_do_not_cut_the_page(tag, around):
+    tag = around.format(tag)
+    page = f"<html><body>{tag}<div class=story><h1>A title</h1>{tag}<p>First paragraph of the story, with words enough.</p>{tag}<p>Second one.</p></div></body></html>"
+    assert main_text(Page(page), {}) == "A title\nFirst paragraph of the story, with words enough.\nSecond one."
+
+
+def test_raw_elements_run_to_their_end_tag():
+    for name in ("script", "style", "title", "textarea", "noscript", "iframe"):
+        assert main_text(Page(f"<p>words before it <{name} a=b/c>x </p> <svg> </{name}x> y</{name}> and after <{name}>to the end"), {}) == "words before it and after"
