@@ -8,6 +8,7 @@ one entry of each block, so no partition grows with it.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from snapledger.llm.common import full_text, stored, table
 
 #: Words of the longest n-gram, weight of a step back, and count from which a longer n-gram counts as seen.
-ORDER, BACKOFF, SEEN = 2, 0.4, 2
+ORDER, BACKOFF, SEEN = 3, 0.4, 2
 BLOCK_BYTES = 8 << 20
 CACHE = 400_000
 
@@ -27,8 +28,8 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _known: dict[bytes, int] = {}
 
 
-def _word_hashes(text: str) -> np.ndarray:
-    words = text.encode("utf-8", "surrogatepass").lower().split()
+def _word_hashes(text: bytes) -> np.ndarray:
+    words = text.lower().split()
     if len(_known) > CACHE:
         _known.clear()
     for w in set(words).difference(_known):
@@ -50,10 +51,30 @@ def ngram_hashes(words: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndar
     return value * _MIX + np.uint64(n), whole
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers byte plane by byte plane, so that the shuffle's compression takes the planes that are zero."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view("<u8").ravel()
+
+
+def _deltas(values: np.ndarray) -> np.ndarray:
+    """Sorted numbers as the first and the steps between them."""
+    out = values.copy()
+    out[1:] -= values[:-1]
+    return out
+
+
+def _each(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [unpacked(x.as_py()) for x in column]
+
+
 class Block:
     """The words of a block's documents and their n-grams."""
 
-    def __init__(self, texts: Iterator[str], order: int):
+    def __init__(self, texts: Iterator[bytes], order: int):
         found = [_word_hashes(t) for t in texts]
         self.sizes = np.array([len(x) for x in found], np.int64)
         words = np.concatenate(found) if found else np.empty(0, np.uint64)
@@ -66,8 +87,15 @@ class Block:
         return np.unique(value[whole], return_inverse=True, return_counts=True)
 
 
-def _texts(t: pa.Table) -> Iterator[str]:
-    return (x.as_py() for x in t.column("text"))
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts, the last column, compressed one by one for the shuffle."""
+    for b in batches:
+        small = [zlib.compress(x.as_py().encode("utf-8", "surrogatepass"), 1) for x in b.column(b.num_columns - 1)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(small, pa.binary())], b.schema.names)
+
+
+def _texts(t: pa.Table) -> Iterator[bytes]:
+    return (zlib.decompress(x.as_py()) for x in t.column("text"))
 
 
 def _ask(order: int, bits: int):
@@ -82,12 +110,12 @@ def _ask(order: int, bits: int):
                 a, b = edges[p], edges[p + 1]
                 parts.append(int(p))
                 orders.append(n)
-                grams.append(value[a:b].view(np.int64))
-                counts.append(count[a:b].astype(np.int32))
+                grams.append(packed(_deltas(value[a:b])))
+                counts.append(packed(count[a:b]))
         return pa.table(
             {
                 "block": pa.array([key[0].as_py()] * len(parts), pa.int64()), "part": pa.array(parts, pa.int64()), "n": pa.array(orders, pa.int32()),
-                "grams": pa.array(grams, pa.list_(pa.int64())), "counts": pa.array(counts, pa.list_(pa.int32())),
+                "grams": pa.array(grams, pa.binary()), "counts": pa.array(counts, pa.binary()),
             }
         )
 
@@ -96,12 +124,10 @@ def _ask(order: int, bits: int):
 
 def _count(t: pa.Table) -> pa.Table:
     """The counts over all blocks, in the places where each block asked for them."""
-    grams = t.column("grams").combine_chunks()
-    _, at = np.unique(grams.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-    mine = t.column("counts").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    total = np.bincount(at, mine).astype(np.int64)[at] if len(at) else np.empty(0, np.int64)
-    ends = grams.offsets.to_numpy()
-    totals = pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(total))
+    grams = [np.cumsum(x, dtype=np.uint64) for x in _each(t.column("grams"))]
+    _, at = np.unique(np.concatenate(grams), return_inverse=True)
+    total = np.bincount(at, np.concatenate(_each(t.column("counts")))).astype(np.uint64)[at]
+    totals = pa.array([packed(x) for x in np.split(total, np.cumsum([len(g) for g in grams])[:-1])], pa.binary())
     return pa.table({"block": t.column("block"), "part": t.column("part"), "n": t.column("n"), "totals": totals})
 
 
@@ -114,11 +140,11 @@ def _score(order: int, backoff: float, seen: int):
         tables: list[tuple[np.ndarray, np.ndarray]] = []
         by_n = counts.column("n").to_numpy(zero_copy_only=False) if counts.num_rows else np.empty(0)
         by_part = counts.column("part").to_numpy(zero_copy_only=False) if counts.num_rows else np.empty(0)
-        lists = counts.column("totals").combine_chunks() if counts.num_rows else None
+        lists = _each(counts.column("totals"))
         for n in range(1, order + 1):
             pick = np.flatnonzero(by_n == n)
             pick = pick[np.argsort(by_part[pick])]
-            total = lists.take(pa.array(pick)).flatten().to_numpy(zero_copy_only=False) if len(pick) else np.empty(0, np.int64)
+            total = np.concatenate([lists[k] for k in pick]).astype(np.int64) if len(pick) else np.empty(0, np.int64)
             _, at, _ = block.distinct(n)
             whole = block.grams[n - 1][1]
             count = np.zeros(n_words, np.int64)
@@ -164,12 +190,14 @@ def lm_scores(
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     bits = max(0, (2 * blocks - 1).bit_length())
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("_id", F.lit("block")), F.lit(blocks)))
+    kind = docs.schema[id_col].dataType.simpleString()
+    dealt = rows.select("_id", F.pmod(F.xxhash64("_id", F.lit("block")), F.lit(blocks)).alias("block"), "text").mapInArrow(
+        _small, f"_id {kind}, block bigint, text binary"
+    )
     asked = dealt.groupBy("block").applyInArrow(
-        _ask(order, bits), "block bigint, part bigint, n int, grams array<bigint>, counts array<int>"
+        _ask(order, bits), "block bigint, part bigint, n int, grams binary, counts binary"
     )
-    counted = asked.groupBy("part", "n").applyInArrow(_count, "block bigint, part bigint, n int, totals array<bigint>")
-    kind = docs.schema[id_col].dataType.simpleString()
+    counted = asked.groupBy("part", "n").applyInArrow(_count, "block bigint, part bigint, n int, totals binary")
     scored = stored(
         dealt.groupBy("block")
         .cogroup(counted.groupBy("block"))

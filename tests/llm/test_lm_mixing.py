@@ -43,6 +43,19 @@ def test_scores_equal_brute_force(spark, order, block):
     assert all((r["mean_log_score"] is None) == (r["n_tokens"] == 0) for r in got)
 
 
+def test_the_query_sees_more_than_adjacent_pairs(spark, tmp_path):
+    spark.createDataFrame(TEXTS, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = lm.op10_lm_scoring(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["n_tokens"], round(r["log_score"], 6)) for r in got) == brute(3) != brute(2)
+
+
+@pytest.mark.parametrize("values", [[], [0], [1, 1, 300, 2**63 + 5], [2**64 - 1] * 3])
+def test_packed_numbers_come_back(values):
+    values = np.array(values, np.uint64)
+    assert (lm.unpacked(lm.packed(values)) == values).all()
+    assert (np.cumsum(lm.unpacked(lm.packed(lm._deltas(np.sort(values)))), dtype=np.uint64) == np.sort(values)).all()
+
+
 def test_scores_of_nothing(spark):
     assert lm.lm_scores(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
