@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from snapledger.functions.text import canonical_text, company_key, digest_prefix
 from snapledger.operators.components import connected_components
 from snapledger.scratch import stored
 
+#: Rows that a task resolves (about; whole chains).
+TASK_ROWS = 20_000
 # Form of a requisition id in a URL.
 UUID = "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
 # Boards by host, and the address under which each is known.
@@ -136,6 +139,16 @@ def blocks(rows: DataFrame) -> DataFrame:
     return keyed.join(parts, keyed["_node"] == parts["node"], "left").withColumn("block", F.coalesce("component", "_node")).drop("_node", "node", "component")
 
 
+def chains(rows: DataFrame) -> DataFrame:
+    """rows (block, keys) with chain: what shared keys connect inside a block. Rows of different chains never meet in the resolution."""
+    node = lambda key: F.xxhash64("block", key)
+    first = F.element_at("keys", 1)
+    pairs = rows.where(F.size("keys") > 1).select("block", first.alias("first"), F.explode(F.slice("keys", 2, 2**31 - 1)).alias("other"))
+    parts = connected_components(pairs.select(node(F.col("first")).alias("a"), node(F.col("other")).alias("b")).distinct())
+    keyed = rows.withColumn("_node", node(first))
+    return keyed.join(parts, keyed["_node"] == parts["node"], "left").withColumn("chain", F.coalesce("component", "_node")).drop("_node", "node", "component")
+
+
 def resolve(observations: DataFrame, canonical: Column, order: list[str], replay_merge: bool = False) -> DataFrame:
     """observations with job_id, resolved in arrival order (`order`) inside each block.
 
@@ -144,27 +157,33 @@ def resolve(observations: DataFrame, canonical: Column, order: list[str], replay
     authority, then the earliest, then the smallest id. The first owner of a key keeps it. With replay_merge, a known native id
     also merges the same-company owners of its other keys.
 
-    Rows without company or title have a null job. A block must be worked through in order by one task; blocks are
-    companies, and nothing larger meets in a task.
+    Rows without company or title have a null job. What a chain of keys connects inside a block is worked through in order by
+    one task; tasks take about TASK_ROWS rows of whole chains, and of a row only what the resolution reads.
     """
     rows = observations.withColumn("_url", canonical).withColumn("keys", identity_keys(F.col("_url"))).drop("_url").withColumn("company_id", company_key(F.col("company"))).withColumn(
         "native", F.when(F.element_at("keys", 1).startswith("native:"), F.element_at("keys", 1))
     )
-    rows = stored(rows, "identity")
-    bad = rows.where("keys IS NULL").drop("company_id", "native").withColumn("job_id", F.lit(None).cast("string"))
-    good = blocks(rows.where("keys IS NOT NULL"))
-    schema = good.drop("company_id", "native", "block").withColumn("job_id", F.lit("")).schema
-    names = [f.name for f in schema]
+    rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "identity")
+    read = dict.fromkeys(["_row", "keys", "company_id", "source_id", "authority", "observed_at", *order])
+    good = rows.where("keys IS NOT NULL")
+    linked = chains(blocks(good.select(*read, "native")))
+    tasks = max(1, -(-good.count() // TASK_ROWS))
+    dealt = linked.select(*read, "chain", F.pmod(F.xxhash64("chain", F.lit("task")), F.lit(tasks)).alias("_task"))
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        pdf["job_id"] = list(_resolve_block(pdf, replay_merge))
-        return pdf[names]
+        pdf = pdf.sort_values(["chain", *order], kind="stable")
+        columns = {c: pdf[c].tolist() for c in ("keys", "company_id", "source_id", "authority", "observed_at")}
+        ends = [*(np.flatnonzero(np.diff(pdf["chain"].values)) + 1).tolist(), len(pdf)]
+        jobs: list[str] = []
+        for end in ends:
+            jobs += _resolve_block({c: v[len(jobs) : end] for c, v in columns.items()}, replay_merge)
+        return pd.DataFrame({"_row": pdf["_row"].values, "_job": jobs})
 
-    return good.groupBy("block").applyInPandas(work, schema).unionByName(bad)
+    solved = dealt.groupBy("_task").applyInPandas(work, "_row bigint, _job string")
+    return rows.drop("company_id", "native").join(solved, "_row", "left").withColumn("job_id", F.col("_job")).drop("_row", "_job")
 
 
-def _resolve_block(pdf: pd.DataFrame, replay_merge: bool) -> list[str]:
+def _resolve_block(pdf: pd.DataFrame | dict[str, list], replay_merge: bool) -> list[str]:
     owner: dict[str, str] = {}
     jobs: dict[str, tuple] = {}
     sources: dict[str, set[str]] = {}

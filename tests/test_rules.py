@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -109,3 +110,25 @@ def test_identity_collisions(spark, replay):
     got = {r["seq"]: r["job_id"] for r in identity.resolve(df.repartition(3), url.canonical_url_plain(F.col("apply_url")), ["observed_at", "seq"], replay).collect()}
     assert got[1] != got[2] and got[3] == got[4] == got[5] and got[6] not in (got[1], got[2]) and got[7] == got[8] and got[9] is None
     assert len({got[i] for i in (1, 2, 3, 6, 7)}) == 5
+
+
+@pytest.mark.parametrize("replay", [False, True])
+def test_a_company_is_split_without_changing_its_jobs(spark, replay, monkeypatch):
+    rnd = random.Random(7)
+    rows = [
+        (i, f"s{rnd.randrange(6)}", rnd.choice(["", str(rnd.randrange(60))]), rnd.choice(["Acme", "Acme", "Acme Inc.", "Other", ""]), "Dev", f"https://x.com/{rnd.randrange(150)}", rnd.randrange(3), datetime(2026, 1, 1 + i // 20))
+        for i in range(300)
+    ]
+    df = spark.createDataFrame(rows, "seq long, source_id string, source_native_id string, company string, title string, apply_url string, authority int, observed_at timestamp").withColumn("location", F.lit("NY"))
+    canonical = url.canonical_url_plain(F.col("apply_url"))
+    monkeypatch.setattr(identity, "TASK_ROWS", 50)
+    df = df.withColumn("job_id", F.lit("clash"))
+    out = identity.resolve(df.repartition(3), canonical, ["observed_at", "seq"], replay)
+    keyed = df.withColumn("keys", identity.identity_keys(canonical)).where("keys IS NOT NULL").withColumn("company_id", identity.company_key(F.col("company")))
+    keyed = identity.blocks(keyed.withColumn("native", F.when(F.element_at("keys", 1).startswith("native:"), F.element_at("keys", 1))))
+    want = {r[0]: None for r in rows}
+    for _, block in keyed.toPandas().sort_values(["observed_at", "seq"]).groupby("block"):
+        want |= dict(zip(block["seq"], identity._resolve_block(block, replay), strict=True))
+    assert out.columns == [*df.columns, "keys"] and {r["seq"]: r["job_id"] for r in out.collect()} == want
+    sizes = identity.chains(keyed).groupBy("block", "chain").count().toPandas()
+    assert sizes.groupby("block")["count"].sum().max() > 3 * sizes["count"].max()
