@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapledger.llm.common import full_text, stored, table
@@ -174,6 +174,11 @@ def _score(order: int, backoff: float, seen: int):
     return run
 
 
+def block_of(blocks: int) -> Column:
+    """The block of a row (_id, text), by both: no single id decides a block's size."""
+    return F.pmod(F.xxhash64("_id", "text", F.lit("block")), F.lit(blocks))
+
+
 def lm_scores(
     docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, seen: int = SEEN, id_col: str = "doc_id", text_col: str = "text",
     block_bytes: int = BLOCK_BYTES,
@@ -191,7 +196,7 @@ def lm_scores(
     blocks = max(1, -(-size // block_bytes))
     bits = max(0, (2 * blocks - 1).bit_length())
     kind = docs.schema[id_col].dataType.simpleString()
-    dealt = rows.select("_id", F.pmod(F.xxhash64("_id", F.lit("block")), F.lit(blocks)).alias("block"), "text").mapInArrow(
+    dealt = rows.select("_id", block_of(blocks).alias("block"), "text").mapInArrow(
         _small, f"_id {kind}, block bigint, text binary"
     )
     asked = dealt.groupBy("block").applyInArrow(

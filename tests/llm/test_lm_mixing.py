@@ -56,6 +56,11 @@ def test_packed_numbers_come_back(values):
     assert (np.cumsum(lm.unpacked(lm.packed(lm._deltas(np.sort(values)))), dtype=np.uint64) == np.sort(values)).all()
 
 
+def test_rows_of_one_id_stand_in_many_blocks(spark):
+    docs = spark.createDataFrame([(None, f"text {i}") for i in range(200)], "_id long, text string")
+    assert docs.select(lm.block_of(8).alias("b")).distinct().count() == 8
+
+
 def test_scores_of_nothing(spark):
     assert lm.lm_scores(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
