@@ -8,12 +8,12 @@ the writer ends it with one line feed, which readers ignore.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,20 +22,57 @@ from snapledger.llm.common import full_text, remove, scratch_path, stored, table
 from snapledger.llm.wavelet import Shard, WaveletMatrix, dump
 
 END_ID = 2
-#: Bytes of text that go to a shard, on average.
-SHARD_BYTES = 8 << 20
-#: Pieces that a worker remembers (in each of two generations), and characters of the longest of them.
-CACHE, PIECE = 450_000, 48
+#: Bytes of text that go to a shard, on average: at least, at most, and shards that a table is dealt into between the two.
+LEAST_SHARD, MOST_SHARD, SHARDS = 8 << 20, 256 << 20, 10_000
+#: Pieces that a worker remembers, and bytes of the longest of them.
+CACHE, PIECE = 500_000, 48
+
+#: Kinds of bytes. Beyond ASCII, a byte that may begin white space is of no kind: a cut too few does no harm.
+_OTHER, _LETTER, _DIGIT, _SIGN, _SPACE, _LINE, _BEYOND = range(7)
+_KIND = np.array(
+    [_SPACE if c == 32 else _LINE if c == 10 else _OTHER if c < 32 or c in (0x7F, 0xC2, 0xE1, 0xE2, 0xE3) else _BEYOND if c > 127
+     else _LETTER if chr(c).isalpha() else _DIGIT if chr(c).isdigit() else _SIGN for c in range(256)], np.uint8,
+)
+
+
+def _pairs(first: tuple[int, ...], second: tuple[int, ...]) -> np.ndarray:
+    """A table over pairs of kinds."""
+    table = np.zeros((8, 8), bool)
+    table[np.ix_(first, second)] = True
+    return table.ravel()
+
+
+_VISIBLE = (_LETTER, _DIGIT, _SIGN, _BEYOND)
+_SPACED, _SIGNED, _ENDED = _pairs((_SPACE,), _VISIBLE), _pairs((_LETTER,), (_SIGN,)), _pairs(_VISIBLE[:3], (_LINE,))
+
+
+def borders(raw: np.ndarray) -> np.ndarray:
+    """Where UTF-8 text may be cut so that the tokenizer gives the same ids for the parts as for the whole.
+
+    Before a space that a visible character follows; between a letter and a sign; before a line feed that follows a visible
+    character, and after it too, if another one comes next. A longer run of white space is never cut but before its last space.
+    """
+    kind = _KIND[raw]
+    pair = kind[:-1] * 8 + kind[1:]
+    line = np.flatnonzero(_ENDED[pair]) + 1
+    alone = line[line < len(raw) - 1] + 1
+    alone = alone[np.isin(kind[alone], _VISIBLE)]
+    found = np.zeros(len(raw) + 1, bool)
+    found[: max(len(raw) - 1, 0)] = _SPACED[pair]
+    for at in (np.flatnonzero(_SIGNED[pair]) + 1, line, alone):
+        found[at] = True
+    return found
+
 
-_SPLIT = re.compile(r" (?=\S)")
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
     """Ids of whole texts, piece by piece.
 
-    Byte-level BPE never joins text across a space that a visible character follows, so a text is cut before such
-    spaces and each distinct piece goes through the tokenizer once per worker.
+    Texts are cut where byte-level BPE never joins them. Arrow tells the distinct pieces of a batch, and each of them goes
+    through the tokenizer once per worker. A text that holds an added token (such as that of a special token) goes through
+    the tokenizer as a whole.
     """
 
     def __init__(self, path: str):
@@ -43,55 +80,92 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         size = max(self.tokenizer.get_vocab_size(), END_ID + 1)
         self.bits = (size - 1).bit_length()
         self.kind = np.uint16 if self.bits <= 16 else np.uint32
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         #: Bytes of text that each id stands for: byte-level tokens have a character for each byte.
         self.widths = np.zeros(size, np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.widths[i] = len(token)
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that no token crosses: encoded as one text, cut where the bytes of the ids say."""
-        if not pieces:
-            return []
-        ids = self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids
-        ids = np.array(ids, self.kind)
-        ends = np.cumsum([len(p.encode()) for p in pieces])
+        self.known: dict[bytes, int] = {}
+        self.flat, self.first, self.length = np.empty(0, self.kind), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _forget(self, but: list[bytes] = ()) -> None:
+        """Known pieces are numbered; number k has the ids from first[k] on, length[k] of them. Some may stay known."""
+        kept = [(p, self.flat[self.first[k] : self.first[k] + self.length[k]]) for p in but if (k := self.known.get(p)) is not None]
+        self.known = {}
+        self.flat, self.first, self.length = np.empty(0, self.kind), np.empty(0, np.int64), np.empty(0, np.int64)
+        self._add([p for p, _ in kept], np.concatenate([self.flat, *(x for _, x in kept)]), np.array([len(x) for _, x in kept], np.int64))
+
+    def _add(self, pieces: list[bytes], ids: np.ndarray, length: np.ndarray) -> None:
+        self.known.update(zip(pieces, range(len(self.length), len(self.length) + len(pieces)), strict=True))
+        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(length) - length])
+        self.length, self.flat = np.concatenate([self.length, length]), np.concatenate([self.flat, ids])
+
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text, straight from the tokenizer."""
+        return [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_apart(self, pieces: list[bytes]) -> None:
+        ids = self.whole([p.decode() for p in pieces])
+        self._add(pieces, np.concatenate([np.empty(0, self.kind), *ids]), np.array([len(x) for x in ids], np.int64))
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Pieces that begin with a space are encoded as one text, cut where the bytes of the ids say."""
+        self._learn_apart([p for p in pieces if p[:1] != b" "])
+        spaced = [p for p in pieces if p[:1] == b" "]
+        if not spaced:
+            return
+        ids = self.whole([b"".join(spaced).decode()])[0]
+        ends = np.cumsum([len(p) for p in spaced])
         reached = np.cumsum(self.widths[ids])
         cut = np.searchsorted(reached, ends)
-        if reached[-1:].sum() != ends[-1] or (reached[cut] != ends).any():
-            found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-            return [np.array(e.ids, self.kind).tobytes() for e in found]
-        data, step = ids.tobytes(), ids.itemsize
-        cut = ((cut + 1) * step).tolist()
-        return [data[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)]
-
-    def encode(self, text: str) -> bytes:
-        """The ids of a text, as bytes of the encoder's kind of number."""
-        head, *tail = text.split(" ")
-        new = set(tail).difference(self.known)
-        if "" in new or any(map(str.isspace, {p[0] for p in new})):
-            head, *tail = _SPLIT.split(text)
-            new = set(tail).difference(self.known)
-        if len(self.known) + len(new) > CACHE:
-            self.known, self.older = {}, self.known
-            new = set(tail)
-        if again := {p for p in new if p in self.older}:
-            self.known.update((p, self.older[p]) for p in again)
-            new -= again
-        new = list(new)
-        first = [head] if head else []
-        ids = self._ids(first + [f" {p}" for p in new])
-        self.known.update(zip(new, ids[len(first) :], strict=True))
-        out = b"".join([*ids[: len(first)], *map(self.known.__getitem__, tail)])
+        if reached[-1] != ends[-1] or (reached[cut] != ends).any():
+            self._learn_apart(spaced)
+        else:
+            self._add(spaced, ids, np.diff(cut, prepend=-1))
+
+    def _cut(self, texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """The pieces of all texts in a row, and for each text where its pieces begin (with the end of all)."""
+        _, at, data = texts.buffers()
+        at = np.frombuffer(at, np.int32)[texts.offset : texts.offset + len(texts) + 1] if at is not None else np.zeros(1, np.int32)
+        raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
+        at = at - at[0]
+        border = borders(raw)
+        border[at] = True
+        ends = np.flatnonzero(border)
+        pieces = pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
+        return pieces.dictionary_encode(), np.searchsorted(ends, at)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has. Texts are not null."""
+        apart = np.flatnonzero(np.any([pc.match_substring(texts, t).to_numpy(zero_copy_only=False) for t in self.added], axis=0)) if self.added else []
+        own = self.whole(texts.take(pa.array(apart)).to_pylist()) if len(apart) else []
+        mask = np.zeros(len(texts), bool)
+        mask[apart] = True
+        rest = pc.if_else(pa.array(mask), "", texts) if len(apart) else texts
+        pieces, begin = self._cut(rest)
+        distinct = pieces.dictionary.to_pylist()
+        new = [p for p in distinct if p not in self.known]
+        if new and len(self.known) + len(new) > CACHE:
+            self._forget(but=distinct)
+        if new:
+            self._learn(new)
+        number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[pieces.indices.to_numpy()]
+        length = self.length[number]
+        reached = np.r_[0, np.cumsum(length)]
+        ids = self.flat[np.arange(reached[-1]) + np.repeat(self.first[number] - reached[:-1], length)]
+        starts = reached[begin]
+        counts = np.diff(starts)
         for p in new:
             if len(p) > PIECE:
                 del self.known[p]
-        return out
+        if own:
+            edges = [0, *starts[apart].tolist()]
+            ids = np.concatenate([*(y for a, b, x in zip(edges, edges[1:], own, strict=False) for y in (ids[a:b], x)), ids[edges[-1] :]])
+            counts[apart] = [len(x) for x in own]
+        return ids, counts
 
 
 def encoder(path: str) -> Encoder:
@@ -103,23 +177,21 @@ def encoder(path: str) -> Encoder:
 def _write_shard(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        end = np.array([end_id], enc.kind).tobytes()
-        chunks: list[bytes] = []
-        ids: list[int] = []
-        lengths: list[int] = []
+        ids: list[np.ndarray] = []
+        docs: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
         nulls = 0
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                found = enc.encode(text.as_py())
-                chunks += (found, end)
-                lengths.append(len(found) // enc.kind().nbytes + 1)
-                nulls += doc is None
-                ids.append(0 if doc is None else doc)
-        if ids:
-            matrix = WaveletMatrix.build(np.frombuffer(b"".join(chunks), enc.kind), enc.bits)
-            chunks.clear()
+            found, counts = enc.encode(b.column(1))
+            ids.append(np.insert(found, np.cumsum(counts), end_id))
+            lengths.append(counts + 1)
+            nulls += b.column(0).null_count
+            docs.append(b.column(0).fill_null(0).to_numpy())
+        if sum(map(len, docs)):
+            matrix = WaveletMatrix.build(np.concatenate(ids), enc.bits)
+            ids.clear()
             shard = TaskContext.get().partitionId()
-            blob = dump(matrix, np.array(ids, np.int64), np.array(lengths, np.int64), shard, nulls)
+            blob = dump(matrix, np.concatenate(docs), np.concatenate(lengths), shard, nulls)
             yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["blob"])
 
     return run
@@ -127,16 +199,17 @@ def _write_shard(path: str, end_id: int):
 
 def write_token_shards(
     docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text",
-    shard_bytes: int = SHARD_BYTES,
+    shard_bytes: int | None = None,
 ) -> None:
     """Write the ids of every document, each followed by end_id, to shard files under path.
 
     Null texts count as empty and hold the end id alone. Null ids come first; documents of one id stand together, in no
-    fixed order. The id must be an integer column. An empty table writes no shard; further columns are ignored.
+    fixed order. The id must be an integer column. An empty table writes no shard; further columns are ignored. A text of any
+    length is one document of one shard; rows of one id go to one shard.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), full_text(text_col).alias("_text"))
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
+    shards = max(1, -(-size // (shard_bytes or min(max(LEAST_SHARD, size // SHARDS), MOST_SHARD))))
     rows = rows.repartitionByRange(shards, "_id").sortWithinPartitions("_id")
     blobs = rows.mapInArrow(_write_shard(tokenizer, end_id), "blob binary")
     blobs.select(F.col("blob").cast("string")).write.text(path)

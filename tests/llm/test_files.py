@@ -4,8 +4,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from snapledger.llm import arc, token_output, warc, wavelet
 from snapledger.llm.common import scratch_path
@@ -48,10 +50,10 @@ def token_rows():
 def test_token_files_hold_every_document(spark):
     rows = token_rows()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("start", F.lit("clash")).repartition(5)
-    enc = token_output.encoder(token_output.public_tokenizer())
+    plain = Tokenizer.from_file(token_output.public_tokenizer())
     ids = {}
     for i, t in rows:
-        ids.setdefault(i, []).append([*enc.tokenizer.encode(t or "", add_special_tokens=False).ids, 2])
+        ids.setdefault(i, []).append([*plain.encode(t or "", add_special_tokens=False).ids, 2])
     path = scratch_path(spark, "test-tokens")
     token_output.write_token_shards(docs, path, token_output.public_tokenizer(), shard_bytes=30_000)
     got = sorted(token_output.read_documents(spark, path).collect(), key=lambda r: r["start"])
@@ -68,6 +70,18 @@ def test_token_files_hold_every_document(spark):
     assert token_output.token_count(spark, path, token).agg(F.sum("occurrences")).first()[0] == len(want)
 
 
+def test_pieces_give_the_ids_of_the_plain_tokenizer(monkeypatch):
+    monkeypatch.setattr(token_output, "CACHE", 300)
+    rnd = random.Random(1)
+    parts = ["a", "B", " ", "  ", "\n", "\n\n", "\t", "é", "Ünï", "\u00a0", "\u3000", "\u2028", " b", "'s", "don't", "123", "日本", ".", "!!", "\x00", "\x1c", "\x85", "\u200b", "\u0301", "<|endoftext|>", "<|endoftext", "word " * 30]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(12))) for _ in range(4000)]
+    enc, plain = token_output.Encoder(token_output.public_tokenizer()), Tokenizer.from_file(token_output.public_tokenizer())
+    for some in (texts, texts[:7], [], ["", ""], ["<|endoftext|>", "", "<|endoftext|>x"], texts[100:]):
+        ids, counts = enc.encode(pa.array(some, pa.string()))
+        ends = np.cumsum(counts)
+        assert [ids[e - n : e].tolist() for e, n in zip(ends, counts, strict=True)] == [plain.encode(t, add_special_tokens=False).ids for t in some]
+
+
 def test_token_files_of_nothing_and_null_ids(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert token_output.tokenized(empty).collect() == []
