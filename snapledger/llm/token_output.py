@@ -148,7 +148,7 @@ class Encoder:
         pieces, begin = self._cut(rest)
         distinct = pieces.dictionary.to_pylist()
         new = [p for p in distinct if p not in self.known]
-        if new and len(self.known) + len(new) > CACHE:
+        if new and (len(self.known) + len(new) > CACHE or len(self.flat) > 16 * CACHE):
             self._forget(but=distinct)
         if new:
             self._learn(new)

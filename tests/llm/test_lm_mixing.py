@@ -16,21 +16,22 @@ TEXTS = [
 
 def brute(order):
     docs = [(i, (t or "").encode().lower().split()) for i, t in TEXTS]
-    n = [Counter(tuple(w[i - k + 1 : i + 1]) for _, w in docs for i in range(k - 1, len(w))) for k in range(1, order + 1)]
+    grams = [[Counter(tuple(w[i - k + 1 : i + 1]) for i in range(k - 1, len(w))) for k in range(1, order + 1)] for _, w in docs]
+    n = [sum((g[k] for g in grams), Counter()) for k in range(order)]
     total = sum(len(w) for _, w in docs)
     out = []
-    for i, w in docs:
+    for (i, w), own in zip(docs, grams, strict=True):
         s = 0.0
         for at in range(len(w)):
             weight = 1.0
             for k in range(min(order, at + 1), 1, -1):
                 gram = tuple(w[at - k + 1 : at + 1])
-                if n[k - 1][gram] >= 2:
-                    s += math.log(weight * n[k - 1][gram] / n[k - 2][gram[:-1]])
+                if n[k - 1][gram] > own[k - 1][gram]:
+                    s += math.log(weight * (n[k - 1][gram] - own[k - 1][gram]) / (n[k - 2][gram[:-1]] - own[k - 2][gram[:-1]]))
                     break
                 weight *= 0.4
             else:
-                s += math.log(weight * n[0][(w[at],)] / total)
+                s += math.log(weight * max(n[0][(w[at],)] - own[0][(w[at],)], 1) / max(total - len(w), 1))
         out.append((i, len(w), round(s, 6)))
     return sorted(out)
 
