@@ -38,6 +38,8 @@ BLOCK = frozenset(
 MAIN = frozenset(("article", "main"))
 ASIDE = frozenset("nav aside form footer button dialog menu head fieldset search header".split())
 PROSE = frozenset("h1 h2 h3 h4 h5 h6 p li blockquote pre dd dt td th figcaption caption".split())
+#: Elements of running text: no class name sets them aside.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption caption".split())
 #: Opening one of these ends an open element of the second kind.
 ENDS = {"li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "td", "th": "th", "option": "option"}
 # Words of class, id and role attributes that mark what is not the article.
@@ -46,9 +48,15 @@ MARKS = frozenset(
     " menu menubar breadcrumb breadcrumbs masthead topbar header footer sidebar aside complementary contentinfo widget widgets related recommended"
     " recommendations comment comments commentlist disqus discussion reply replies respond responses cookie cookies consent gdpr notice notices"
     " notification alert popup modal overlay dialog newsletter subscribe subscription signup login share sharing social toolbar pagination pager"
-    " skip copyright disclaimer search form paywall".split()
+    " skip copyright disclaimer search form paywall thread threads".split()
 )
 INNER = MARKS - {"header", "banner"}
+# Words that may stand beside those in a class name and leave its meaning as it is.
+AROUND = frozenset(
+    "article aside area bar block blog body bottom box btn button buttons card cards col column container content cta feed field fixed global grid group in inline"
+    " inner input item items left link links list main mobile nav page panel post posts primary right row secondary section site slot small sticky story stories"
+    " the top unit user users view wrap wrapper x".split()
+)
 
 #: Up to the slash that closes a tag, which is no part of an attribute, or to its end; a slash in an unquoted value is part of that.
 _ATTRIBUTES = r"(?:=\s*+[^\s>\"']*+|[^>\"'=/]++|/(?!>)|\"[^\"]*+\"|'[^']*+')*+"
@@ -63,6 +71,12 @@ _PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"\s+")
 
 
+def _marked(name: str, marks: frozenset[str]) -> bool:
+    """Whether a class name, id or role is made of marks, and of words and numbers that only say where or how."""
+    words = {w.lower() for w in _PARTS.split(name) if w}
+    return bool(words & marks) and all(w in marks or w in AROUND or len(w) < 2 or not w.isalpha() for w in words)
+
+
 class Page:
     """Elements (name, attributes, parent, first and last piece) and pieces (element, text; or element and None for a tag)."""
 
@@ -166,37 +180,52 @@ class Page:
             elif marks and name not in MAIN and name not in ("html", "body"):
                 if _HIDDEN.search(marks):
                     out[e] = True
-                elif not holds[e]:
-                    words = {w for a, b, c in _NAMED.findall(marks) for w in _PARTS.split(a or b or c) for w in (w.lower(),)}
-                    out[e] = bool(words & (INNER if inside[above] else MARKS))
+                elif not holds[e] and name not in RUNNING:
+                    out[e] = any(_marked(n, INNER if inside[above] else MARKS) for a, b, c in _NAMED.findall(marks) for n in (a or b or c).split())
         return out
 
 
-def main_text(page: Page, weights: dict[str, float]) -> str:
-    """The blocks of the page's main region, one per line."""
-    aside = page.set_aside()
-    best = start = total = 0.0
-    low = high = begin = 0
-    seen = False
-    for k, (element, name, text) in enumerate(page.pieces):
-        if text is None:
-            score = weights.get(name, TAG_WEIGHT)
-        else:
-            n = len(text.split())
-            score = OUTSIDE * n if aside[element] else float(n)
+def best_region(scores: list[float]) -> tuple[int, int] | None:
+    """Start and end of the contiguous run with the highest sum above zero; of equal ones the first, and of those the shortest."""
+    best = total = 0.0
+    begin, found = 0, None
+    for k, score in enumerate(scores):
         if total <= 0:
             total, begin = 0.0, k
         total += score
         if total > best:
-            best, low, high, seen = total, begin, k + 1, True
-    if not seen:
+            best, found = total, (begin, k + 1)
+    return found
+
+
+def _scores(page: Page, aside: list[bool], weights: dict[str, float]) -> Iterator[float]:
+    for element, name, text in page.pieces:
+        if text is None:
+            yield weights.get(name, TAG_WEIGHT)
+        else:
+            yield (OUTSIDE if aside[element] else 1.0) * len(text.split())
+
+
+def _heading(page: Page, aside: list[bool], low: int) -> int | None:
+    """The page's only h1, if it ends before the region and is not set aside."""
+    found = [e for e, name in enumerate(page.names) if name == "h1" and not aside[e]]
+    return found[0] if len(found) == 1 and page.last[found[0]] <= low else None
+
+
+def main_text(page: Page, weights: dict[str, float], lists: bool = True) -> str:
+    """The blocks of the page's main region, one per line; without lists nothing is set aside by element or class name."""
+    aside = page.set_aside() if lists else [False] * len(page.names)
+    region = best_region(list(_scores(page, aside, weights)))
+    if region is None:
         return ""
+    low, high = region
     home = _home(page, aside, low, high)
     if home is not None and page.names[home] not in ("html", "body", "#page"):
         low, high = page.first[home], page.last[home]
         prose = None
     else:
         prose = home
+    title = _heading(page, aside, low)
     blocks: list[str] = []
     now: list[str] = []
 
@@ -213,7 +242,7 @@ def main_text(page: Page, weights: dict[str, float]) -> str:
                 end()
             elif name == "br":
                 now.append(" ")
-        elif not aside[element] and (low <= k < high or (prose is not None and _is_prose(page, element, prose))):
+        elif not aside[element] and (low <= k < high or (title is not None and page.first[title] <= k < page.last[title]) or (prose is not None and _is_prose(page, element, prose))):
             now.append(text)
     end()
     return "\n".join(blocks)
@@ -227,11 +256,17 @@ def _home(page: Page, aside: list[bool], low: int, high: int) -> int | None:
     home = inside[0][1]
     while home > 0 and not (page.first[home] <= inside[0][0] and inside[-1][0] < page.last[home]):
         home = page.parents[home]
-    while home > 0 and (page.names[home] not in BLOCK or page.names[home] in PROSE):
+    while home > 0 and (page.names[home] not in BLOCK or page.names[home] in PROSE) and not _is_layout_cell(page, home):
         home = page.parents[home]
     return home
 
 
+def _is_layout_cell(page: Page, element: int) -> bool:
+    """Whether a table cell holds blocks of its own."""
+    pieces = page.pieces[page.first[element] : page.last[element]]
+    return page.names[element] in ("td", "th") and any(text is None and name in PROSE for _, name, text in pieces[:-1])
+
+
 def _is_prose(page: Page, element: int, home: int) -> bool:
     """Whether text of an element belongs to a heading, paragraph or list right below the page's body."""
     while element > 0 and page.names[element] not in BLOCK:
@@ -251,7 +286,7 @@ def _count_tags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for k, (_, name, text) in enumerate(page.pieces):
                     inside = page.first[e] <= k < page.last[e]
                     if text is None:
-                        counts[name[:32], inside] += 1
+                        counts[name, inside] += 1
                     else:
                         counts["#word", inside] += len(text.split())
     rows = [(name, inside, n) for (name, inside), n in counts.items()]
@@ -262,16 +297,17 @@ def _count_tags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", rows: int = FIT_PAGES) -> dict[str, float]:
     """Weights of tags, in words: the log odds of standing inside, over those of a word, kept between LEAST and MOST.
 
-    Learnt from about `rows` pages, chosen by a hash of the id. The driver sees the 256 most frequent tag names; others,
-    and all of them without labelled pages, weigh TAG_WEIGHT.
+    Learnt from about `rows` distinct pages, chosen by a hash of id and page; the driver sees the tag names of these. Others, and
+    all of them without labelled pages, weigh TAG_WEIGHT.
     """
-    total = pages.count()
-    chance = F.pmod(F.xxhash64(id_col, F.lit("html")), F.lit(1 << 30)) / (1 << 30)
-    sample = pages.where(chance < rows / max(total, 1)).select(full_text(html_col).alias("_html"))
+    hashed = pages.select(F.xxhash64(id_col, html_col, F.lit("html")).alias("u"), full_text(html_col).alias("_html"))
+    total = max(hashed.agg(F.approx_count_distinct("u")).first()[0], 1)
+    drawn = hashed.where(F.shiftrightunsigned("u", 1) / float(1 << 63) < rows / total)
+    sample = drawn.groupBy("u").agg(F.min("_html").alias("_html")).select("_html")
     counted = sample.mapInArrow(_count_tags, "name string, inside boolean, n bigint").groupBy("name").agg(
         F.sum(F.when(F.col("inside"), F.col("n")).otherwise(0)).alias("a"), F.sum("n").alias("n")
     )
-    found = {r["name"]: (r["a"], r["n"]) for r in counted.orderBy(F.desc("n"), "name").limit(256).collect()}
+    found = {r["name"]: (r["a"], r["n"]) for r in counted.collect()}
     whole = sum(a for a, _ in found.values()), sum(n - a for a, n in found.values())
     if min(whole) == 0 or "#word" not in found:
         return {}
@@ -288,7 +324,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """id_col, url_col, text, n_chars of every row of pages.
 
     A null page counts as empty and has an empty text, like one without words outside menus and the like. Rows that repeat
-    are all returned; an empty table gives an empty result; further columns are ignored.
+    are all returned and count once in the fit; of equally good regions the first counts; a page of any length is read whole; an
+    empty table gives an empty result; further columns are ignored.
     """
     weights = learn_weights(pages, id_col, html_col)
     rows = pages.select(id_col, url_col, full_text(html_col).alias("_html"))

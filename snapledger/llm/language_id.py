@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from snapledger.llm.common import discard, full_text, in_training, stored, table
@@ -71,32 +71,40 @@ def _sample_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     flags = np.zeros(1 << SLOT_BITS, bool)
     for b in batches:
         found = [slots(x.as_py(), flags).astype(np.int32) for x in b.column("text")]
-        yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(found, pa.list_(pa.int32()))], ["lang", "slots"])
+        yield pa.RecordBatch.from_arrays([b.column("lang"), b.column("place"), pa.array(found, pa.list_(pa.int32()))], ["lang", "place", "slots"])
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = FIT_ROWS, landmarks: int = LANDMARKS) -> KernelModel | None:
-    """Fit on about `rows` rows of each language that may be learnt from, chosen by a hash of the id.
+def fit_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int) -> DataFrame:
+    """lang, text and u (a hash of id and text) of about `rows` distinct rows of each language that may be learnt from.
 
-    The driver sees the landmarks' slots (landmarks x languages, each at most 2**SLOT_BITS numbers), and sums of a fixed
-    size per partition. None if there is nothing to learn from.
+    Equal rows count once, so that neither a repeated id nor a repeated row decides the size of the sample.
     """
     known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), full_text(text_col).alias("text")).where(
         in_training("id") & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")
     )
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts:
+    hashed = known.select("lang", "text", F.xxhash64("id", "text", F.lit("language")).alias("u"))
+    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("u").alias("n"))
+    chance = F.shiftrightunsigned("u", 1) / float(1 << 63)
+    # a row per language: the model holds far more of each
+    drawn = hashed.join(F.broadcast(sizes), "lang").where(chance < F.lit(float(rows)) / F.col("n"))
+    return drawn.groupBy("lang", "u").agg(F.min("text").alias("text"))
+
+
+def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = FIT_ROWS, landmarks: int = LANDMARKS) -> KernelModel | None:
+    """Fit on about `rows` rows of each language that may be learnt from, chosen by a hash of id and text.
+
+    The driver sees the landmarks' slots (landmarks x languages, each at most 2**SLOT_BITS numbers), and sums of a fixed
+    size per partition. None if there is nothing to learn from.
+    """
+    sample = stored(fit_sample(docs, id_col, text_col, lang_col, rows), "language-sample")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("u"))
+    first = sample.withColumn("place", place).where(F.col("place") <= landmarks).select("lang", "place", "text")
+    found = first.mapInArrow(_sample_slots, "lang string, place int, slots array<int>").collect()
+    if not found:
         return None
-    languages = sorted(counts)
-    chance = F.pmod(F.xxhash64("id", F.lit("language")), F.lit(1 << 30)) / (1 << 30)
-    share = F.lit(1.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(rows / n)).otherwise(share)
-    sample = stored(known.where(chance < share).withColumn("u", chance), "language-sample")
-    first = None
-    for lang in languages:
-        few = sample.where(F.col("lang") == lang).orderBy("u", "id").limit(landmarks)
-        first = few if first is None else first.unionByName(few)
-    marks = [np.array(r["slots"]) for r in first.select("lang", "text").mapInArrow(_sample_slots, "lang string, slots array<int>").collect()]
+    found.sort(key=lambda r: (r["lang"], r["place"]))
+    languages = sorted({r["lang"] for r in found})
+    marks = [np.array(r["slots"]) for r in found]
 
     used = np.unique(np.concatenate(marks))
     column = np.full(1 << SLOT_BITS, -1, np.int32)
@@ -149,7 +157,9 @@ def identify(
     Learns from rows with a language whose id is not in the held-out third; predicts from the text alone. A null text,
     one without a letter, and every text if there is nothing to learn from, is `und` with score zero. Otherwise the
     score is the best language's share of the sharpened one-versus-rest values; of equal values the first language in
-    alphabetical order wins. Rows that repeat are all returned; an empty table gives an empty result.
+    alphabetical order wins. Rows that repeat are all returned and count once in the fit; a text of any length counts whole; an
+    empty table gives an empty result; further columns are ignored but for those to keep. The model holds one column of weights
+    per language.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col))
     columns = [*dict.fromkeys([id_col, *(keep or [])])]

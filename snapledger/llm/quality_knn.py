@@ -29,7 +29,10 @@ SLOTS = 1 << 16
 BLOCK = 256
 #: Power of the similarity that weights a neighbour's label.
 FOCUS = 6
-CACHE = 200_000
+#: Tokens that a worker remembers, and characters of the longest of them.
+CACHE, LONGEST_KEPT = 200_000, 256
+#: Similarities that differ by less count as equal.
+TIE = 1e-6
 
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 _RUN = re.compile(r"(.)\1+")
@@ -42,9 +45,11 @@ class TermSlots(dict):
         if len(self) >= CACHE:
             self.clear()
         word = _EDGE.sub("", token).lower()
-        shape = "".join("X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in token[:64])
+        shape = "".join("X" if c.isupper() else "x" if c.isalpha() else "0" if c.isdigit() else c for c in token)
         shape = _RUN.sub(r"\1+", shape)
-        found = self[token] = (_slot(f"w {word}"), _slot(f"s {shape}"))
+        found = _slot(f"w {word}"), _slot(f"s {shape}")
+        if len(token) <= LONGEST_KEPT:
+            self[token] = found
         return found
 
 
@@ -97,13 +102,17 @@ class LatentModel:
         return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
 
     def score(self, texts: list[str], known: TermSlots) -> np.ndarray:
-        """Similarity-weighted share of good labels among the nearest labelled vectors; the prior where none is near."""
+        """Similarity-weighted share of good labels among the nearest labelled vectors; the prior where none is near.
+
+        Vectors that are as near as the last neighbour all vote.
+        """
         similar = self.latent(self.terms(texts, known)) @ self.vectors.T
         k = min(NEIGHBOURS, similar.shape[1])
-        near = np.argpartition(-similar, k - 1, axis=1)[:, :k]
-        weight = np.clip(np.take_along_axis(similar, near, 1), 0, 1).astype(np.float64) ** FOCUS
-        total = weight.sum(1)
-        votes = (weight * self.labels[near]).sum(1)
+        last = -np.partition(-similar, k - 1, axis=1)[:, k - 1]
+        row, near = np.nonzero(similar >= (last - TIE)[:, None])
+        weight = np.clip(similar[row, near], 0, 1).astype(np.float64) ** FOCUS
+        total = np.bincount(row, weight, len(texts))
+        votes = np.bincount(row, weight * self.labels[near], len(texts))
         return np.where(total > 1e-9, votes / np.maximum(total, 1e-9), self.prior)
 
 
@@ -119,6 +128,8 @@ def _term_frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int = LABELLED) -> LatentModel | None:
     """Fit on about `rows` labelled rows outside the held-out third; None if there are none.
 
+    Rows are drawn by a hash of the id, and where ids repeat again by a hash of the row, to twice `rows` at most; equal rows count once.
+
     What the driver gathers has a fixed size: term counts (SLOTS), Gram sums (TERMS x TERMS per partition, eight of
     them) and the sample's vectors (rows x LATENT).
     """
@@ -132,12 +143,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     if not total:
         return None
     chance = F.pmod(F.xxhash64("id", F.lit("quality")), F.lit(1 << 30)) / (1 << 30)
-    chosen = marked.where(chance < rows / total)
-    # `rows` pairs of numbers at most, but for chance: well under a megabyte
-    sample = stored(
-        docs.select(F.col(id_col).alias("id"), full_text(text_col).alias("text")).join(F.broadcast(chosen), "id").select("label", "text"),
-        "quality-sample",
-    ).repartition(8)
+    # a pair of numbers each; half a megabyte of them at the default, but for chance
+    chosen = marked.where(chance < max(rows / total, 1e-9))
+    drawn = docs.select(F.col(id_col).alias("id"), full_text(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    hashed = drawn.select("label", "text", F.xxhash64("id", "text", F.lit("row")).alias("u"))
+    found = max(hashed.agg(F.approx_count_distinct("u")).first()[0], 1)
+    few = hashed.where(F.shiftrightunsigned("u", 1) / float(1 << 63) < 2 * rows / found)
+    sample = stored(few.groupBy("u").agg(F.min("label").alias("label"), F.min("text").alias("text")), "quality-sample").repartition(8, "u")
     n = sample.count()
     if not n:
         return None
@@ -197,7 +209,9 @@ def quality(
 
     Labels of ids outside the held-out third are learnt from, on average where an id has several; a score depends on
     the text alone. Null counts as empty; a text without a known term gets the share of good labels, and one half if there
-    is nothing to learn from. Rows that repeat are all returned; an empty table gives an empty result.
+    is nothing to learn from. Labelled vectors as near as the last of the neighbours (repeated texts) all vote. Rows that repeat
+    are all returned and count once among the labelled; a text of any length is scored whole; an empty table gives an empty
+    result; further columns are ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, text_col, label_col))
     rows = docs.select(F.col(id_col), (~in_training(id_col)).alias("held_out"), full_text(text_col).alias("_text"))
