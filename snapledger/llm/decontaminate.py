@@ -20,7 +20,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapledger.llm.common import full_text, table
+from snapledger.llm.common import full_text, stored, table
 
 #: Tokens of the shortest tile, and share of an item's tokens that tiles must cover.
 MIN_MATCH, COVERAGE = 5, 0.5
@@ -137,9 +137,9 @@ class Benchmark:
         return cls(names, vocabulary, np.array(ids), np.array(starts), seeds, min_match) if names else None
 
     def shared(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(seed length, positions in the document, positions in the items) of all shared seeds."""
+        """(seed length, positions in the document, number of the seed there) of all seeds that the document shares."""
         known = ids > 0
-        for size, (keys, first, place) in self.seeds.items():
+        for size, (keys, _, _) in self.seeds.items():
             if len(ids) < size:
                 continue
             whole = np.convolve(known, np.ones(size, np.int64), "valid") == size if size > 1 else known
@@ -149,31 +149,36 @@ class Benchmark:
                 value = value * np.uint64(_BASE) + ids[at + k].astype(np.uint64)
             k = np.minimum(np.searchsorted(keys, value), len(keys) - 1)
             hit = keys[k] == value
-            at, k = at[hit], k[hit]
-            if len(at):
-                n = first[k + 1] - first[k]
-                there = place[np.repeat(first[k] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
-                yield size, np.repeat(at, n), there
+            if hit.any():
+                yield size, at[hit], k[hit]
 
     def leaks(self, text: str, coverage: float) -> Iterator[tuple]:
-        """(item, its tokens, covered tokens, tiles, longest tile) of the items that a text leaks."""
+        """(item, its tokens, covered tokens, tiles, longest tile) of the items that a text leaks.
+
+        Each distinct seed is followed to the items once, however often the document repeats it; an item is tiled only if
+        its seeds in the document cover enough of it, as no tiling can cover more.
+        """
         ids = np.array([self.vocabulary.get(w, 0) for w in tokens(text)], np.int64)
-        for size, in_doc, in_items in self.shared(ids):
-            item = np.searchsorted(self.starts, in_items, "right") - 1
-            for k in np.unique(item):
-                own = item == k
-                a, b = int(self.starts[k]), int(self.starts[k + 1])
-                reach = np.zeros(b - a + 1, np.int64)
-                at = np.unique(in_items[own]) - a
-                np.add.at(reach, at, 1)
-                np.add.at(reach, at + size, -1)
-                needed = coverage * (b - a) - 1e-9
-                if (np.cumsum(reach)[:-1] > 0).sum() < needed:  # no tiling can cover more than the seeds do
-                    continue
-                part = stretches(ids, np.unique(in_doc[own]), size)
+        for size, in_doc, seed in self.shared(ids):
+            _, first, place = self.seeds[size]
+            found = np.unique(seed)
+            n = first[found + 1] - first[found]
+            there = place[np.repeat(first[found] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            order = np.argsort(there)
+            there, by = there[order], np.repeat(found, n)[order]
+            item = np.searchsorted(self.starts, there, "right") - 1
+            begin = np.flatnonzero(np.r_[True, item[1:] != item[:-1]])
+            step = np.minimum(np.append(there[1:], there[-1] + size) - there, size)
+            last = np.append(begin[1:], len(there)) - 1
+            step[last] = size
+            reach = np.add.reduceat(step, begin)
+            tokens_of = self.starts[item[begin] + 1] - self.starts[item[begin]]
+            for g in np.flatnonzero(reach >= coverage * tokens_of - 1e-9):
+                k, a, b = item[begin[g]], int(self.starts[item[begin[g]]]), int(self.starts[item[begin[g]] + 1])
+                part = stretches(ids, in_doc[np.isin(seed, by[begin[g] : last[g] + 1])], size)
                 tiles = greedy_tiles(self.ids[a:b].tolist(), part, min(self.min_match, b - a))
                 covered = sum(n for *_, n in tiles)
-                if covered >= needed:
+                if covered >= coverage * (b - a) - 1e-9:
                     yield self.names[k], b - a, covered, len(tiles), max(n for *_, n in tiles)
 
 
@@ -188,7 +193,10 @@ def stretches(ids: np.ndarray, seeds: np.ndarray, size: int) -> list[int]:
 
 
 def benchmark_shards(benchmark: DataFrame, id_col: str, text_col: str, min_match: int, shard_bytes: int = SHARD_BYTES) -> Iterator[Broadcast]:
-    """The benchmark, broadcast in parts of about shard_bytes of text; a larger one takes more passes over the documents."""
+    """The benchmark, broadcast in parts of about shard_bytes of text; a larger one takes more passes over the documents.
+
+    Driver and executors hold one part at a time if the caller destroys each when its pass is over.
+    """
     rows = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // shard_bytes))
@@ -205,8 +213,8 @@ def leaks(
     """One row per document and item that it leaks: id_col, item_col, item_tokens, covered_tokens, coverage, tiles, longest_tile.
 
     Null and empty texts and items without a word leak nothing; an item of fewer than min_match tokens leaks if it
-    occurs as a whole. Rows of docs or of the benchmark that repeat give repeated rows. Empty tables give an empty
-    result; further columns are ignored.
+    occurs as a whole. Rows of docs or of the benchmark that repeat give repeated rows. A text of any length is tiled whole.
+    Empty tables give an empty result; further columns are ignored.
     """
     rows = docs.select(F.col(id_col), full_text(text_col).alias("_text"))
     schema = docs.select(
@@ -237,7 +245,8 @@ def leaks(
 
     found = docs.sparkSession.createDataFrame([], schema)
     for shared in benchmark_shards(benchmark, item_col, text_col, min_match):
-        found = found.unionByName(rows.mapInArrow(against(shared), schema))
+        found = found.unionByName(stored(rows.mapInArrow(against(shared), schema), "leaks"))
+        shared.destroy()
     return found.select(
         id_col, item_col, "item_tokens", "covered_tokens", (F.col("covered_tokens") / F.col("item_tokens")).alias("coverage"), "tiles", "longest_tile"
     )
@@ -263,8 +272,12 @@ def without_leaks(
 
         return run
 
+    before = None
     for shared in benchmark_shards(benchmark, item_col, text_col, min_match):
-        docs = docs.mapInArrow(clean_of(shared), docs.schema)
+        if before is not None:
+            docs = stored(docs, "clean")
+            before.destroy()
+        docs, before = docs.mapInArrow(clean_of(shared), docs.schema), shared
     return docs
 
 

@@ -28,19 +28,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
        rows is merged by several tasks.
     3. Global: at most `salts` winners of a text meet.
 
-    The winners then go back to all rows by digest; that join carries no text. Only rows of a digest that more than
-    one text shares are joined on the text itself.
+    The winners then go back to all rows by digest and salt; that join carries no text, and no text is one task's work
+    alone. Only rows of a digest that more than one text shares are joined on the text itself.
 
     Null texts count as empty; null ids lose against any id, and a group of null ids alone keeps null. Rows that
-    repeat an id and text are all returned and flagged alike. An empty table gives an empty result; further columns
-    are ignored.
+    repeat an id and text are all returned and flagged alike. Texts of any length are compared whole. An empty table gives an empty result;
+    further columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("_id"), normalised(text_col).alias("_text"))
-    keyed = rows.withColumn("_digest", F.sha2(F.col("_text"), 256))
-    salted = (
-        keyed.groupBy("_digest", "_text", F.pmod(F.xxhash64("_id"), F.lit(salts)).alias("_salt"))
-        .agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
-    )
+    keyed = rows.withColumn("_digest", F.unhex(F.sha2(F.col("_text"), 256))).withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(salts)))
+    salted = keyed.groupBy("_digest", "_text", "_salt").agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
     winners = salted.groupBy("_digest", "_text").agg(F.min("_keep").alias("keep_id"), F.sum("_n").alias("group_size"))
     shared = stored(
         winners.groupBy("_digest").agg(
@@ -48,7 +45,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ),
         "exact-dedup",
     )
-    found = keyed.select("_id", "_digest").join(shared.where("_variants = 1").drop("_variants"), "_digest")
+    ids = stored(keyed.select("_id", "_digest", "_salt"), "exact-dedup-ids")
+    places = ids.groupBy("_digest", "_salt").agg(F.count(F.lit(1)).alias("_rows")).drop("_rows")
+    found = ids.join(places.join(shared.where("_variants = 1").drop("_variants"), "_digest"), ["_digest", "_salt"])
+    found = found.select("_digest", "_id", "keep_id", "group_size")
     clashing = shared.where("_variants > 1").select("_digest")
     if not clashing.isEmpty():
         by_text = keyed.join(clashing, "_digest", "left_semi").join(winners, ["_digest", "_text"])
@@ -58,7 +58,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "keep_id",
         "group_size",
         F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.col("_digest").alias("text_sha256"),
+        F.lower(F.hex("_digest")).alias("text_sha256"),
     )
 
 

@@ -54,12 +54,6 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], ["_id", "fp"])
 
 
-def _with_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        found = np.array([fingerprint(x.as_py()) for x in b.column(1)], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64()), b.column(2)], ["_id", "fp", "_row"])
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_id and fp (the fingerprint as a signed long) of every row."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -237,7 +231,8 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Null and empty texts have fingerprint zero and are linked like any other. Equal fingerprints are one node, so
     copies cost nothing in the search. Rows that repeat an id keep their own fingerprint; null ids never become a
-    component_id unless a class has no other. An empty table gives an empty result.
+    component_id unless a class has no other. A text of any length is hashed whole; further columns are ignored. An empty table
+    gives an empty result.
     """
     fps = stored(fingerprints(docs, id_col, text_col), "simhash")
     return fps.join(classes_of(fps).drop("component"), "fp").select(
@@ -248,17 +243,21 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def near_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, one for each component: that with the smallest id. Their columns stay as they are.
 
-    Of rows with that id one stays; a row without an id stays only where no row of the component has one.
+    Of rows with that id the one with the smallest hash of all its columns stays (of rows that are equal throughout any); a row
+    without an id stays only where no row of the component has one. The choice is made on ids and hashes alone, and whole rows
+    move once, to meet it. Columns of map type have no hash and do not count.
     """
-    row = F.struct(*docs.columns).alias("_row")
-    found = stored(
-        docs.select(F.col(id_col).alias("_id"), full_text(text_col).alias("_text"), row).mapInArrow(
-            _with_fingerprints, docs.select(F.col(id_col).alias("_id"), F.lit(0).cast("bigint").alias("fp"), row).schema
-        ),
-        "simhash-rows",
+    key = F.xxhash64(*(f.name for f in docs.schema if "map<" not in f.dataType.simpleString()))
+    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), key.alias("key")).alias("_id"), F.col(text_col).alias("_text"))
+    fps = stored(fingerprints(rows, "_id", "_text"), "simhash-rows")
+    classes = classes_of(fps.select(F.col("_id.id").alias("_id"), "fp")).withColumnRenamed("component_id", "_keep")
+    mine = fps.join(classes, "fp").where(F.col("_id.id").eqNullSafe(F.col("_keep")))
+    chosen = mine.groupBy("component").agg(F.min("_id").alias("_id")).select(
+        F.coalesce(F.col("_id.id").cast("string"), F.lit("")).alias("_name"), F.col("_id.key").alias("_key")
     )
-    smallest = found.join(classes_of(found.select("_id", "fp")), "fp").where(F.col("_id").eqNullSafe(F.col("component_id")))
-    return smallest.dropDuplicates(["component"]).select("_row.*")
+    marked = docs.withColumn("_name", name).withColumn("_key", key)
+    return marked.join(chosen, ["_name", "_key"], "left_semi").dropDuplicates(["_name", "_key"]).select(*docs.columns)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
