@@ -8,18 +8,34 @@ from pyspark.sql import functions as F
 from snapledger.scratch import discard, stored
 
 
+#: Tasks that share the neighbours of one node.
+SALTS = 16
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """edges with m, the smallest neighbour b of their node a.
+
+    The neighbours of a node are dealt to SALTS tasks by hash; these meet in one row each, and the least goes back to them, so no
+    task holds all neighbours of a node.
+    """
+    dealt = edges.withColumn("s", F.pmod(F.xxhash64("b"), F.lit(SALTS)))
+    places = dealt.groupBy("a", "s").agg(F.min("b").alias("m"))
+    least = places.groupBy("a").agg(F.min("m").alias("m"))
+    return dealt.join(places.select("a", "s").join(least, "a"), ["a", "s"]).drop("s")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each larger neighbour of a node is tied to the smallest node of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    tied = _with_least(both).where("b > a")
+    return tied.select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours (edges run from larger to smaller) are tied to the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    tied = edges.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return tied.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+    tied = _with_least(edges)
+    nodes = F.when(F.col("b") != F.col("m"), F.array("a", "b")).otherwise(F.array("a"))
+    return tied.select(F.explode(nodes).alias("a"), F.col("m").alias("b")).distinct()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

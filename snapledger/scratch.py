@@ -9,16 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it names none (tests, a laptop) a temporary folder becomes it."""
+    """spark.checkpoint.dir of the session; on a local master that names none (tests, a laptop) a temporary folder becomes it."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="snapledger-"))
         root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The folder of this application's scratch tables."""
+    return f"{scratch_root(spark)}/snapledger/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/snapledger/{name}-{uuid.uuid4().hex}"
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; no DataFrame that an operator has given may be read after it."""
+    remove(spark, scratch_folder(spark))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
