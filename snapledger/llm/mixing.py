@@ -8,6 +8,7 @@ from the sums of all steps, so no rate is ever stored or gathered.
 
 from __future__ import annotations
 
+import warnings
 from math import log
 
 import numpy as np
@@ -112,7 +113,7 @@ def fit_rates(known: DataFrame, targets: list[float], total: float | None = None
     weighted by the inverse of the moment matrix of the rows whose rate is above zero; that makes the gradient's
     Lipschitz constant one over those rows, however soft the posteriors are. `total` is the number of tokens wanted; None
     keeps the tokens of the domain of the largest weight as they are. Domains without tokens are out of reach, and the others
-    share their weight.
+    share their weight. A miss that remains, because no rates meet the targets or the steps ran out, is a warning that states it.
     """
     k = len(targets)
     p = [F.col("_p")[i] for i in range(k)]
@@ -131,16 +132,21 @@ def fit_rates(known: DataFrame, targets: list[float], total: float | None = None
     wanted = [total * w for w in weight]
     squares = np.reshape(moments[k:], (k, k))
     rate = F.lit(1.0)
-    reached = present
+    reached, moved = present, None
     for _ in range(STEPS):
         miss = np.subtract(reached, wanted)
-        if np.abs(miss).max() < TOLERANCE * total:
+        if np.abs(miss).max() < TOLERANCE * total or (moved is not None and moved < TOLERANCE * total):
             break
         step = np.linalg.pinv(squares.astype(float), rcond=1e-9) @ miss
         rate = F.greatest(F.lit(0.0), rate - sum((q * float(x) for q, x in zip(p, step, strict=True)), F.lit(0.0)))
         live = F.when(rate > 0, F.col("_n")).otherwise(0.0)
         sums = known.agg(*(F.sum(F.col("_n") * q * rate) for q in p), *(F.sum(live * q * r) for q in p for r in p)).first()
+        moved = np.abs(np.subtract(sums[:k], reached)).max()
         reached, squares = sums[:k], np.reshape(sums[k:], (k, k))
+    worst = np.abs(np.subtract(reached, wanted)).max() / total
+    if worst >= TOLERANCE:
+        still = "and still move" if moved >= TOLERANCE * total else "as near as rates of zero or more come"
+        warnings.warn(f"the rates miss a target by {worst:.3g} of the tokens wanted, {still}", stacklevel=2)
     return rate
 
 
@@ -157,7 +163,8 @@ def mixture(
     """One row per row of docs: id_col, n_tokens, p_<domain> of each target, rate, copies.
 
     Null and empty texts have the prior as posterior. Without labels the posteriors are even; without tokens all rates
-    are one. Rows that repeat are all returned. An empty table gives an empty result; further columns are ignored.
+    are one. Rows that repeat are all returned, and count as often in sums and among the labelled (whose counts alone leave
+    the executors). A text of any length counts whole. An empty table gives an empty result; further columns are ignored.
     """
     targets = targets or TARGETS
     names = sorted(targets)

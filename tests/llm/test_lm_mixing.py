@@ -1,4 +1,5 @@
 import math
+import warnings
 from collections import Counter
 
 import numpy as np
@@ -85,16 +86,34 @@ def test_mixture_meets_targets(spark):
     assert ((known["p_good"] > 0.5) == (known["doc_id"] % 4 > 0)).all()
 
 
-def test_rates_are_the_least_squares_solution(spark):
+def plain_gradient(n, p, wanted, steps=200_000):
+    """The least sum of squared misses over rates of zero or more, by small plain gradient steps."""
+    a = n[:, None] * p
+    r, size = np.ones(len(n)), 1 / np.linalg.norm(a.T @ a, 2)
+    for _ in range(steps):
+        r = np.maximum(0, r - size * (a @ (a.T @ r - wanted)))
+    return ((a.T @ r - wanted) ** 2).sum()
+
+
+@pytest.mark.parametrize(("kind", "targets"), [("soft", [0.7, 0.2, 0.1]), ("soft", [0.05, 0.05, 0.9]), ("even", [0.97, 0.03]), ("narrow", [0.1, 0.9])])
+def test_rates_are_the_least_squares_solution(spark, kind, targets):
     rng = np.random.default_rng(3)
-    p = rng.dirichlet([0.6, 0.6, 0.6], 60)
-    n = rng.integers(1, 90, 60).astype(float)
+    k = len(targets)
+    p = rng.dirichlet([0.6] * k, 40) if kind == "soft" else np.full((40, k), 1 / k)
+    if kind == "narrow":
+        p[:, 1] = rng.uniform(0.1, 0.3, 40)
+        p[:, 0] = 1 - p[:, 1]
+    n = rng.integers(1, 90, 40).astype(float)
     df = spark.createDataFrame([(float(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "_n double, _p array<double>")
-    targets = [0.7, 0.2, 0.1]
-    got = df.select("_n", "_p", mixing.fit_rates(df, targets).alias("r")).toPandas()
-    mix = (got["_n"].values[:, None] * np.stack(got["_p"]) * got["r"].values[:, None]).sum(0)
-    assert mix / mix.sum() == pytest.approx(targets, abs=1e-3)
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        rate = mixing.fit_rates(df, targets, total=1000.0)
+    got = df.select("_n", "_p", rate.alias("r")).toPandas()
     assert (got["r"] >= 0).all()
+    mix = (got["_n"].values[:, None] * np.stack(got["_p"]) * got["r"].values[:, None]).sum(0)
+    missed = ((mix - 1000 * np.array(targets)) ** 2).sum()
+    assert missed <= plain_gradient(n, p, 1000 * np.array(targets)) * 1.001 + 1e-2
+    assert any("miss a target" in str(w.message) for w in said) == (missed > 1)
 
 
 def test_mixed_keeps_columns_and_takes_copies(spark):
@@ -113,6 +132,14 @@ def test_mixture_without_labels_or_rows(spark):
     assert mixing.mixture(docs.limit(0), none).collect() == []
 
 
+def test_long_texts_and_repeated_ids_are_mixed(spark):
+    docs, labels = corpus(spark)
+    more = spark.createDataFrame([(7, "good prose " * 150_000)] + [(4, "bad### junk###")] * 30, "doc_id long, text string")
+    got = mixing.mixture(docs.unionByName(more), mixing.quality_domains(labels), {"good": 0.9, "low": 0.1}).collect()
+    assert len(got) == 402 + 31 and max(r["n_tokens"] for r in got) == 300_000
+    assert len({(r["doc_id"], r["copies"]) for r in got if r["doc_id"] == 4}) == 1
+
+
 def test_no_python_on_the_main_path(spark):
     docs, labels = corpus(spark)
     plan = mixing.mixture(docs, mixing.quality_domains(labels))._jdf.queryExecution().executedPlan().toString()
