@@ -168,35 +168,49 @@ def identify(
     schema = docs.select(*columns, held.alias("held_out"), F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
-        flags = np.zeros(1 << SLOT_BITS, bool)
         for b in batches:
-            texts = b.column("_text")
-            langs, best = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            for i in range(0, len(texts) if m else 0, BATCH):
-                asked, found = [], []
-                for k, x in enumerate(texts[i : i + BATCH], i):
-                    text = x.as_py()
-                    if text and _LETTER.search(text):
-                        asked.append(k)
-                        found.append(slots(text, flags))
-                if asked:
-                    f = SHARPNESS * m.scores(found).astype(np.float64)
-                    p = np.exp(f - f.max(1, keepdims=True))
-                    p /= p.sum(1, keepdims=True)
-                    for k, j, v in zip(asked, p.argmax(1), p.max(1), strict=True):
-                        langs[k], best[k] = m.languages[j], v
+            langs, best = predictions(model.value, b.column("_text"))
             kept = [b.column(i) for i in range(len(b.schema.names) - 1)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(langs), pa.array(best)], schema.names)
 
     return rows.mapInArrow(score, schema)
 
 
-def known_language(docs: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """The rows of docs whose text has a language that the classifier knows; their columns stay as they are."""
-    rows = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("_row"))
-    found = identify(rows, keep=["_row"])
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("_row.*")
+def predictions(model: KernelModel | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text, a block of texts per matrix product."""
+    flags = np.zeros(1 << SLOT_BITS, bool)
+    langs, best = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    for i in range(0, len(texts) if model else 0, BATCH):
+        asked, found = [], []
+        for k, x in enumerate(texts[i : i + BATCH], i):
+            text = x.as_py()
+            if text and _LETTER.search(text):
+                asked.append(k)
+                found.append(slots(text, flags))
+        if asked:
+            f = SHARPNESS * model.scores(found).astype(np.float64)
+            p = np.exp(f - f.max(1, keepdims=True))
+            p /= p.sum(1, keepdims=True)
+            for k, j, v in zip(asked, p.argmax(1), p.max(1), strict=True):
+                langs[k], best[k] = model.languages[j], v
+    return langs, best
+
+
+def known_language(docs: DataFrame, min_score: float = 0.0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs whose text has a language that the classifier knows, with a score of min_score or more.
+
+    Columns stay as they are, also such as have names of the classifier's own. A null text, one without a letter and, if there is
+    nothing to learn from, every text goes; rows that repeat are judged alike; an empty table stays empty.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col))
+    at = docs.columns.index(text_col)
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs, best = predictions(model.value, b.column(at))
+            yield b.filter(pa.array([lang != UNKNOWN and s >= min_score for lang, s in zip(langs, best, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(known, docs.schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
