@@ -26,6 +26,8 @@ END_ID = 2
 LEAST_SHARD, MOST_SHARD, SHARDS = 8 << 20, 256 << 20, 10_000
 #: Pieces that a worker remembers, and bytes of the longest of them.
 CACHE, PIECE = 500_000, 48
+#: Bytes of text (and more, if one text has more) that are encoded at a time.
+AT_ONCE = 4 << 20
 
 #: Kinds of bytes. Beyond ASCII, a byte that may begin white space is of no kind: a cut too few does no harm.
 _OTHER, _LETTER, _DIGIT, _SIGN, _SPACE, _LINE, _BEYOND = range(7)
@@ -174,6 +176,13 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _parts(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts in runs of about AT_ONCE bytes."""
+    run = np.cumsum(pc.binary_length(texts).to_numpy()) // AT_ONCE
+    edges = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(texts)]
+    return (texts.slice(a, b - a) for a, b in zip(edges, edges[1:], strict=False))
+
+
 def _write_shard(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
@@ -182,9 +191,10 @@ def _write_shard(path: str, end_id: int):
         lengths: list[np.ndarray] = []
         nulls = 0
         for b in batches:
-            found, counts = enc.encode(b.column(1))
-            ids.append(np.insert(found, np.cumsum(counts), end_id))
-            lengths.append(counts + 1)
+            for part in _parts(b.column(1)):
+                found, counts = enc.encode(part)
+                ids.append(np.insert(found, np.cumsum(counts), end_id))
+                lengths.append(counts + 1)
             nulls += b.column(0).null_count
             docs.append(b.column(0).fill_null(0).to_numpy())
         if sum(map(len, docs)):
