@@ -11,10 +11,13 @@ from snapledger.llm.mixing import mixed, quality_domains
 from snapledger.llm.simhash import near_distinct
 from snapledger.llm.token_output import tokenized
 
+#: Below the score of every document with a language in the held-out third of 10,000 documents (0.51, and 0.41 over all of them).
+LANGUAGE_SCORE = 0.38
+
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language that the classifier knows go."""
-    return known_language(docs)
+    """Documents without a language that the classifier knows go, and those that it scores below LANGUAGE_SCORE."""
+    return known_language(docs, LANGUAGE_SCORE)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
