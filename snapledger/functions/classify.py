@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from snapledger.functions.text import feed_text, in_feed_text
+from snapledger.functions.text import feed_text, in_feed_text, once
 
 # Phrases that decide track, category and region.
 INTERN = ("intern", "internship", "co op", "working student")
@@ -43,11 +43,13 @@ def track(title: Column, employment: Column, level: Column) -> Column:
 
 
 def category(title: Column) -> Column:
-    text = feed_text(title)
-    found = F.when(F.lit(False), F.lit(""))
-    for name, phrases in CATEGORIES.items():
-        found = found.when(in_feed_text(text, phrases), name)
-    return found.otherwise("software")
+    def first(text: Column) -> Column:
+        found = F.when(F.lit(False), F.lit(""))
+        for name, phrases in CATEGORIES.items():
+            found = found.when(in_feed_text(text, phrases), name)
+        return found.otherwise("software")
+
+    return once(feed_text(title), first)
 
 
 def region(country: Column, location: Column) -> Column:

@@ -38,7 +38,8 @@ def stale_years(padded_title: Column, now: datetime) -> Column:
         season = season | has_phrase(padded_title, ["spring"])
     if now.month >= 8:
         season = season | has_phrase(padded_title, ["summer"])
-    return over | (this & season)
+    # few titles hold four digits at all
+    return padded_title.rlike("(?:19|20)[0-9]{2}") & (over | (this & season))
 
 
 def stale_posted(posted: Column, now: datetime) -> Column:

@@ -16,13 +16,17 @@ def canonical_text(c: Column) -> Column:
 
 def padded_text(c: Column) -> Column:
     """Lower case, then ASCII letters and digits only, single spaces, with a space at each end; empty gives one space."""
-    words = F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
-    return F.when(words == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
+    return F.regexp_replace(F.concat(F.lit(" "), F.lower(c), F.lit(" ")), "[^a-z0-9]+", " ")
 
 
 def feed_text(c: Column) -> Column:
     """ASCII letters and digits only, taken before lower-casing; single spaces."""
-    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(c, "[^A-Za-z0-9]", " ")), " +", " "))
+    return F.trim(F.lower(F.regexp_replace(c, "[^A-Za-z0-9]+", " ")))
+
+
+def once(value: Column, body) -> Column:
+    """body of a value that is computed once: an expression that is used twice would run twice."""
+    return F.transform(F.array(value), body)[0]
 
 
 def feed_company(c: Column) -> Column:

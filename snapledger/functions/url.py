@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from snapledger.functions.text import once
+
 # Query keys that only track where a click came from.
 TRACKING_KEYS = (
     "campaign", "fbclid", "gclid", "gh_src", "lever-source", "lever-via", "mc_cid", "mc_eid", "ref", "referrer", "source", "src", "tracking",
@@ -30,11 +32,6 @@ def host(url: Column) -> Column:
 _PARTS = "^([A-Za-z]+)://([A-Za-z0-9.-]+)(?::([0-9]+))?(/[^?#]*)?(?:\\?([^#]*))?"
 
 
-def _with(value: Column, body) -> Column:
-    """body of a value that is computed once: an expression that is used twice would run twice."""
-    return F.transform(F.array(value), body)[0]
-
-
 def canonical_url_plain(url: Column) -> Column:
     """canonical_url of URLs that match _PLAIN, as built-in expressions; null for others."""
 
@@ -44,7 +41,7 @@ def canonical_url_plain(url: Column) -> Column:
             F.lower(group(1)).alias("scheme"), F.lower(group(2)).alias("host"), group(3).alias("port"), group(4).alias("path"), group(5).alias("query"),
             F.lower(group(2)).isin(*BOARD_HOSTS).alias("board"),
         )
-        return F.when(u.rlike(_PLAIN), _with(parts, join))
+        return F.when(u.rlike(_PLAIN), once(parts, join))
 
     def join(p: Column) -> Column:
         scheme = F.when(p["board"], F.lit("https")).otherwise(p["scheme"])
@@ -60,11 +57,11 @@ def canonical_url_plain(url: Column) -> Column:
             lambda x: ~(F.lower(x["k"]).isin(*TRACKING_KEYS) | F.lower(x["k"]).startswith("utm_") | (p["board"] & (x["k"] == BOARD_ID_KEY))),
         )
         query = F.array_join(F.transform(F.array_sort(kept), lambda x: F.concat_ws("=", x["k"], x["v"])), "&")
-        tail = _with(query, lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
+        tail = once(query, lambda q: F.when(q == "", "").otherwise(F.concat(F.lit("?"), q)))
         whole = F.concat(scheme, F.lit("://"), host, F.when(usual, "").otherwise(F.concat(F.lit(":"), p["port"])), path, tail)
         return F.when(scheme.isin("http", "https"), F.regexp_replace(whole, "/$", "")).otherwise("")
 
-    return _with(F.trim(url), split)
+    return once(F.trim(url), split)
 
 
 def _canonical(url: str) -> str:

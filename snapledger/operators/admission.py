@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapledger.functions.dates import stale_posted, stale_years
-from snapledger.functions.text import digest_prefix, has_phrase, padded_text
+from snapledger.functions.text import digest_prefix, has_phrase, once, padded_text
 
 # The policy's version and phrase tables.
 POLICY_VERSION = "2026-08-22"
@@ -94,11 +94,15 @@ def rejection_code(now: datetime, posted: str | None = "posted_at") -> Column:
     """The code of the first rule that rejects a posting, null if it is admitted.
 
     Reads company, title, location, country, employment_type, level, apply_url (texts, none of them null) and the
-    time in `posted`. Catalyst sees one chain of built-in expressions, so it can be pushed into any plan.
+    time in `posted`. Built-in expressions only, so it can be pushed into any plan; each text is normalised once.
     """
-    company, title, location, country, employment, level = (
-        padded_text(F.col(c)) for c in ("company", "title", "location", "country", "employment_type", "level")
-    )
+    texts = F.struct(*(padded_text(F.col(c)).alias(c) for c in ("company", "title", "location", "country", "employment_type", "level")))
+    return once(texts, lambda t: _first_rule(t, now, posted))
+
+
+def _first_rule(t: Column, now: datetime, posted: str | None) -> Column:
+    """The rules over the normalised texts of a posting, in their order."""
+    company, title, location, country, employment, level = (t[c] for c in ("company", "title", "location", "country", "employment_type", "level"))
     ai_scientist = has_phrase(title, ["research scientist"]) & has_phrase(title, SCIENTIST_FIELDS)
     ai_work = has_phrase(title, AI_FIELDS) & has_phrase(title, AI_WORK)
     staff = has_phrase(title, [TECHNICAL_STAFF])
@@ -131,8 +135,8 @@ def rejection_ledger(observations: DataFrame, now: datetime, prior: DataFrame |
     """
     fields = ("company", "title", "location", "apply_url", "source_native_id")
     found = (
-        observations.withColumn("code", rejection_code(now, posted))
-        .where("code IS NOT NULL")
+        # a filter on the code would be pushed down and compute it twice
+        observations.select("*", F.explode(F.filter(F.array(rejection_code(now, posted)), lambda c: c.isNotNull())).alias("code"))
         .select(
             "source_id",
             digest_prefix(F.concat_ws("|", *(F.col(c) for c in fields)), 32).alias("fingerprint"),

@@ -9,8 +9,10 @@ from snapledger.functions.classify import high_signal
 from snapledger.functions.text import company_key
 from snapledger.operators.dedupe import first_wins
 
-# Preference of states where one route was found twice, and failure codes that a better rating can undo.
-STATE_RANK = {"promoted": 0, "candidate": 1, "unhealthy": 2, "duplicate": 3, "rejected": 4}
+# Preference of states where one route was found twice (others come last), providers whose boards are named by a
+# path that does not tell cases apart, and failure codes that a better rating can undo.
+STATE_RANK = {"promoted": 0, "candidate": 1}
+SLUG_PROVIDERS = ("ashby", "gem", "greenhouse", "lever", "smartrecruiters", "workable", "yc_jobs")
 QUALITY_CODES = ("company_quality",)
 DEMOTE_AFTER = 3
 # What tells pages about programmes and people from postings.
@@ -21,11 +23,23 @@ CONTENT_TITLES = (
 CONTENT_TEXTS = ("does not list a specific open role", "browse open jobs to find a specific role")
 
 
-def route(url: Column) -> Column:
-    """The key under which two spellings of a board's address are one."""
+def plain_route(url: Column) -> Column:
+    """A board's address without regard to case and closing slashes."""
     return F.lower(F.regexp_replace(F.trim(url), "/+$", ""))
 
 
+def route(provider: Column, url: Column) -> Column:
+    """The key under which two spellings of a board's address are one: scheme and host without regard to case, and the path too
+    where the provider names boards by a slug. The provider's own case never counts.
+    """
+    text = F.regexp_replace(F.trim(url), "/+$", "")
+    whole = "^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)([^?#]*)(.*)$"
+    base, path, rest = (F.regexp_extract(text, whole, k) for k in (1, 2, 3))
+    slug = F.lower(F.trim(provider)).isin(*SLUG_PROVIDERS)
+    joined = F.concat(F.lower(base), F.when(slug, F.lower(F.regexp_replace(path, "/+$", ""))).otherwise(path), rest)
+    return F.concat(F.lower(F.trim(provider)), F.lit("|"), F.when(base != "", joined).otherwise(text))
+
+
 def refresh_candidates(existing: DataFrame, seed: DataFrame) -> DataFrame:
     """existing (id, name, website, tags, state, failure_code) after a new seed (id, name, website, tags).
 
@@ -51,7 +65,7 @@ def fold_probes(probes: DataFrame) -> DataFrame:
     the route was promoted before; DEMOTE_AFTER failures in a row make it unhealthy until the next success.
     """
     key = ["provider", "route"]
-    rows = probes.withColumn("route", route(F.col("url")))
+    rows = probes.withColumn("route", plain_route(F.col("url")))
     w = Window.partitionBy(*key).orderBy("seq")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("owner", F.first("candidate_id").over(upto)).withColumn("mine", F.col("owner") == F.col("candidate_id"))
@@ -67,20 +81,22 @@ def fold_probes(probes: DataFrame) -> DataFrame:
 
 
 def suppress_duplicates(discovered: DataFrame) -> DataFrame:
-    """discovered (id, provider, url, state, promoted_at, last_checked_at): of rows of one route the best keeps its state, others are duplicates."""
-    rank = F.when(F.lit(False), 0)
-    for state, r in STATE_RANK.items():
-        rank = rank.when(F.col("state") == state, r)
-    order = [rank.otherwise(len(STATE_RANK)), F.asc_nulls_last("promoted_at"), F.col("last_checked_at"), F.col("id")]
-    w = Window.partitionBy("provider", route(F.col("url"))).orderBy(*order)
-    return discovered.withColumn("_nth", F.row_number().over(w)).withColumn("state", F.when(F.col("_nth") > 1, "duplicate").otherwise(F.col("state"))).drop("_nth")
+    """discovered (id, provider, url, state, promoted_at, last_checked_at): of the rows of one route that are no duplicates yet the
+    best keeps its state, the others become duplicates.
+    """
+    rank = F.when(F.col("state") == "promoted", STATE_RANK["promoted"]).when(F.col("state") == "candidate", STATE_RANK["candidate"]).otherwise(len(STATE_RANK))
+    live = F.col("state") != "duplicate"
+    w = Window.partitionBy(route(F.col("provider"), F.col("url")), live).orderBy(rank, F.asc_nulls_last("promoted_at"), "last_checked_at", "id")
+    rows = discovered.withColumn("_nth", F.row_number().over(w))
+    return rows.withColumn("state", F.when(F.col("_nth") > 1, "duplicate").otherwise(F.col("state"))).drop("_nth")
 
 
 def suppress_catalogued(discovered: DataFrame, catalog: DataFrame) -> DataFrame:
-    """discovered, those whose route the catalog (provider, url) has being duplicates."""
-    known = catalog.select("provider", route(F.col("url")).alias("_route")).distinct().withColumn("_known", F.lit(True))
-    rows = discovered.withColumn("_route", route(F.col("url"))).join(known, ["provider", "_route"], "left")
-    return rows.withColumn("state", F.when(F.col("_known"), "duplicate").otherwise(F.col("state"))).drop("_known", "_route")
+    """discovered, those whose provider and address the catalog (provider, url) has being duplicates, whatever the case of either."""
+    known = catalog.select(F.lower("provider").alias("_provider"), plain_route(F.col("url")).alias("_route")).distinct().withColumn("_known", F.lit(True))
+    keyed = discovered.withColumn("_provider", F.lower("provider")).withColumn("_route", plain_route(F.col("url")))
+    rows = keyed.join(known, ["_provider", "_route"], "left")
+    return rows.withColumn("state", F.when(F.col("_known"), "duplicate").otherwise(F.col("state"))).drop("_known", "_route", "_provider")
 
 
 def market_targets(observations: DataFrame, targets: DataFrame) -> DataFrame:

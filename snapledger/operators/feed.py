@@ -38,8 +38,7 @@ def openings(jobs: DataFrame, now: datetime, url: Column, posted: str | None = "
         track(F.col("title"), F.col("employment_type"), F.col("level")).alias("track"),
         category(F.col("title")).alias("category"),
         region(F.col("country"), F.col("location")).alias("region"),
-        F.concat_ws("|", "company_key", feed_text(F.col("title")), feed_text(F.col("location")), track(F.col("title"), F.col("employment_type"), F.col("level"))).alias("group_key"),
-    )
+    ).withColumn("group_key", F.concat_ws("|", "company_key", feed_text(F.col("title")), feed_text(F.col("location")), "track"))
 
 
 def grouped(opened: DataFrame) -> DataFrame:

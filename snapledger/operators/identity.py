@@ -97,7 +97,7 @@ def route_of(url: Column) -> Column:
     host = F.regexp_replace(F.lower(F.try_parse_url(F.trim(url), F.lit("HOST"))), "^www\\.", "")
     path = F.ltrim(F.coalesce(F.try_parse_url(F.trim(url), F.lit("PATH")), F.lit("")), F.lit("/"))
     for api, prefix in API_PREFIXES.items():
-        path = F.when((host == api) & path.startswith(f"{prefix}/"), F.substring(path, len(prefix) + 2, 10_000)).otherwise(path)
+        path = F.when((host == api) & path.startswith(f"{prefix}/"), F.substr(path, F.lit(len(prefix) + 2))).otherwise(path)
     slug = F.lower(F.substring_index(path, "/", 1))
     found = F.when(F.lit(False), F.struct(F.lit("").alias("provider"), F.lit("").alias("board")))
     for end, (provider, board) in BOARDS.items():

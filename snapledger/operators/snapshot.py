@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,7 +38,11 @@ def ownership_mismatch(snapshot: DataFrame, expected: DataFrame, key) -> DataFra
 def quality(snapshot: DataFrame) -> DataFrame:
     """Counters of a snapshot (source_id, pos, title, apply_url, code): usable, relevant and rejected rows, first three titles."""
     usable = (F.col("title") != "") & (F.col("apply_url") != "")
-    titles = F.slice(F.array_sort(F.collect_list(F.when((F.col("pos") < 1000) & (F.col("title") != ""), F.struct("pos", "title")))), 1, 3)
+    # three at a time: the list of a source never grows beyond them
+    place = F.when(F.col("title") != "", F.col("pos"))
+    nth = F.row_number().over(Window.partitionBy("source_id").orderBy(F.asc_nulls_last(place)))
+    snapshot = snapshot.withColumn("_nth", F.when(place.isNotNull(), nth))
+    titles = F.array_sort(F.collect_list(F.when(F.col("_nth") <= 3, F.struct("_nth", "title"))))
     return snapshot.groupBy("source_id").agg(
         F.count_if(usable).alias("usable"), F.count_if(usable & F.col("code").isNull()).alias("relevant"),
         F.count_if(F.col("code").isNotNull()).alias("rejected"), F.transform(titles, lambda t: t["title"]).alias("titles"),

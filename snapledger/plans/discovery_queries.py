@@ -25,12 +25,15 @@ def probe_fold(spark, sf_dir):
 
 
 def _discovered(spark, sf_dir):
+    """Routes of slug providers and of others, spelt in either case, in every state."""
     c = D.table(spark, sf_dir, "customer")
-    states = F.element_at(F.array(*map(F.lit, discovery.STATE_RANK)), (F.col("c_nationkey") % 5 + 1).cast("int"))
-    url = F.concat(F.when(F.col("c_custkey") % 2 == 0, "https://B/").otherwise("https://b/"), (F.col("c_custkey") % 300).cast("string"), F.when(F.col("c_custkey") % 3 == 0, "/").otherwise(""))
+    k = F.col("c_custkey")
+    states = F.element_at(F.array(*map(F.lit, ("promoted", "candidate", "unhealthy", "duplicate", "rejected"))), (F.col("c_nationkey") % 5 + 1).cast("int"))
+    provider = F.element_at(F.array(*map(F.lit, ("lever", "Lever", "workday"))), (F.floor(k / 4) % 3 + 1).cast("int"))
+    url = F.concat(F.when(k % 2 == 0, "HTTPS://B/Board").otherwise("https://b/board"), (k % 60).cast("string"), F.when(k % 3 == 0, "/").otherwise(""))
     return c.select(
-        F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("provider"), url.alias("url"), states.alias("state"),
-        F.when(F.col("c_custkey") % 4 == 0, F.lit(datetime(2001, 1, 1)) + F.make_dt_interval(days=(F.col("c_custkey") % 50).cast("int"))).alias("promoted_at"), (F.col("c_custkey") % 17).alias("last_checked_at"),
+        k.alias("id"), provider.alias("provider"), url.alias("url"), states.alias("state"),
+        F.when(k % 4 == 0, F.lit(datetime(2001, 1, 1)) + F.make_dt_interval(days=(k % 50).cast("int"))).alias("promoted_at"), (k % 17).alias("last_checked_at"),
     )
 
 
@@ -40,7 +43,7 @@ def route_duplicates(spark, sf_dir):
 
 def catalog_duplicates(spark, sf_dir):
     s = D.table(spark, sf_dir, "supplier")
-    catalog = s.select(F.lit("BUILDING").alias("provider"), F.concat(F.lit("HTTPS://b/"), F.col("s_suppkey").cast("string")).alias("url"))
+    catalog = s.select(F.lit("LEVER").alias("provider"), F.concat(F.lit("HTTPS://b/BOARD"), F.col("s_suppkey").cast("string")).alias("url"))
     return discovery.suppress_catalogued(_discovered(spark, sf_dir), catalog).select("id", "state")
 
 
@@ -74,9 +77,9 @@ def rendered_messages(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (probe_fold, route_duplicates, catalog_duplicates, market_targets, refresh_candidates, search_results, company_equality, rendered_messages)}
-_R = "lower(rtrim(url, '/'))"
-_DISC = f"""WITH d AS (SELECT c_custkey AS id, c_mktsegment AS provider, (CASE WHEN c_custkey % 2 = 0 THEN 'https://B/' ELSE 'https://b/' END) || (c_custkey % 300) || CASE WHEN c_custkey % 3 = 0 THEN '/' ELSE '' END AS url,
-    (['promoted', 'candidate', 'unhealthy', 'duplicate', 'rejected'])[c_nationkey % 5 + 1] AS state, c_nationkey % 5 AS rank,
+_DISC = """WITH d AS (SELECT c_custkey AS id, (['lever', 'Lever', 'workday'])[c_custkey // 4 % 3 + 1] AS provider,
+    (CASE WHEN c_custkey % 2 = 0 THEN 'HTTPS://B/Board' ELSE 'https://b/board' END) || (c_custkey % 60) || CASE WHEN c_custkey % 3 = 0 THEN '/' ELSE '' END AS url,
+    (['promoted', 'candidate', 'unhealthy', 'duplicate', 'rejected'])[c_nationkey % 5 + 1] AS state,
     CASE WHEN c_custkey % 4 = 0 THEN TIMESTAMP '2001-01-01' + to_days((c_custkey % 50)::INTEGER) END AS promoted_at, c_custkey % 17 AS last_checked_at FROM customer)"""
 _ESC = lambda x: f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&#34;'), '''', '&#39;')"
 _T = "title || ' & ' || company"
@@ -87,8 +90,13 @@ ORACLE = {
         f AS (SELECT provider, route, first(owner) AS candidate_id, bool_or(ok AND seen) AS ever, count(*) FILTER (island = last_island AND NOT ok) AS consecutive_failures FROM l GROUP BY provider, route)
         SELECT f.provider, f.route, candidate_id, CASE WHEN consecutive_failures >= 3 THEN 'unhealthy' WHEN ever THEN 'promoted' ELSE 'candidate' END AS state, consecutive_failures,
                (SELECT count(*) FROM o WHERE o.route = f.route AND o.owner <> o.candidate_id) AS duplicates FROM f""",
-    "route_duplicates": f"{_DISC} SELECT id, CASE WHEN row_number() OVER (PARTITION BY provider, {_R} ORDER BY rank, promoted_at NULLS LAST, last_checked_at, id) > 1 THEN 'duplicate' ELSE state END AS state FROM d",
-    "catalog_duplicates": f"{_DISC} SELECT id, CASE WHEN provider = 'BUILDING' AND {_R} IN (SELECT 'https://b/' || s_suppkey FROM supplier) THEN 'duplicate' ELSE state END AS state FROM d",
+    # scheme and host are told apart by case nowhere, the path only where the provider is no slug provider
+    "route_duplicates": f"""{_DISC}, k AS (SELECT *, lower(provider) || '|' || lower(split_part(url, '://', 1)) || '://' || lower(split_part(url, '/', 3)) || '/'
+            || CASE WHEN lower(provider) = 'lever' THEN lower(split_part(url, '/', 4)) ELSE split_part(url, '/', 4) END AS route FROM d),
+        live AS (SELECT id, row_number() OVER (PARTITION BY route ORDER BY CASE state WHEN 'promoted' THEN 0 WHEN 'candidate' THEN 1 ELSE 2 END, promoted_at NULLS LAST, last_checked_at, id) AS nth
+            FROM k WHERE state <> 'duplicate')
+        SELECT d.id, CASE WHEN nth > 1 THEN 'duplicate' ELSE state END AS state FROM d LEFT JOIN live USING (id)""",
+    "catalog_duplicates": f"""{_DISC} SELECT id, CASE WHEN lower(provider) = 'lever' AND lower(rtrim(url, '/')) IN (SELECT 'https://b/board' || s_suppkey FROM supplier) THEN 'duplicate' ELSE state END AS state FROM d""",
     "market_targets": "WITH t AS (SELECT c_custkey % 450 AS k, min(c_custkey) AS target_id FROM customer GROUP BY 1) SELECT o_orderkey AS seq, target_id FROM orders JOIN t ON o_custkey % 700 = k",
     "refresh_candidates": f"""{D.with_views('v_cand')}, c AS (SELECT *, substr(id, 3, 9)::INTEGER AS n FROM v_cand),
         o AS (SELECT id, upper(name) AS name, tags, state, CASE WHEN state = 'parked' AND n % 2 = 0 THEN 'company_quality' ELSE '' END AS failure_code FROM c WHERE n % 3 <> 0), s AS (SELECT id, name, tags FROM c WHERE n % 5 <> 0),
