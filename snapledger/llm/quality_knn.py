@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_co
     hashed = drawn.select("label", "text", F.xxhash64("id", "text", F.lit("row")).alias("u"))
     found = max(hashed.agg(F.approx_count_distinct("u")).first()[0], 1)
     few = hashed.where(F.shiftrightunsigned("u", 1) / float(1 << 63) < 2 * rows / found)
-    sample = stored(few.groupBy("u").agg(F.min("label").alias("label"), F.min("text").alias("text")), "quality-sample").repartition(8, "u")
+    sample = stored(few.groupBy("u").agg(F.min("label").alias("label"), F.min("text").alias("text")), "quality-sample").repartition(8)
     n = sample.count()
     if not n:
         return None
