@@ -136,7 +136,7 @@ def company_keys(spark, sf_dir):
     return s.select("s_suppkey", outcomes.shown_company(F.col("name")).alias("shown"), outcomes.exact_company(F.col("name")).alias("exact"), outcomes.compact_identity(F.col("name")).alias("compact"))
 
 
-def open_links(spark, sf_dir):
+def links_not_gone(spark, sf_dir):
     """Jobs whose link is not known to be gone, of companies that the reader has not hidden."""
     jobs = _table(spark, sf_dir, "orders", _JOBS).where("link_state <> 'F'")
     hidden = D.table(spark, sf_dir, "orders").where("o_orderkey % 500 = 0").select(outcomes.exact_company(F.concat(F.lit("CLERK "), (F.col("o_custkey") % 97).cast("string"))).alias("hidden")).distinct()
@@ -166,7 +166,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         merged_jobs, merged_deliveries, merged_provenance, merged_identities, demotions, demotion_candidates, activated_exactly, first_statuses, link_results,
-        title_places, role_levels, error_texts, company_labels, company_keys, open_links, snapshot_quality, roster_order,
+        title_places, role_levels, error_texts, company_labels, company_keys, links_not_gone, snapshot_quality, roster_order,
     )
 }
 
@@ -237,7 +237,7 @@ ORACLE = {
             ELSE 'Source check failed; inspect service logs for the private diagnostic' END AS shown, contains(t, 'tinyfish') OR contains(t, 'http 503') OR contains(t, 'failed: 429') AS again FROM t""",
     "company_labels": """SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN '💻 Tech' ELSE (['🟠 YC company', '🧠 AI company', '🏙 Big tech', '🟠 YC company', '📈 Quant / trading'])[s_suppkey % 5 + 1] END AS label FROM supplier""",
     "company_keys": """SELECT s_suppkey, lower(s_name) || ' & söhne-co.' AS shown, lower(s_name) || '  & söhne-co.' AS exact, replace(regexp_replace(lower(s_name), '[^a-z0-9]', '', 'g'), ' ', '') || 'shneco' AS compact FROM supplier""",
-    "open_links": "SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderstatus <> 'F' AND o_custkey % 97 NOT IN (SELECT o_custkey % 97 FROM orders WHERE o_orderkey % 500 = 0)",
+    "links_not_gone": "SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderstatus <> 'F' AND o_custkey % 97 NOT IN (SELECT o_custkey % 97 FROM orders WHERE o_orderkey % 500 = 0)",
     "snapshot_quality": """WITH r AS (SELECT l_suppkey AS source_id, l_orderkey * 10 + l_linenumber AS pos, CASE WHEN l_orderkey % 3 = 0 THEN '' ELSE 'Title ' || l_partkey END AS title, l_partkey % 5 <> 0 AS has_url, l_partkey % 4 = 0 AS out FROM lineitem)
         SELECT source_id, count(*) FILTER (title <> '' AND has_url) AS usable, count(*) FILTER (title <> '' AND has_url AND NOT out) AS relevant, count(*) FILTER (out) AS rejected,
                coalesce(array_to_string((list(title ORDER BY pos) FILTER (title <> ''))[1:3], '|'), '') AS titles FROM r GROUP BY 1""",
