@@ -22,9 +22,15 @@ def _unescape(c: pd.Series) -> pd.Series:
     return c.map(lambda s: None if s is None else html.unescape(s))
 
 
+def unescaped(c: Column) -> Column:
+    """Character references decoded; only texts that hold an ampersand leave the JVM."""
+    coded = F.when(c.contains("&"), c)
+    return F.coalesce(_unescape(coded), c)
+
+
 def clean_html(c: Column) -> Column:
     """Character references decoded, tags gone, white space squeezed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(_unescape(c), "<[^>]*>", " "), "\\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(unescaped(c), "<[^>]*>", " "), "\\s+", " "))
 
 
 def title_of(c: Column) -> Column:
@@ -35,6 +41,24 @@ def meta_content(c: Column, name: str) -> Column:
     return F.regexp_extract(c, f"(?is)<meta[^>]*(?:name|property)=[\"']{re.escape(name)}[\"'][^>]*content=[\"']([^\"']*)[\"']", 1)
 
 
+def attr_value(tag: Column, name: str) -> Column:
+    """The quoted value of a tag's attribute, trimmed; empty if it has none."""
+    found = F.regexp_extract(tag, f"(?is)\\b{re.escape(name)}\\s*=\\s*(?:\"([^\"]*)\"|'([^']*)')", 0)
+    return F.trim(F.regexp_replace(F.regexp_replace(found, "(?s)^[^\"']*[\"']", ""), "[\"']$", ""))
+
+
+def meta_value(c: Column, name: str) -> Column:
+    """The decoded content of the first meta tag of that name, wherever its attributes stand."""
+    return unescaped(attr_value(F.regexp_extract(c, f"(?is)<meta\\b[^>]*(?:property|name)=[\"']{re.escape(name)}[\"'][^>]*>", 0), "content"))
+
+
+def class_segment(c: Column, name: str, *ends: str) -> Column:
+    """What follows the first tag whose class holds the name, up to the first of the end marks (less the tag that the mark is part of); empty if there is no such tag."""
+    tag = f"(?is)<[^>]*class=[\"'][^\"']*{re.escape(name)}[^\"']*[\"'][^>]*>"
+    stop = "|".join([*map(re.escape, ends), "\\z"])
+    return F.regexp_replace(F.regexp_extract(c, f"{tag}(.*?)(?:{stop})", 1), "<[^<>]*$", "")
+
+
 def anchors(c: Column) -> Column:
     """The targets of all links, in order."""
     return F.regexp_extract_all(c, F.lit("(?i)<a\\b[^>]*\\bhref=[\"']([^\"']*)[\"']"), 1)

@@ -67,6 +67,12 @@ def infer_level(title: Column) -> Column:
     return _ordered(F.lower(title), LEVELS, "unknown")
 
 
+def employment_of(title: Column, given: Column) -> Column:
+    """internship or contract if title or given text says so, else what is given, else full_time."""
+    text = F.lower(F.concat_ws(" ", title, given))
+    return F.when(text.rlike("\\bintern(?:ship)?s?\\b|\\bco-?op\\b"), "internship").when(text.contains("contract"), "contract").when(given != "", given).otherwise("full_time")
+
+
 def infer_family(title: Column) -> Column:
     return _ordered(F.lower(title), FAMILIES, "software_engineering")
 

@@ -21,12 +21,14 @@ PAYLOADS = {
     "bamboohr": {"result": [{"id": "5", "jobOpeningName": "Dev", "location": {"city": "Lima"}}]},
     "breezy": [{"id": "Z", "name": "Dev", "url": "https://z/1", "type": {"name": "Internship"}, "location": {"city": "Rome", "country": {"name": "Italy"}}}],
     "pinpoint": {"data": [{"id": "9", "title": "Dev", "url": "https://p/9", "location": {"name": "Leeds"}}]},
+    "workable_jobs": {"nextPageToken": "t", "jobs": [{"id": "N", "title": "Co-op Dev", "url": "https://n/1", "company": {"title": "Net Co"}}]},
+    "oracle_recruiting": {"items": [{"TotalJobsCount": 2, "requisitionList": [{"Id": "8", "Title": "Dev", "JobSchedule": "Part time", "LegalEmployer": "Ora"}]}]},
     "workday": {"total": 40, "jobPostings": [{"title": "Dev", "externalPath": "/job/1", "locationsText": "Remote", "bulletFields": ["R1"]}]},
 }
 
 
 def payloads(spark):
-    rows = [(f"src-{p}", p, "", f"https://{p}.example/board", json.dumps(body), NOW) for p, body in PAYLOADS.items()]
+    rows = [(f"src-{p}", p, "", f"https://{p}.example/board" + "?siteNumber=CX.1" * (p == "oracle_recruiting"), json.dumps(body), NOW) for p, body in PAYLOADS.items()]
     rows.append(("src-personio", "personio", "Given", "https://per.example/", "<workzag-jobs><position><id>4</id><name>Dev</name><office>Bonn</office></position></workzag-jobs>", NOW))
     ld = '<script type="application/ld+json">[{"@type":"JobPosting","title":"Dev","url":"https://j/1"},{"@type":"JobPosting","title":"Old","url":"https://j/2","validThrough":"2020-01-01"}]</script>'
     rows.append(("src-jsonld", "jsonld", "Acme", "https://j/", ld, NOW))
@@ -41,6 +43,10 @@ def test_every_provider_is_parsed(spark):
     assert got["ashby"]["location"] == "NYC; SF" and got["smartrecruiters"]["apply_url"] == "https://jobs.smartrecruiters.com/acme/S" and got["smartrecruiters"]["country"] == "Germany"
     assert got["workday"]["apply_url"] == "https://workday.example/board/job/1" and got["bamboohr"]["apply_url"] == "https://bamboohr.example/board/5"
     assert (got["personio"]["company"], got["personio"]["location"], got["personio"]["apply_url"]) == ("Given", "Bonn", "https://per.example/job/4") and got["jsonld"]["title"] == "Dev"
+    assert (got["workable_jobs"]["source_native_id"], got["workable_jobs"]["company"], got["workable_jobs"]["employment_type"]) == ("workable_jobs:net-co:N", "Net Co", "internship")
+    oracle = got["oracle_recruiting"]
+    assert (oracle["source_native_id"], oracle["employment_type"], oracle["company"]) == ("oracle_recruiting:cx-1:8", "part_time", "Ora")
+    assert oracle["apply_url"] == "https://oracle_recruiting.example/hcmUI/CandidateExperience/en/sites/CX.1/job/8"
 
 
 def test_unknown_providers_and_bad_payloads_fail(spark):
