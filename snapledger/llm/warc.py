@@ -10,27 +10,25 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapledger.llm.arc import FIELDS, http_parts, opened, read_arc, read_warc, record_id, warc_date
-from snapledger.llm.common import full_text, remove, scratch_path, stored, table
+from snapledger.llm.common import discard, full_text, remove, scratch_path, stored, table
 
-#: Bytes of payload that go to an archive file, on average.
+#: Bytes of payload that go to an archive file, on average: from 80 GB of pages on they grow, so that their number stays near FILES.
 FILE_BYTES = 4 << 20
+MOST_FILE_BYTES = 64 << 20
+FILES = 20_000
 #: Payloads below this are stored in full, however often they occur.
 REVISIT_BYTES = 100
 DATE = "20240101000000"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _bytes(c: Column) -> Column:
-    return c.cast("binary")
-
-
 def write_arc(
     pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE,
-    file_bytes: int = FILE_BYTES,
+    file_bytes: int | None = None,
 ) -> None:
     """Write every page as an HTTP response to gzipped ARC files under path; files of even number have version 1, others 2.
 
@@ -42,7 +40,7 @@ def write_arc(
         url = F.replace(url, F.lit(sign), F.lit(f"%{ord(sign):02X}"))
     rows = pages.select(F.col(id_col).alias("id"), url.alias("url"), full_text(html_col).alias("html"))
     size = rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    files = max(1, -(-size // file_bytes))
+    files = max(1, -(-size // (file_bytes or min(MOST_FILE_BYTES, max(FILE_BYTES, size // FILES)))))
     head = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: "), F.coalesce(F.col("id").cast("string"), F.lit("")),
         F.lit("\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit("\r\n\r\n"),
@@ -79,30 +77,51 @@ def write_arc(
 
 def archive_files(spark: SparkSession, path: str) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*")
-    return reader.load(path).select("content")
+    return reader.load(path).select("path", "content")
+
 
+def _records(content: bytes) -> Iterator[tuple]:
+    """(ARC record, HTTP head, payload, page, digest, record id) of a file, in order."""
+    for r in read_arc(opened(content)):
+        head, fields, payload = http_parts(r.block)
+        digest, page = hashlib.sha256(payload).hexdigest(), fields.get("x-page-id", "")
+        yield r, head, payload, page, digest, record_id(r.url, r.date, page, digest)
 
-def _arc_rows(with_content: bool):
-    names = ["page_id", "record_id", "digest", "bytes", "url", "ip", "date", "head", "payload"][: 9 if with_content else 4]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.string()] * 3 + [pa.int64()] + [pa.string()] * 3 + [pa.binary()] * 2
-        for b in batches:
-            for content in b.column(0):
-                rows, size = [], 0
-                for r in read_arc(opened(content.as_py())):
-                    head, fields, payload = http_parts(r.block)
-                    digest = hashlib.sha256(payload).hexdigest()
-                    page = fields.get("x-page-id", "")
-                    rows.append((page, record_id(r.url, r.date, page, digest), digest, len(payload), r.url, r.ip, warc_date(r.date), head, payload))
-                    size += len(r.block)
-                    if size > FILE_BYTES:
-                        yield _batch(rows, names, types)
-                        rows, size = [], 0
-                if rows:
-                    yield _batch(rows, names, types)
+def _known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Where every record is, and what decides whether it repeats another one."""
+    names = ["path", "pos", "page_id", "record_id", "digest", "bytes"]
+    types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
+    for b in batches:
+        for path, content in zip(b.column(0), b.column(1), strict=True):
+            rows = [(path.as_py(), i, page, rid, digest, len(payload)) for i, (_, _, payload, page, digest, rid) in enumerate(_records(content.as_py()))]
+            if rows:
+                yield _batch(rows, names, types)
+
 
-    return run
+def _warc_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files with the positions of their repeated records (and the records these repeat) to the bytes of WARC records."""
+    for b in batches:
+        for content, repeats in zip(b.column(0), b.column(1), strict=True):
+            first_of = {x["pos"]: x["first_id"] for x in repeats.as_py() or ()}
+            out, size = [], 0
+            for i, (r, head, payload, _, digest, rid) in enumerate(_records(content.as_py())):
+                first = first_of.get(i)
+                block = head + payload if first is None else head
+                fields = [
+                    ("WARC-Type", "response" if first is None else "revisit"), ("WARC-Record-ID", f"<{rid}>"), ("WARC-Date", warc_date(r.date)), ("WARC-Target-URI", r.url), ("WARC-IP-Address", r.ip),
+                    ("Content-Type", "application/http; msgtype=response"), ("WARC-Payload-Digest", f"sha256:{digest}"),
+                    *([] if first is None else [("WARC-Refers-To", f"<{first}>"), ("WARC-Profile", PROFILE)]), ("Content-Length", str(len(block))),
+                ]
+                lines = "".join(f"{k}: {v}\r\n" for k, v in fields)
+                # the writer's line feed completes the two empty lines that end a record
+                out.append(f"WARC/1.1\r\n{lines}\r\n".encode() + block + b"\r\n\r")
+                size += len(out[-1])
+                if size > FILE_BYTES:
+                    yield _batch([(x,) for x in out], ["value"], [pa.binary()])
+                    out, size = [], 0
+            if out:
+                yield _batch([(x,) for x in out], ["value"], [pa.binary()])
 
 
 def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
@@ -114,42 +133,33 @@ def convert_arc(spark: SparkSession, arc_path: str, warc_path: str) -> None:
     """Convert ARC files to gzipped WARC files.
 
     Identifiers follow from URL, date, page and digest. Of equal payloads of REVISIT_BYTES or more, the record of the
-    smallest page becomes a response, the others become revisits that name it.
+    smallest page becomes a response, the others become revisits that name it. That is decided on keys; the decisions
+    then meet their archive file, so that no payload is shuffled by its digest.
     """
     files = archive_files(spark, arc_path)
-    short = "page_id string, record_id string, digest string, bytes bigint"
     page = F.expr("try_cast(page_id AS bigint)")
-    known = files.mapInArrow(_arc_rows(False), short).where(F.col("bytes") >= REVISIT_BYTES)
+    keys = files.mapInArrow(_known, "path string, pos bigint, page_id string, record_id string, digest string, bytes bigint")
+    keys = stored(keys.where(F.col("bytes") >= REVISIT_BYTES), "warc-keys")
     firsts = (
-        known.groupBy("digest", "bytes")
+        keys.groupBy("digest", "bytes")
         .agg(F.min(page).alias("first_page"), F.min_by("record_id", page).alias("first_id"), F.count(F.lit(1)).alias("n"))
         .where("n > 1 AND first_page IS NOT NULL")
         .drop("n")
     )
-    firsts = stored(firsts, "warc-firsts")
-    full = files.mapInArrow(_arc_rows(True), f"{short}, url string, ip string, date string, head binary, payload binary")
-    joined = full.join(firsts, ["digest", "bytes"], "left").withColumn(
-        "again", F.col("first_page").isNotNull() & ~F.coalesce(page == F.col("first_page"), F.lit(False))
-    )
-    block = F.when(F.col("again"), F.col("head")).otherwise(F.concat("head", "payload"))
-    line = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), F.when(F.col("again"), "revisit").otherwise("response"),
-        F.lit("\r\nWARC-Record-ID: <"), F.col("record_id"), F.lit(">\r\nWARC-Date: "), F.col("date"),
-        F.lit("\r\nWARC-Target-URI: "), F.col("url"), F.lit("\r\nWARC-IP-Address: "), F.col("ip"),
-        F.lit("\r\nContent-Type: application/http; msgtype=response\r\nWARC-Payload-Digest: sha256:"), F.col("digest"),
-        F.when(F.col("again"), F.concat(F.lit("\r\nWARC-Refers-To: <"), F.col("first_id"), F.lit(f">\r\nWARC-Profile: {PROFILE}"))).otherwise(""),
-        F.lit("\r\nContent-Length: "), F.length(block).cast("string"), F.lit("\r\n\r\n"),
-    )
-    # the writer's line feed completes the two empty lines that end a record
-    record = F.concat(_bytes(line), block, _bytes(F.lit("\r\n\r")))
-    joined.select(record.cast("string").alias("value")).write.option("compression", "gzip").text(warc_path)
+    again = keys.join(firsts, ["digest", "bytes"]).where(~F.coalesce(page == F.col("first_page"), F.lit(False)))
+    # a file has about FILE_BYTES, so its list is bounded
+    repeats = stored(again.groupBy("path").agg(F.collect_list(F.struct("pos", "first_id")).alias("repeats")), "warc-repeats")
+    records = files.join(repeats, "path", "left").select("content", "repeats").mapInArrow(_warc_records, "value binary")
+    records.select(F.col("value").cast("string").alias("value")).write.option("compression", "gzip").text(warc_path)
+    discard(keys)
+    discard(repeats)
 
 
 def _warc_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["page", "record_id", "refers_id", "record_type", "payload_bytes", "payload_digest"]
     types = [pa.string()] * 4 + [pa.int64(), pa.string()]
     for b in batches:
-        for content in b.column(0):
+        for content in b.column(1):
             rows = []
             for fields, block in read_warc(opened(content.as_py())):
                 _, http, payload = http_parts(block)
