@@ -71,6 +71,7 @@ def write_arc(
         .select("file", "value")
         .write.partitionBy("file")
         .option("compression", "gzip")
+        .option("zlib.compress.level", "BEST_SPEED")  # they are read twice and then deleted
         .text(path)
     )
 
