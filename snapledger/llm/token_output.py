@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,15 @@ def borders(raw: np.ndarray) -> np.ndarray:
     return found
 
 
+def _values(pieces: pa.Array) -> list[bytes]:
+    """The values of an unsliced binary array."""
+    _, at, data = pieces.buffers()
+    if not len(pieces):
+        return []
+    at, raw = np.frombuffer(at, np.int32)[: len(pieces) + 1].tolist(), data.to_pybytes()
+    return list(map(raw.__getitem__, map(slice, at, at[1:])))
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -91,19 +101,24 @@ class Encoder:
         for token, i in self.tokenizer.get_vocab().items():
             self.widths[i] = len(token)
         self.known: dict[bytes, int] = {}
-        self.flat, self.first, self.length = np.empty(0, self.kind), np.empty(0, np.int64), np.empty(0, np.int64)
+        # an Arrow batch of texts has less than 2^31 bytes, and the pieces that stay known fewer still
+        self.flat, self.first, self.length = np.empty(0, self.kind), np.empty(0, np.int32), np.empty(0, np.int32)
+
+    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
+        """The number of each piece, -1 if it is not known."""
+        return np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int32, len(pieces))
 
     def _forget(self, but: list[bytes] = ()) -> None:
         """Known pieces are numbered; number k has the ids from first[k] on, length[k] of them. Some may stay known."""
         kept = [(p, self.flat[self.first[k] : self.first[k] + self.length[k]]) for p in but if (k := self.known.get(p)) is not None]
         self.known = {}
-        self.flat, self.first, self.length = np.empty(0, self.kind), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flat, self.first, self.length = np.empty(0, self.kind), np.empty(0, np.int32), np.empty(0, np.int32)
         self._add([p for p, _ in kept], np.concatenate([self.flat, *(x for _, x in kept)]), np.array([len(x) for _, x in kept], np.int64))
 
     def _add(self, pieces: list[bytes], ids: np.ndarray, length: np.ndarray) -> None:
         self.known.update(zip(pieces, range(len(self.length), len(self.length) + len(pieces)), strict=True))
-        self.first = np.concatenate([self.first, len(self.flat) + np.cumsum(length) - length])
-        self.length, self.flat = np.concatenate([self.length, length]), np.concatenate([self.flat, ids])
+        self.first = np.concatenate([self.first, (len(self.flat) + np.cumsum(length) - length).astype(np.int32)])
+        self.length, self.flat = np.concatenate([self.length, length.astype(np.int32)]), np.concatenate([self.flat, ids])
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text, straight from the tokenizer."""
@@ -148,16 +163,20 @@ class Encoder:
         mask[apart] = True
         rest = pc.if_else(pa.array(mask), "", texts) if len(apart) else texts
         pieces, begin = self._cut(rest)
-        distinct = pieces.dictionary.to_pylist()
-        new = [p for p in distinct if p not in self.known]
+        distinct = _values(pieces.dictionary)
+        number = self._numbers(distinct)
+        new = [distinct[i] for i in np.flatnonzero(number < 0)]
         if new and (len(self.known) + len(new) > CACHE or len(self.flat) > 16 * CACHE):
             self._forget(but=distinct)
-        if new:
             self._learn(new)
-        number = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[pieces.indices.to_numpy()]
+            number = self._numbers(distinct)
+        elif new:
+            self._learn(new)
+            number[number < 0] = self._numbers(new)
+        number = number[pieces.indices.to_numpy()]
         length = self.length[number]
-        reached = np.r_[0, np.cumsum(length)]
-        ids = self.flat[np.arange(reached[-1]) + np.repeat(self.first[number] - reached[:-1], length)]
+        reached = np.concatenate([np.zeros(1, np.int32), np.cumsum(length, dtype=np.int32)])
+        ids = self.flat[np.arange(reached[-1], dtype=np.int32) + np.repeat(self.first[number] - reached[:-1], length)]
         starts = reached[begin]
         counts = np.diff(starts)
         for p in new:
