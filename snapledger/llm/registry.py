@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import importlib.util
 
-from snapledger.llm import decontaminate, exact_dedup, html_main, language_id, lm_scoring, mixing, quality_knn, simhash, token_output, warc
+from snapledger.llm import (
+    byte_bpe, decontaminate, exact_dedup, html_main, kd_clusters, language_id, lm_scoring, mixing, quality_knn, simhash, token_output, vector_codes, warc,
+)
 
 MODULES = (
-    decontaminate, language_id, token_output, simhash, warc, mixing, quality_knn, exact_dedup, html_main, lm_scoring,
+    decontaminate, language_id, token_output, simhash, warc, mixing, quality_knn, exact_dedup, html_main, lm_scoring, vector_codes,
+    kd_clusters, byte_bpe,
 )
 
 
