@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import base64
 import heapq
-import re
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,10 @@ from snapledger.llm.common import full_text, table
 
 #: Bytes that are encoded without further halving, bytes from which a window is merged through a heap, tokens joined at once.
 LEAF, HEAP, DECODED = 8, 48, 1024
-#: Matches that a worker remembers, and characters of the longest of them; pairs of tokens that it remembers to fit or not.
-CACHE, PIECE, PAIRS = 400_000, 48, 200_000
+#: Matches that a worker remembers, and characters of the longest of them; pairs of tokens that it remembers to fit or not, and leaves.
+CACHE, PIECE, PAIRS, LEAVES = 300_000, 48, 200_000, 200_000
+#: Above any rank.
+NO_RANK = 1 << 62
 #: Characters of a text that are split into matches at a time (and more, up to the next white space).
 SEGMENT = 1 << 20
 #: Bytes of results that leave a task at once (and more, if one text has more).
@@ -46,20 +48,22 @@ class Bpe:
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, i in ranks.items():
             self.bytes_of[i] = token
-        self.fits = lru_cache(PAIRS)(self._fits)
+        self.fits, self.leaves = lru_cache(PAIRS)(self._fits), lru_cache(LEAVES)(self.merged)
 
     def merged(self, data: bytes) -> list[bytes]:
         """The tokens of data by plain merging: the pair of the lowest rank first, of equal ones the leftmost."""
         if len(data) > HEAP:
             return self._merged_by_heap(data)
         parts, rank = [data[i : i + 1] for i in range(len(data))], self.ranks.get
-        while len(parts) > 1:
-            found = [rank(a + b, -1) for a, b in zip(parts, parts[1:], strict=False)]
-            known = [r for r in found if r >= 0]
-            if not known:
-                break
-            at = found.index(min(known))
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        found = [rank(data[i : i + 2], NO_RANK) for i in range(len(data) - 1)]
+        while found and (least := min(found)) < NO_RANK:
+            at = found.index(least)
+            token = parts[at] = parts[at] + parts.pop(at + 1)
+            del found[at]
+            if at < len(found):
+                found[at] = rank(token + parts[at + 1], NO_RANK)
+            if at:
+                found[at - 1] = rank(parts[at - 1] + token, NO_RANK)
         return parts
 
     def _merged_by_heap(self, data: bytes) -> list[bytes]:
@@ -109,7 +113,7 @@ class Bpe:
 
     def tree(self, data: bytes) -> list[bytes]:
         if len(data) <= self.leaf:
-            return self.merged(data)
+            return self.leaves(data)
         middle = len(data) // 2
         return self.join(self.tree(data[:middle]), self.tree(data[middle:]))
 
@@ -154,10 +158,10 @@ class Splitter:
 
     def __init__(self, pattern: str, unlike: dict[int, str]):
         self.pattern, self.unlike = regex.compile(pattern), unlike
-        self.odd = re.compile("[" + "".join(map(re.escape, map(chr, sorted(unlike)))) + "]") if unlike else None
+        self.odd = frozenset(map(chr, unlike))
 
     def matches(self, text: str) -> list[str]:
-        if self.odd is None or text.isascii() or not self.odd.search(text):
+        if text.isascii() or self.odd.isdisjoint(text):
             return self.pattern.findall(text)
         return [text[m.start() : m.end()] for m in self.pattern.finditer(text.translate(self.unlike))]
 
@@ -170,16 +174,19 @@ class Splitter:
 
 
 class _Known(dict):
-    """Matches and their ids as little-endian unsigned 32-bit integers."""
+    """Matches and their ids as little-endian unsigned 32-bit integers; a full table becomes the older one, which is asked last."""
 
     def __init__(self, bpe: Bpe):
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.older = bpe, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.bpe.encode(piece.encode()), "<u4").tobytes()
+        if (ids := self.older.get(piece)) is None:
+            found = self.bpe.encode(piece.encode())
+            ids = pack(f"<{len(found)}I", *found)
         if len(piece) <= PIECE:
             if len(self) >= CACHE:
+                self.older = dict(self)
                 self.clear()
             self[piece] = ids
         return ids
