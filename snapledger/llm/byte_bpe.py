@@ -26,7 +26,7 @@ from snapledger.llm.common import full_text, table
 #: Bytes that are encoded without further halving, bytes from which a window is merged through a heap, tokens joined at once.
 LEAF, HEAP, DECODED = 8, 48, 1024
 #: Matches that a worker remembers, and characters of the longest of them; pairs of tokens that it remembers to fit or not, and leaves.
-CACHE, PIECE, PAIRS, LEAVES = 300_000, 48, 200_000, 200_000
+CACHE, PIECE, PAIRS, LEAVES = 200_000, 48, 100_000, 100_000
 #: Above any rank.
 NO_RANK = 1 << 62
 #: Characters of a text that are split into matches at a time (and more, up to the next white space).
@@ -130,6 +130,9 @@ class Bpe:
             runs = [b"".join(runs[i : i + 2]) for i in range(0, len(runs), 2)]
         return runs[0] if runs else b""
 
+    def decode_packed(self, ids: bytes) -> bytes:
+        return self.decode(np.frombuffer(ids, "<u4").tolist())
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     """Ranks of a file with a line per token: base64 of its bytes, and its rank."""
@@ -202,68 +205,67 @@ def _known(path: str) -> _Known:
     return _Known(_loaded(path))
 
 
-def _runs(batches: Iterator[pa.RecordBatch], column: int, convert, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
-    """The batches with a column converted, cut into runs of AT_ONCE bytes of results."""
+def _runs(batches: Iterator[pa.RecordBatch], column: int, convert, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The batches with a column replaced by the binaries that convert gives for it, in runs of AT_ONCE bytes of them."""
     for b in batches:
         found, size, start = [], 0, 0
         for k, x in enumerate(b.column(column)):
-            found.append(convert(x))
-            size += len(found[-1])
+            found.append(convert(x.as_py()))
+            size += sum(map(len, found[-1]))
             if size >= AT_ONCE or k == b.num_rows - 1:
-                part = b.slice(start, len(found))
-                columns = [pa.array(found, kind) if i == column else c for i, c in enumerate(part.columns)]
-                yield pa.RecordBatch.from_arrays(columns, b.schema.names)
+                kept = [c for i, c in enumerate(b.slice(start, len(found)).columns) if i != column]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, pa.binary()) for c in zip(*found, strict=True))], names)
                 found, size, start = [], 0, k + 1
 
 
-def encoded(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encoded(
+    docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_decoded: bool = False
+) -> DataFrame:
     """id_col and ids (the ids of the whole text as little-endian unsigned 32-bit integers, in one binary) of every row.
 
     vocabulary: path of a file of ranks, on every executor. Each match of pattern is encoded by itself; what it does not match has no ids;
-    there are no special tokens. Null and empty texts have no ids. A text of any length is encoded whole: it is split in runs of SEGMENT
-    characters, and a match of n bytes takes about n log(n) steps. Repeated rows are all returned; an empty table gives an
-    empty result; further columns are ignored.
+    there are no special tokens. with_decoded adds `decoded`, the bytes that the ids stand for, decoded where they were made.
+
+    Null and empty texts have no ids. A text of any length is encoded whole: it is split in runs of SEGMENT characters, and a match of
+    n bytes takes about n log(n) steps. Repeated rows are all returned; an empty table gives an empty result; further columns are ignored.
     """
     unlike = docs.sparkSession.sparkContext.broadcast(stand_ins())
     kind = docs.schema[id_col].dataType.simpleString()
+    names = ["id", "ids", *(["decoded"] if with_decoded else [])]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, split = _known(vocabulary), Splitter(pattern, unlike.value)
         ids_of = known.__getitem__
 
-        def convert(x) -> bytes:
-            return b"".join(b"".join(map(ids_of, split.matches(s))) for s in split.segments(x.as_py()))
+        def convert(text: str) -> list[bytes]:
+            ids = b"".join(b"".join(map(ids_of, split.matches(s))) for s in split.segments(text))
+            return [ids, known.bpe.decode_packed(ids)] if with_decoded else [ids]
 
-        return _runs(batches, 1, convert, pa.binary())
+        return _runs(batches, 1, convert, names)
 
-    return docs.select(F.col(id_col).alias("id"), full_text(text_col).alias("ids")).mapInArrow(encode, f"id {kind}, ids binary").withColumnRenamed("id", id_col)
+    found = docs.select(F.col(id_col).alias("id"), full_text(text_col).alias("text")).mapInArrow(encode, ", ".join([f"id {kind}", *(f"{c} binary" for c in names[1:])]))
+    return found.withColumnRenamed("id", id_col)
 
 
 def decoded(tokens: DataFrame, vocabulary: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
-    """tokens with a binary column `into`: the bytes that the ids stand for. A null row of ids has null bytes."""
-    columns = tokens.columns
-    rows = tokens.select(F.struct(*columns).alias("_row"), F.col(ids_col).alias("_ids"))
+    """tokens with a binary column `into`, in place of one of that name: the bytes that the ids stand for; null where they are null."""
+    columns = [c for c in tokens.columns if c != into]
+    rows = tokens.select(F.struct(*columns).alias("row"), F.col(ids_col).alias("ids"))
+    schema = tokens.select(F.struct(*columns).alias("row"), F.lit(b"").alias("decoded")).schema
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = _loaded(vocabulary)
+        return _runs(batches, 1, lambda ids: [bpe.decode_packed(ids or b"")], schema.names)
 
-        def convert(x) -> bytes:
-            ids = x.as_py()
-            return b"" if ids is None else bpe.decode(np.frombuffer(ids, "<u4").tolist())
-
-        return _runs(batches, 1, convert, pa.binary())
-
-    found = rows.mapInArrow(decode, rows.schema)
-    kept = [F.col("_row").getField(c).alias(c) for c in columns if c != into]
-    return found.select(*kept, F.when(F.col("_row").getField(ids_col).isNotNull(), F.col("_ids")).alias(into))
+    found = rows.mapInArrow(decode, schema)
+    return found.select(*(F.col("row").getField(c).alias(c) for c in columns), F.when(F.col("row").getField(ids_col).isNotNull(), F.col("decoded")).alias(into))
 
 
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    tokens = encoded(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return decoded(tokens, path).select(
+    return encoded(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, with_decoded=True).select(
         "doc_id", (F.length("ids") / 4).cast("bigint").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
 

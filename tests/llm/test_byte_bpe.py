@@ -106,6 +106,8 @@ def test_query_columns_equal_the_library(spark, monkeypatch):
     back = bb.decoded(tokens, PATH).collect()
     want = sorted(((i, np.array(LIBRARY.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode()) for i, t, *_ in rows), key=repr)
     assert sorted(((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in back), key=repr) == want
+    at_once = bb.encoded(docs, PATH, public_tokenizers.PATTERN, with_decoded=True).collect()
+    assert sorted(((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in at_once), key=repr) == want
     assert bb.decoded(spark.createDataFrame([(1, None)], "doc_id long, ids binary"), PATH).collect()[0]["decoded"] is None
     assert bb.encoded(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
 
