@@ -50,51 +50,73 @@ def rolling_hashes(ids: list[int], size: int) -> list[int]:
     return out
 
 
-def _free_runs(a: bytearray, b: bytearray, i: int, j: int, n: int) -> Iterator[tuple[int, int]]:
-    """(offset, length) of the parts of a match in which neither side is marked."""
-    start = None
-    for k in range(n + 1):
-        if k < n and not a[i + k] and not b[j + k]:
-            start = k if start is None else start
-        elif start is not None:
-            yield start, k - start
-            start = None
+def _free_windows(used: np.ndarray, size: int) -> list[int]:
+    """Starts of the runs of `size` tokens of which none is used."""
+    taken = np.concatenate([[0], np.cumsum(used)])
+    return np.flatnonzero(taken[size:] == taken[: len(taken) - size]).tolist() if len(used) >= size else []
+
+
+def _free_runs(busy: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(offset, length) of the stretches that are not busy."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], busy, [True]])))
+    for start, end in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        yield start, end - start
+
+
+def _before(ids: list[int], used: list[bool], k: int) -> int | None:
+    """The token in front of place k, None if there is none that a run could start with."""
+    return None if k == 0 or used[k - 1] else ids[k - 1]
 
 
 def greedy_tiles(item: list[int], doc: list[int], min_match: int = MIN_MATCH) -> list[tuple[int, int, int]]:
     """Tiles (start in item, start in doc, length), longest first; of equal lengths the first in item, then in doc.
 
-    Negative ids match nothing, so they separate stretches of a document.
+    Negative ids match nothing, so they separate stretches of a document. Places with equal hashes are kept by the token in front of
+    them: a pair whose tokens in front are equal is part of a run that starts earlier and is never looked at, so that a token
+    that repeats costs a pair for each place of the document, not for each pair of places.
     """
-    used_item, used_doc = bytearray(len(item)), bytearray(len(doc))
-    for k, x in enumerate(doc):
-        used_doc[k] = x < 0
+    a, b = np.array(item, np.int64), np.array(doc, np.int64)
+    used_a, used_b = np.zeros(len(a), bool), b < 0
+
+    def run(i: int, j: int) -> int:
+        """Length of the unused common run from i and j."""
+        n, step, most = 0, 32, min(len(a) - i, len(b) - j)
+        while n < most:
+            end = min(n + step, most)
+            x, y = slice(i + n, i + end), slice(j + n, j + end)
+            other = (a[x] != b[y]) | used_a[x] | used_b[y]
+            if other.any():
+                return n + int(other.argmax())
+            n, step = end, 4 * step
+        return n
+
     tiles: list[tuple[int, int, int]] = []
     size = max(len(item), min_match)
     while size >= min_match:
-        where = defaultdict(list)
-        for j, h in enumerate(rolling_hashes(doc, size)):
-            where[h].append(j)
-        found = []
-        for i, h in enumerate(rolling_hashes(item, size)):
-            for j in where.get(h, ()):
-                # a run that could start earlier is part of the one that does
-                if i and j and item[i - 1] == doc[j - 1] and not used_item[i - 1] and not used_doc[j - 1]:
-                    continue
-                n = 0
-                while i + n < len(item) and j + n < len(doc) and item[i + n] == doc[j + n] and not used_item[i + n] and not used_doc[j + n]:
-                    n += 1
-                if n >= size:
-                    heapq.heappush(found, (-n, i, j))
+        found: list[tuple[int, int, int]] = []
+        if (mine := _free_windows(used_a, size)) and (theirs := _free_windows(used_b, size)):
+            where: dict[int, dict[int | None, list[int]]] = defaultdict(lambda: defaultdict(list))
+            wanted, hashes, used = rolling_hashes(item, size), rolling_hashes(doc, size), used_b.tolist()
+            either = set(wanted)
+            for j in theirs:
+                if hashes[j] in either:
+                    where[hashes[j]][_before(doc, used, j)].append(j)
+            used = used_a.tolist()
+            for i in mine if where else ():
+                front = _before(item, used, i)
+                for other, places in where[wanted[i]].items() if wanted[i] in where else ():
+                    if front is None or other != front:
+                        found += [(-n, i, j) for j in places if (n := run(i, j)) >= size]
+            heapq.heapify(found)
         while found:
             n, i, j = heapq.heappop(found)
             n = -n
-            runs = list(_free_runs(used_item, used_doc, i, j, n))
-            if runs == [(0, n)]:
+            busy = used_a[i : i + n] | used_b[j : j + n]
+            if not busy.any():
                 tiles.append((i, j, n))
-                used_item[i : i + n] = used_doc[j : j + n] = b"\1" * n
+                used_a[i : i + n] = used_b[j : j + n] = True
             else:
-                for at, m in runs:
+                for at, m in _free_runs(busy):
                     if m >= size:
                         heapq.heappush(found, (-m, i + at, j + at))
         if size == min_match:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from math import log
 
@@ -58,6 +58,9 @@ AROUND = frozenset(
     " the top unit user users view wrap wrapper x".split()
 )
 
+#: Elements that an open paragraph, and an open item or cell, are not ended across.
+BLOCK_WALLS = (BLOCK | EMBEDDED) - {"p"}
+LIST_WALLS = EMBEDDED | frozenset(("ul", "ol", "dl", "table", "select"))
 #: Up to the slash that closes a tag, which is no part of an attribute, or to its end; a slash in an unquoted value is part of that.
 _ATTRIBUTES = r"(?:=\s*+[^\s>\"']*+|[^>\"'=/]++|/(?!>)|\"[^\"]*+\"|'[^']*+')*+"
 _PIECE = re.compile(
@@ -84,6 +87,9 @@ class Page:
         self.names, self.attributes, self.parents, self.first, self.last = ["#page"], [""], [-1], [0], [0]
         self.pieces: list[tuple[int, str, str | None]] = []
         stack = [0]
+        # places in the stack: of each name, and of the walls of both kinds, so that no tag looks through all that is open
+        self.open: dict[str, list[int]] = defaultdict(list)
+        self.walls: dict[frozenset, list[int]] = {BLOCK_WALLS: [0], LIST_WALLS: [0]}
         for m in _PIECE.finditer(source):
             text = m[8]
             if text is None and m[0] == "<":
@@ -96,21 +102,16 @@ class Page:
                 continue
             closing = bool(m[2] or m[5])
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.names[stack[k]] == name:
-                        if name in EMBEDDED:
-                            self._drop(stack, k)
-                        else:
-                            self._close(stack, k)
-                        break
+                if self.open[name]:
+                    (self._drop if name in EMBEDDED else self._close)(stack, self.open[name][-1])
                 if name not in EMBEDDED:
                     self.pieces.append((stack[-1], name, None))
                 continue
             if name in BLOCK:
-                self._end(stack, "p", BLOCK - {"p"})
+                self._end(stack, "p", BLOCK_WALLS)
             if name in ENDS:
-                self._end(stack, name, frozenset(("ul", "ol", "dl", "table", "select")))
-                self._end(stack, ENDS[name], frozenset(("ul", "ol", "dl", "table", "select")))
+                self._end(stack, name, LIST_WALLS)
+                self._end(stack, ENDS[name], LIST_WALLS)
             if name not in EMBEDDED:
                 self.pieces.append((stack[-1], name, None))
             if name not in VOID and not (name in ("svg", "math") and (m[4] or "").endswith("/")):
@@ -119,17 +120,31 @@ class Page:
                 self.parents.append(stack[-1])
                 self.first.append(len(self.pieces))
                 self.last.append(-1)
+                self.open[name].append(len(stack))
+                for names, places in self.walls.items():
+                    if name in names:
+                        places.append(len(stack))
                 stack.append(len(self.names) - 1)
         self._close(stack, 0)
         self._open_embedded()
 
+    def _forget(self, stack: list[int], k: int) -> None:
+        """Take what is open from place k on off the stack."""
+        for e in stack[k:]:
+            if self.open[self.names[e]]:
+                self.open[self.names[e]].pop()
+        for places in self.walls.values():
+            while places[-1] >= max(k, 1):
+                places.pop()
+        del stack[k:]
+
     def _drop(self, stack: list[int], k: int) -> None:
         """Forget an embedded element that its own end tag closes, and all it holds."""
         e = stack[k]
+        self._forget(stack, k)
         del self.pieces[self.first[e] :]
         for column in (self.names, self.attributes, self.parents, self.first, self.last):
             del column[e:]
-        del stack[k:]
 
     def _open_embedded(self) -> None:
         """What follows an embedded element without an end tag is text of the page: it belongs to the element around."""
@@ -145,21 +160,21 @@ class Page:
     def _close(self, stack: list[int], k: int) -> None:
         for e in stack[k:]:
             self.last[e] = len(self.pieces)
-        del stack[k:]
+        self._forget(stack, k)
 
     def _end(self, stack: list[int], name: str, walls: frozenset) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            here = self.names[stack[k]]
-            if here == name:
-                self._close(stack, k)
-                return
-            if here in walls or here in EMBEDDED:
-                return
+        """Close the innermost open element of a name, unless it stands outside of a wall."""
+        if self.open[name] and self.open[name][-1] > self.walls[walls][-1]:
+            self._close(stack, self.open[name][-1])
 
     def main_element(self) -> int | None:
         """The only article or main element (of nested ones the innermost), None if there is none or there are several."""
-        found = [e for e, name in enumerate(self.names) if name in MAIN]
-        inner = [e for e in found if not any(o != e and self.first[o] >= self.first[e] and self.last[o] <= self.last[e] for o in found)]
+        around = [False] * len(self.names)
+        inner = []
+        for e in range(len(self.names) - 1, 0, -1):
+            if self.names[e] in MAIN and not around[e]:
+                inner.append(e)
+            around[self.parents[e]] |= around[e] or self.names[e] in MAIN
         return inner[0] if len(inner) == 1 else None
 
     def set_aside(self) -> list[bool]:
@@ -224,7 +239,7 @@ def main_text(page: Page, weights: dict[str, float], lists: bool = True) -> str:
         low, high = page.first[home], page.last[home]
         prose = None
     else:
-        prose = home
+        prose = _in_prose(page, home) if home is not None else None
     title = _heading(page, aside, low)
     blocks: list[str] = []
     now: list[str] = []
@@ -242,7 +257,7 @@ def main_text(page: Page, weights: dict[str, float], lists: bool = True) -> str:
                 end()
             elif name == "br":
                 now.append(" ")
-        elif not aside[element] and (low <= k < high or (title is not None and page.first[title] <= k < page.last[title]) or (prose is not None and _is_prose(page, element, prose))):
+        elif not aside[element] and (low <= k < high or (title is not None and page.first[title] <= k < page.last[title]) or (prose is not None and prose[element])):
             now.append(text)
     end()
     return "\n".join(blocks)
@@ -256,24 +271,31 @@ def _home(page: Page, aside: list[bool], low: int, high: int) -> int | None:
     home = inside[0][1]
     while home > 0 and not (page.first[home] <= inside[0][0] and inside[-1][0] < page.last[home]):
         home = page.parents[home]
-    while home > 0 and (page.names[home] not in BLOCK or page.names[home] in PROSE) and not _is_layout_cell(page, home):
-        home = page.parents[home]
-    return home
+    prose = np.concatenate([[0], np.cumsum([text is None and name in PROSE for _, name, text in page.pieces], dtype=np.int64)])
 
+    def is_layout_cell(e: int) -> bool:
+        """Whether a table cell holds blocks of its own, besides its end tag."""
+        return page.names[e] in ("td", "th") and prose[max(page.last[e] - 1, page.first[e])] > prose[page.first[e]]
 
-def _is_layout_cell(page: Page, element: int) -> bool:
-    """Whether a table cell holds blocks of its own."""
-    pieces = page.pieces[page.first[element] : page.last[element]]
-    return page.names[element] in ("td", "th") and any(text is None and name in PROSE for _, name, text in pieces[:-1])
+    while home > 0 and (page.names[home] not in BLOCK or page.names[home] in PROSE) and not is_layout_cell(home):
+        home = page.parents[home]
+    return home
 
 
-def _is_prose(page: Page, element: int, home: int) -> bool:
-    """Whether text of an element belongs to a heading, paragraph or list right below the page's body."""
-    while element > 0 and page.names[element] not in BLOCK:
-        element = page.parents[element]
-    while page.names[element] in ("li", "ul", "ol") and page.parents[element] > 0 and page.parents[element] != home:
-        element = page.parents[element]
-    return page.parents[element] == home and (page.names[element] in PROSE or page.names[element] in ("ul", "ol"))
+def _in_prose(page: Page, home: int) -> list[bool]:
+    """Of each element, whether its text belongs to a heading, paragraph or list right below home, the page's body."""
+    out = [False] * len(page.names)
+    # the innermost block around each element, and the outermost list around that; parents stand before their children
+    block, top = list(range(len(out))), list(range(len(out)))
+    for e in range(1, len(out)):
+        name, above = page.names[e], page.parents[e]
+        if name not in BLOCK:
+            block[e] = block[above]
+        if name in ("li", "ul", "ol") and above > 0 and above != home:
+            top[e] = top[above]
+        found = top[block[e]]
+        out[e] = page.parents[found] == home and (page.names[found] in PROSE or page.names[found] in ("ul", "ol"))
+    return out
 
 
 def _count_tags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

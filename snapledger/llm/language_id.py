@@ -7,7 +7,6 @@ to the executors has a fixed size: landmarks x slots while fitting, slots x lang
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,7 +27,6 @@ BATCH = 128
 SHARPNESS = 6.0
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,13 +56,32 @@ class KernelModel:
     intercept: np.ndarray
 
     def scores(self, found: list[np.ndarray]) -> np.ndarray:
-        """One-versus-rest values of texts given by their slots: one matrix product."""
-        x = np.zeros((len(found), len(self.weights)), np.float32)
+        """One-versus-rest values of texts given by their slots: one matrix product over the columns that any of them has."""
+        columns = [c[c >= 0] for c in (self.column[s] for s in found)]
+        used = np.unique(np.concatenate(columns)) if columns else np.empty(0, np.int64)
+        x = np.zeros((len(found), len(used)), np.float32)
+        for i, c in enumerate(columns):
+            x[i, np.searchsorted(used, c)] = 1
+        size = np.sqrt(np.maximum([len(s) for s in found], 1))[:, None]
+        return x @ self.weights[used] / size + self.intercept
+
+
+@dataclass
+class Landmarks:
+    """column: slot to column or -1; presence: columns x landmarks, one where a landmark has the slot; root: kernel values to features."""
+
+    column: np.ndarray
+    presence: np.ndarray
+    sizes: np.ndarray
+    root: np.ndarray
+
+    def features(self, found: list[np.ndarray]) -> np.ndarray:
+        """Nystroem features of texts given by their slots."""
+        shared = np.zeros((len(found), len(self.sizes)))
         for i, s in enumerate(found):
             c = self.column[s]
-            x[i, c[c >= 0]] = 1
-        size = np.sqrt(np.maximum([len(s) for s in found], 1))[:, None]
-        return x @ self.weights / size + self.intercept
+            shared[i] = self.presence[c[c >= 0]].sum(0, dtype=np.int32) / np.sqrt(max(len(s), 1))
+        return shared / np.sqrt(self.sizes) @ self.root
 
 
 def _sample_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,29 +126,30 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int =
     used = np.unique(np.concatenate(marks))
     column = np.full(1 << SLOT_BITS, -1, np.int32)
     column[used] = np.arange(len(used))
-    basis = np.zeros((len(used), len(marks)), np.float32)
+    presence, sizes = np.zeros((len(used), len(marks)), np.uint8), np.array([len(m) for m in marks])
     for j, m in enumerate(marks):
-        basis[column[m], j] = 1 / np.sqrt(len(m))
+        presence[column[m], j] = 1
+    basis = presence / np.sqrt(sizes, dtype=np.float32)
     kernel = basis.T.astype(np.float64) @ basis
     values, vectors = np.linalg.eigh(kernel)
     kept = values > 1e-6 * values[-1]
     root = vectors[:, kept] / np.sqrt(values[kept])
-    mapped = KernelModel(languages, column, (basis @ root).astype(np.float32), np.zeros(int(kept.sum()), np.float32))
-    shipped = docs.sparkSession.sparkContext.broadcast(mapped)
+    # a byte for each slot and landmark: a worker holds a quarter of what the features' weights would take
+    shipped = docs.sparkSession.sparkContext.broadcast(Landmarks(column, presence, sizes, root))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """z'z and z'y of a partition, z being the Nystroem features and a one."""
-        model = shipped.value
-        width = model.weights.shape[1] + 1
-        zz, zy = np.zeros((width, width)), np.zeros((width, len(model.languages)))
+        marks = shipped.value
+        width = marks.root.shape[1] + 1
+        zz, zy = np.zeros((width, width)), np.zeros((width, len(languages)))
         flags = np.zeros(1 << SLOT_BITS, bool)
         for b in batches:
             langs, texts = b.column("lang").to_pylist(), b.column("text")
             for i in range(0, len(langs), BATCH):
                 part = langs[i : i + BATCH]
                 z = np.ones((len(part), width))
-                z[:, :-1] = model.scores([slots(x.as_py(), flags) for x in texts[i : i + BATCH]])
-                y = np.where(np.array(part)[:, None] == np.array(model.languages), 1.0, -1.0)
+                z[:, :-1] = marks.features([slots(x.as_py(), flags) for x in texts[i : i + BATCH]])
+                y = np.where(np.array(part)[:, None] == np.array(languages), 1.0, -1.0)
                 zz += z.T @ z
                 zy += z.T @ y
         yield pa.RecordBatch.from_arrays([pa.array([zz.tobytes()]), pa.array([zy.tobytes()])], ["zz", "zy"])
@@ -184,7 +202,7 @@ def predictions(model: KernelModel | None, texts: pa.Array) -> tuple[list[str],
         asked, found = [], []
         for k, x in enumerate(texts[i : i + BATCH], i):
             text = x.as_py()
-            if text and _LETTER.search(text):
+            if text and any(map(str.isalpha, text)):
                 asked.append(k)
                 found.append(slots(text, flags))
         if asked:
@@ -206,9 +224,11 @@ def known_language(docs: DataFrame, min_score: float = 0.0, id_col: str = "doc_i
     at = docs.columns.index(text_col)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            langs, best = predictions(model.value, b.column(at))
-            yield b.filter(pa.array([lang != UNKNOWN and s >= min_score for lang, s in zip(langs, best, strict=True)], pa.bool_()))
+        for whole in batches:
+            for start in range(0, whole.num_rows, BATCH):
+                b = whole.slice(start, BATCH)
+                langs, best = predictions(model.value, b.column(at))
+                yield b.filter(pa.array([lang != UNKNOWN and s >= min_score for lang, s in zip(langs, best, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(known, docs.schema)
 

@@ -245,19 +245,23 @@ def near_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Of rows with that id the one with the smallest hash of all its columns stays (of rows that are equal throughout any); a row
     without an id stays only where no row of the component has one. The choice is made on ids and hashes alone, and whole rows
-    move once, to meet it. Columns of map type have no hash and do not count.
+    move once, to meet it. Columns may have any name and type; null and empty texts have fingerprint zero and are near copies of
+    one another; a text of any length counts whole; an empty table stays empty.
     """
-    key = F.xxhash64(*(f.name for f in docs.schema if "map<" not in f.dataType.simpleString()))
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rows = docs.select(F.struct(F.col(id_col).alias("id"), key.alias("key")).alias("_id"), F.col(text_col).alias("_text"))
-    fps = stored(fingerprints(rows, "_id", "_text"), "simhash-rows")
+    named = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    hashed = [F.to_json(F.struct(c), {"ignoreNullFields": "false"}) if "map<" in f.dataType.simpleString() else c for c, f in zip(named, docs.schema, strict=True)]
+    whole = docs.select(
+        F.struct(*named).alias("row"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("name"), F.xxhash64(*hashed).alias("key"),
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+    )
+    fps = stored(fingerprints(whole.select(F.struct("id", "key").alias("_id"), F.col("text").alias("_text")), "_id", "_text"), "simhash-rows")
     classes = classes_of(fps.select(F.col("_id.id").alias("_id"), "fp")).withColumnRenamed("component_id", "_keep")
     mine = fps.join(classes, "fp").where(F.col("_id.id").eqNullSafe(F.col("_keep")))
     chosen = mine.groupBy("component").agg(F.min("_id").alias("_id")).select(
-        F.coalesce(F.col("_id.id").cast("string"), F.lit("")).alias("_name"), F.col("_id.key").alias("_key")
+        F.coalesce(F.col("_id.id").cast("string"), F.lit("")).alias("name"), F.col("_id.key").alias("key")
     )
-    marked = docs.withColumn("_name", name).withColumn("_key", key)
-    return marked.join(chosen, ["_name", "_key"], "left_semi").dropDuplicates(["_name", "_key"]).select(*docs.columns)
+    kept = whole.select("row", "name", "key").join(chosen, ["name", "key"], "left_semi").dropDuplicates(["name", "key"])
+    return kept.select("row.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,3 +129,17 @@ def test_components_of_chains_and_loops(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 100), (200, 201), (201, 200), (200, 201), (300, 5)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(1, 31)}, 300: 0, 201: 200}
+
+
+def test_near_distinct_keeps_columns_of_any_name_and_type(spark):
+    schema = "doc_id long, text string, _name string, _key string, name string, key long, `row` string, id string, `a.b` int, tags map<string,int>"
+    rest = ("n", "k", "x", 5, "r", "i", 1)
+    rows = [(1, "one two three four five", *rest, {"a": 1}), (2, "entirely other words stand here", *rest, {"a": 1}), (2, "entirely other words stand here", *rest, {"a": 2})]
+    rows += [(4, None, *rest, None), (3, "", *rest, {}), (None, "no id but words of its own", *rest, {})]
+    got = sh.near_distinct(spark.createDataFrame(rows, schema))
+    assert got.columns == spark.createDataFrame([], schema).columns and got.dtypes == spark.createDataFrame([], schema).dtypes
+    found = sorted(((r["doc_id"] or 0, r["_name"], r["_key"], r["key"], r["a.b"]) for r in got.collect()))
+    assert found == [(i, "n", "k", 5, 1) for i in (0, 1, 2, 3)]
+    assert sh.near_distinct(spark.createDataFrame([], schema)).collect() == []
+    long = spark.createDataFrame([(1, "word " * 200_000), (2, "word " * 200_001), (3, " ".join(f"w{i}" for i in range(50_000)))], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in sh.near_distinct(long).collect()) == [1, 3]

@@ -173,3 +173,29 @@ def test_repeated_and_very_long_pages(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = html_main.extract(pages.selectExpr("*", "'x' AS text", "1 AS n_chars")).collect()
     assert len(got) == len(rows) and {r["n_chars"] for r in got if r["page_id"] == 2} == {5000 * (len(ARTICLE[1]) + 1) - 1}
+
+
+@pytest.mark.parametrize("page", ["<b>{n}text{m}", "<p><div>{n}{h}text", "{a}"])
+def test_unbalanced_pages_take_time_in_proportion(page):
+    """About 1 MB each; every tag once looked through all that is open."""
+    import time
+
+    n = 80_000
+    source = page.format(n="<b>" * n, m="</i>" * n, h="<h1></h1>" * n, a="<article>x</article>" * 50_000)
+    began = time.perf_counter()
+    main_text(Page(source), {})
+    assert time.perf_counter() - began < 15
+
+
+def test_tags_close_what_they_name_and_no_more():
+    page = Page("<div><p>a<b>c</i>d<p>e<table><tr><td><p>f<td>g</table>h</div>k<ul><li>l<ul><li>m</ul><li>n</ul></u>")
+    own = {}
+    for element, _, text in page.pieces:
+        if text is not None:
+            own.setdefault(element, []).append(text)
+    path = lambda e: [page.names[e], *(path(page.parents[e]) if page.parents[e] >= 0 else [])]
+    found = {text: "/".join(path(e)[:-1][::-1]) for e, texts in own.items() for text in texts}
+    assert found == {
+        "a": "div/p", "c": "div/p/b", "d": "div/p/b", "e": "div/p", "f": "div/table/tr/td/p", "g": "div/table/tr/td", "h": "div", "k": "",
+        "l": "ul/li", "m": "ul/li/ul/li", "n": "ul/li",
+    }

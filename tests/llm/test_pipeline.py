@@ -61,5 +61,5 @@ def test_token_files_hold_the_mixture(stages):
 
 def test_every_operator_is_registered():
     names = registry.queries()
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14))
     assert "pipeline" in names and set(registry.oracle_sql()) <= set(names)

@@ -32,7 +32,7 @@ def test_training_rows_are_two_thirds(spark):
 def test_language_of_held_out_texts(spark):
     rows = documents()
     truth = {r[0]: r[4] for r in rows}
-    odd = [(1000, None, "aa"), (1001, "", "bb"), (1002, "123 456 !?", "cc"), (1003, "the of and " * 3000, None)]
+    odd = [(1000, None, "aa"), (1001, "", "bb"), (1002, "123 456 !?", "cc"), (1004, "²", "cc"), (1005, "½ ① 12", "aa"), (1006, "Ⅳ", None), (1003, "the of and " * 3000, None)]
     docs = spark.createDataFrame([r[:3] for r in rows] + odd + [rows[0][:3]], "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
     got = {r["doc_id"]: r for r in identify(docs).collect()}
     held = [i for i in truth if got[i]["held_out"]]
@@ -130,3 +130,20 @@ def test_a_large_benchmark_goes_out_in_shards(spark, monkeypatch):
     assert len(shards) > 3
     found = {n for s in shards for n in s.value.names}
     assert found == set(range(20))
+
+
+@pytest.mark.parametrize("item,doc", [([1] * 400, [1] * 16000), ([1] * 400, ([1] * 300 + [2]) * 54), ([1, 2] * 200, [1, 2] * 8000)])
+def test_repeated_tokens_take_little_time(item, doc):
+    import time
+
+    began = time.perf_counter()
+    tiles = dc.greedy_tiles(item, doc)
+    assert time.perf_counter() - began < 6 and sum(n for *_, n in tiles) == 400
+    small = item[:40], doc[:200]
+    assert dc.greedy_tiles(*small) == brute_tiles(*small, dc.MIN_MATCH)
+
+
+def test_document_of_repeated_tokens_is_tiled_whole(spark):
+    docs = spark.createDataFrame([(1, "0 " * 16_000), (2, "other words " * 40), (3, "x " + "0 1 " * 300)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(1, "0 " * 400)], "item_id long, text string")
+    assert sorted(r["doc_id"] for r in dc.without_leaks(docs, benchmark).collect()) == [2, 3]
