@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapledger.llm.common import full_text, table
+from snapledger.llm.common import RELEASES, full_text, table, worker_of
 
 #: Bytes that are encoded without further halving, bytes from which a window is merged through a heap, tokens joined at once.
 LEAF, HEAP, DECODED = 8, 48, 1024
@@ -205,6 +205,9 @@ def _known(path: str) -> _Known:
     return _Known(_loaded(path))
 
 
+RELEASES += [_loaded.cache_clear, _known.cache_clear]
+
+
 def _runs(batches: Iterator[pa.RecordBatch], column: int, convert, names: list[str]) -> Iterator[pa.RecordBatch]:
     """The batches with a column replaced by the binaries that convert gives for it, in runs of AT_ONCE bytes of them."""
     for b in batches:
@@ -234,6 +237,7 @@ def encoded(
     names = ["id", "ids", *(["decoded"] if with_decoded else [])]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_of("byte_bpe")
         known, split = _known(vocabulary), Splitter(pattern, unlike.value)
         ids_of = known.__getitem__
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from snapledger.llm.common import discard, full_text, in_training, stored, table
+from snapledger.llm.common import discard, full_text, in_training, stored, table, worker_of
 
 #: Longest n-gram, and bits of a slot number.
 ORDER, SLOT_BITS = 3, 17
@@ -85,6 +85,7 @@ class Landmarks:
 
 
 def _sample_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_of("language_id")
     flags = np.zeros(1 << SLOT_BITS, bool)
     for b in batches:
         found = [slots(x.as_py(), flags).astype(np.int32) for x in b.column("text")]
@@ -139,6 +140,7 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int =
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """z'z and z'y of a partition, z being the Nystroem features and a one."""
+        worker_of("language_id")
         marks = shipped.value
         width = marks.root.shape[1] + 1
         zz, zy = np.zeros((width, width)), np.zeros((width, len(languages)))
@@ -224,6 +226,7 @@ def known_language(docs: DataFrame, min_score: float = 0.0, id_col: str = "doc_i
     at = docs.columns.index(text_col)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_of("language_id")
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH):
                 b = whole.slice(start, BATCH)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snapledger.llm.common import full_text, stored, table
+from snapledger.llm.common import full_text, stored, table, worker_of
 from snapledger.operators.components import connected_components
 
 SHINGLE = 4
@@ -49,6 +49,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker_of("simhash")
     for b in batches:
         found = np.array([fingerprint(x.as_py()) for x in b.column(1)], np.uint64).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.int64())], ["_id", "fp"])

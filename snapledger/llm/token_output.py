@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from snapledger.llm.common import full_text, remove, scratch_path, stored, table
+from snapledger.llm.common import RELEASES, full_text, remove, scratch_path, stored, table, trim, worker_of
 from snapledger.llm.wavelet import Shard, WaveletMatrix, dump
 
 END_ID = 2
@@ -77,6 +77,7 @@ def _values(pieces: pa.Array) -> list[bytes]:
 
 
 _encoders: dict[str, Encoder] = {}
+RELEASES.append(_encoders.clear)
 
 
 class Encoder:
@@ -204,6 +205,7 @@ def _parts(texts: pa.Array) -> Iterator[pa.Array]:
 
 def _write_shard(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_of("token_output")
         enc = encoder(path)
         ids: list[np.ndarray] = []
         docs: list[np.ndarray] = []
@@ -221,7 +223,10 @@ def _write_shard(path: str, end_id: int):
             ids.clear()
             shard = TaskContext.get().partitionId()
             blob = dump(matrix, np.concatenate(docs), np.concatenate(lengths), shard, nulls)
+            del matrix, docs, lengths
             yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["blob"])
+            del blob
+        trim()
 
     return run
 
