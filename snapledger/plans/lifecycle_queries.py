@@ -5,6 +5,7 @@ Input views are one text for both engines; the SQL of the operators is written o
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from snapledger.functions import outcomes
@@ -65,6 +66,30 @@ def merged_identities(spark, sf_dir):
     return merge.merge_identities(rows, _pairs(spark, sf_dir))
 
 
+def _chains(spark, sf_dir):
+    """Each customer's orders as a tree: the n-th goes into the order n // 2, the last ones first."""
+    o = D.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    n = o.withColumn("n", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
+    up = n.select("o_custkey", F.col("n").alias("p"), F.col("o_orderkey").alias("c"))
+    return n.withColumn("p", F.expr("n DIV 2")).join(up, ["o_custkey", "p"]).select(
+        F.col("c").cast("string").alias("canonical_id"), F.col("o_orderkey").cast("string").alias("duplicate_id"), (-F.col("n")).alias("seq")
+    )
+
+
+def merged_chain_survivors(spark, sf_dir):
+    return merge.survivors(_chains(spark, sf_dir))
+
+
+def merged_chain_provenance(spark, sf_dir):
+    rows = D.table(spark, sf_dir, "lineitem").selectExpr("cast(l_orderkey AS string) AS job_id", "l_suppkey % 20 AS source_id", "l_partkey % 50 AS source_native_id", "l_shipdate AS first_observed_at", "l_shipdate AS last_observed_at", "l_linestatus = 'O' AS active")
+    return merge.merge_provenance(rows, _chains(spark, sf_dir))
+
+
+def merged_chain_deliveries(spark, sf_dir):
+    rows = _table(spark, sf_dir, "orders", _DELIVERIES).withColumn("payload", F.concat(F.lit('{"ID":"'), "job_id", F.lit('","Company":"x"}')))
+    return merge.merge_deliveries(rows, _chains(spark, sf_dir)).select("job_id", "channel", "recipient", "status", "attempts", "next_attempt_at", "created_at", F.get_json_object("payload", "$.Company").alias("company"))
+
+
 _CANDIDATES = (
     "concat('c', cast(c_custkey AS string)) AS id", "CASE WHEN c_custkey % 23 = 0 THEN 'Anduril Industries' ELSE c_name END AS name",
     "CASE WHEN c_custkey % 5 = 0 THEN 'https://www.jobs.example.net/x' ELSE 'https://own.example.com' END AS website", "c_nationkey % 4 AS kind",
@@ -165,7 +190,7 @@ def roster_order(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        merged_jobs, merged_deliveries, merged_provenance, merged_identities, demotions, demotion_candidates, activated_exactly, first_statuses, link_results,
+        merged_jobs, merged_deliveries, merged_provenance, merged_identities, merged_chain_survivors, merged_chain_provenance, merged_chain_deliveries, demotions, demotion_candidates, activated_exactly, first_statuses, link_results,
         title_places, role_levels, error_texts, company_labels, company_keys, links_not_gone, snapshot_quality, roster_order,
     )
 }
@@ -183,7 +208,20 @@ _GAP = lambda f: f"{f} := CASE WHEN {_STRONG} THEN coalesce(nullif(d.{f}, ''), c
 _SET = lambda f: f"{f} := CASE WHEN {_STRONG} THEN d.{f} ELSE c.{f} END"
 _WITH_URL = lambda f: f"{f} := CASE WHEN {_STRONG} AND d.apply_url <> '' THEN d.{f} ELSE c.{f} END"
 _FIELDS = "company, title, location, apply_url, link_state, link_gone, source_id, authority, posted_at, policy_version, first_seen_at, last_seen_at"
+_ROOTS = """roots AS (SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY o_custkey) AS root FROM orders)"""
 ORACLE = {
+    # whatever the tree, all orders of a customer end in the first one
+    "merged_chain_survivors": f"WITH {_ROOTS} SELECT CAST(o_orderkey AS VARCHAR) AS job_id, CAST(root AS VARCHAR) AS survivor FROM roots WHERE o_orderkey <> root",
+    "merged_chain_provenance": f"""WITH {_ROOTS} SELECT CAST(coalesce(root, l_orderkey) AS VARCHAR) AS job_id, l_suppkey % 20 AS source_id, l_partkey % 50 AS source_native_id,
+        min(l_shipdate) AS first_observed_at, max(l_shipdate) AS last_observed_at, bool_or(l_linestatus = 'O') AS active
+        FROM lineitem LEFT JOIN roots ON l_orderkey = o_orderkey GROUP BY ALL""",
+    # status, attempts and times do not depend on the way
+    "merged_chain_deliveries": f"""WITH {_view('j', 'orders', _DELIVERIES)}, {_ROOTS}
+        SELECT CAST(root AS VARCHAR) AS job_id, channel, recipient,
+               CASE WHEN count(*) = 1 THEN min(status) WHEN bool_or(status = 'sent') THEN 'sent' WHEN bool_or(status = 'suppressed') THEN 'suppressed' WHEN bool_or(status IN ('pending', 'claimed')) THEN 'pending'
+                    WHEN bool_or(status = 'staged') THEN 'staged' ELSE 'failed' END AS status,
+               max(attempts) AS attempts, min(next_attempt_at) AS next_attempt_at, min(created_at) AS created_at, 'x' AS company
+        FROM j JOIN roots ON job_id = CAST(o_orderkey AS VARCHAR) GROUP BY ALL""",
     # the merges of a job, one after the other
     "merged_jobs": f"""WITH {_view('j', 'orders', _JOBS)}, {_PAIRS},
         m AS (SELECT coalesce(canonical_id, id) AS to_id, coalesce(seq, 0) AS seq, j.* FROM j LEFT JOIN pairs ON id = duplicate_id),
