@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from snapledger.functions.board_match import board_matches
 from snapledger.functions.classify import high_signal
 from snapledger.functions.outcomes import any_of
 from snapledger.functions.text import has_phrase, padded_text
@@ -24,7 +25,7 @@ READY, REBASELINE = "ready", "rebaseline"
 def demotion_reason(aggregators: tuple[str, ...], matches: Column) -> Column:
     """Why a route (company, provider, name, website, tags) is given up, null if it stays; the first reason counts.
 
-    aggregators: hosts of job aggregators. matches: whether the board belongs to the candidate.
+    aggregators: hosts of job aggregators. matches: whether the board belongs to the candidate; null counts as no.
     """
     low, excluded, aggregator, mismatch = REASONS
     host = F.lower(F.try_parse_url("website", F.lit("HOST")))
@@ -33,16 +34,19 @@ def demotion_reason(aggregators: tuple[str, ...], matches: Column) -> Column:
     return (
         F.when(~high_signal(F.col("tags")), low).when(blocked, excluded)
         .when((F.col("provider") == "official_careers") & F.coalesce(listed, F.lit(False)), aggregator)
-        .when(~matches, mismatch)
+        .when(~F.coalesce(matches, F.lit(False)), mismatch)
     )
 
 
-def demote(discovered: DataFrame, candidates: DataFrame, health: DataFrame, aggregators: tuple[str, ...], matches: Column, threshold: int = DEMOTE_AFTER) -> DataFrame:
+def demote(discovered: DataFrame, candidates: DataFrame, health: DataFrame, aggregators: tuple[str, ...], matches: Column | None = None, threshold: int = DEMOTE_AFTER) -> DataFrame:
     """discovered (id, candidate_id, company, provider, url, state) with new states, reason, failure_code and candidate_state.
 
     Live routes are held against candidates (id, name, website, tags); those that stay promoted are demoted after `threshold`
-    failures in a row, as health (source_id, state, consecutive_failures) has them.
+    failures in a row, as health (source_id, state, consecutive_failures) has them. Boards are matched by their names and sites, unless
+    matches says otherwise.
     """
+    if matches is None:
+        matches = board_matches(*(F.col(k) for k in ("provider", "url", "name", "candidate_id", "website")), aggregators)
     c = candidates.select(F.col("id").alias("candidate_id"), "name", "website", "tags")
     h = health.select(F.col("source_id").alias("id"), (F.col("state") == "failure").alias("_fails"), F.col("consecutive_failures").alias("_failures"))
     rows = discovered.join(c, "candidate_id", "left").join(h, "id", "left")
