@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapledger.functions.classify import category, region, track
+from snapledger.functions.outcomes import exact_company
 from snapledger.functions.text import digest_prefix, feed_company, feed_text
 from snapledger.operators.admission import rejection_code
 
@@ -19,6 +20,22 @@ def scan_order() -> list[Column]:
     return [F.desc("first_seen_at"), F.asc("company"), F.asc("title"), F.asc("id")]
 
 
+def shown_links(jobs: DataFrame, link_state: str = "link_state") -> DataFrame:
+    """Jobs whose link is not known to be gone; one that was never checked stays."""
+    return jobs.where(~F.col(link_state).eqNullSafe("gone"))
+
+
+def without_hidden(feed: DataFrame, companies: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """feed (id, company, ...) without the companies (company) and the rows (id) that a reader has hidden, spelling of companies aside.
+
+    Anti joins keep rows whose company is null, and hidden nulls hide nothing.
+    """
+    if companies is not None:
+        hidden = companies.select(exact_company(F.col("company")).alias("_hidden")).distinct()
+        feed = feed.join(hidden, exact_company(F.col("company")) == F.col("_hidden"), "left_anti")
+    return feed if ids is None else feed.join(ids.select("id").distinct(), "id", "left_anti")
+
+
 def openings(jobs: DataFrame, now: datetime, url: Column, posted: str | None = "posted_at") -> DataFrame:
     """Admitted postings, one for each identity, with what groups and filters them.
 
@@ -89,6 +106,43 @@ def page(feed: DataFrame, sort: str = "recent", limit=DEFAULT_LIMIT) -> DataFram
     return feed.orderBy(*order).limit(clamp_limit(limit)).drop("_order")
 
 
+def numbered_page(feed: DataFrame, sort: str = "recent", limit=DEFAULT_LIMIT) -> DataFrame:
+    """page with each row's position (from one) and the total of groups before the limit.
+
+    The total is a scalar subquery over the groups' keys alone; positions are given to the page, MAX_LIMIT rows at most.
+    """
+    order = [F.asc("company"), F.asc("title"), F.asc("_order")] if sort == "company" else [F.desc("first_seen_at"), F.asc("company"), F.asc("_order")]
+    total = feed.agg(F.count(F.lit(1))).scalar()
+    first = feed.orderBy(*order).limit(clamp_limit(limit))
+    # one window over the page, which the limit bounds
+    return first.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("bigint")).withColumn("total", total).drop("_order")
+
+
+def page_update(numbered: DataFrame, since: datetime) -> DataFrame:
+    """What a reader that has a page from `since` needs: position, id and total of every row, and the body (a struct) of those that are new."""
+    names = [c for c in numbered.columns if c not in ("position", "id", "total")]
+    body = F.when(F.col("first_seen_at") >= F.lit(since), F.struct(*names))
+    return numbered.select("position", "id", "total", body.alias("body"))
+
+
+def active_ids(update: DataFrame) -> DataFrame:
+    """The ids of a page in their order, as one list."""
+    return update.agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "id"))), lambda x: x["id"]).alias("active_ids"))
+
+
+def from_cache(cached: DataFrame, update: DataFrame, full: DataFrame) -> DataFrame:
+    """The page after an update: new bodies, else those of cached (id, body), in the update's order; `reloaded` is false.
+
+    If any row has neither, the page is that of full (position, id, body) as a whole, and `reloaded` is true. A cached row that the update
+    does not name is gone. The choice is a scalar subquery: full is computed, but nothing of it kept, where the cache will do.
+    """
+    rows = update.select("position", "id", "body").join(cached.select("id", F.col("body").alias("_old")), "id", "left")
+    rows = rows.select("position", "id", F.coalesce("body", "_old").alias("body"))
+    missing = rows.agg(F.count_if(F.col("body").isNull())).scalar()
+    kept = rows.where(missing == 0).withColumn("reloaded", F.lit(False))
+    return kept.unionByName(full.select("position", "id", "body").where(missing > 0).withColumn("reloaded", F.lit(True)))
+
+
 def incremental(feed: DataFrame, since: datetime) -> DataFrame:
     """The bodies of groups that first appeared at `since` or later, and the ids of all of them: active marks the latter."""
     return feed.select("id", (F.col("first_seen_at") >= F.lit(since)).alias("has_body"), "company", "title", "first_seen_at")
@@ -105,3 +159,15 @@ def summary(opened: DataFrame, now: datetime) -> DataFrame:
         F.count_if(F.col("first_seen_at") >= today - F.expr("INTERVAL 6 DAYS")).alias("added_week"),
         F.max("last_seen_at").alias("last_updated_at"),
     )
+
+
+def summary_with_sources(opened: DataFrame, now: datetime, status: DataFrame, known_sources: int = 0) -> DataFrame:
+    """summary with sources_healthy, sources_failed and sources_total, by status (source_id, state) of the sources.
+
+    The total is the number of known sources, or of those with a status if that is more.
+    """
+    counts = lambda c: status.agg(c).scalar()
+    return summary(opened, now).select(
+        "*", counts(F.count_if(F.col("state") == "success")).alias("sources_healthy"), counts(F.count_if(F.col("state") == "failure")).alias("sources_failed"),
+        counts(F.greatest(F.count(F.lit(1)), F.lit(known_sources).cast("bigint"))).alias("sources_total"),
+    )

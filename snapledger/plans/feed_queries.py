@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snapledger.functions.url import canonical_url_plain
-from snapledger.operators import admission, feed
+from snapledger.operators import admission, feed, fold
 from snapledger.plans import domain as D
 from snapledger.plans import sqltext as S
 
 SINCE = datetime(2001, 6, 1)
+PAGE_SINCE = datetime(2001, 10, 5)
 
 
 def _opened(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +51,50 @@ def feed_incremental(spark, sf_dir):
     return feed.incremental(feed.grouped(_opened(spark, sf_dir)), SINCE)
 
 
+def _page(spark, sf_dir):
+    """The first page of openings whose link is not gone and whose company is not hidden."""
+    jobs = D.postings(spark, sf_dir).withColumn("link_state", F.when(F.col("id").endswith("7-A"), "gone").when(F.col("id").endswith("7-N"), "live"))
+    groups = feed.grouped(feed.openings(feed.shown_links(jobs), D.NOW, canonical_url_plain(F.col("apply_url"))))
+    hidden = D.table(spark, sf_dir, "supplier").where("s_nationkey % 3 = 0").select(F.upper("s_name").alias("company"))
+    return feed.numbered_page(feed.without_hidden(groups, hidden), "recent", 200)
+
+
+def feed_page(spark, sf_dir):
+    return _page(spark, sf_dir).select("position", "id", "company", "title", "total")
+
+
+def feed_page_update(spark, sf_dir):
+    u = feed.page_update(_page(spark, sf_dir), PAGE_SINCE)
+    return u.select("position", "id", F.col("body.company").alias("company"))
+
+
+def feed_active_ids(spark, sf_dir):
+    return feed.active_ids(feed.page_update(_page(spark, sf_dir), PAGE_SINCE)).select(F.array_join("active_ids", ",").alias("active_ids"))
+
+
+def _reconciled(spark, sf_dir, cached_until):
+    shown = _page(spark, sf_dir).select("position", "id", "total", "company", "first_seen_at")
+    bodies = shown.select("position", "id", F.struct("company", "first_seen_at").alias("body"))
+    cached = bodies.where(F.col("body.first_seen_at") < F.lit(cached_until)).select("id", F.struct(F.concat(F.lit("old "), "body.company").alias("company"), "body.first_seen_at").alias("body"))
+    out = feed.from_cache(cached, feed.page_update(shown, PAGE_SINCE), bodies)
+    return out.select("position", "id", "body.company", "reloaded")
+
+
+def feed_from_cache(spark, sf_dir):
+    """The cache has all that is older than the update."""
+    return _reconciled(spark, sf_dir, PAGE_SINCE)
+
+
+def feed_reloaded(spark, sf_dir):
+    """The cache ends before the update begins."""
+    return _reconciled(spark, sf_dir, datetime(1990, 1, 1))
+
+
+def feed_source_summary(spark, sf_dir):
+    status = fold.failure_streaks(D.attempts(spark, sf_dir)).select("source_id", "state")
+    return feed.summary_with_sources(_opened(spark, sf_dir), datetime(2001, 8, 30), status, 7)
+
+
 def feed_summary(spark, sf_dir):
     return feed.summary(_opened(spark, sf_dir), datetime(2001, 8, 30))
 
@@ -82,15 +127,28 @@ _OPEN = D.with_views("v_post") + f""",
                    max(first_seen_at) AS first_seen_at, max(last_seen_at) AS last_seen_at, count(*) AS opening_count,
                    string_agg(safe_url, ',' ORDER BY first_seen_at DESC, company, title, id) AS opening_urls, first(id ORDER BY first_seen_at DESC, company, title, id) AS lead
             FROM opened GROUP BY group_key)"""
+_PAGE = _OPEN.replace("FROM v_post WHERE", "FROM v_post WHERE id NOT LIKE '%7-A' AND") + """,
+    vis AS (SELECT * FROM grp WHERE lower(trim(company)) NOT IN (SELECT lower(s_name) FROM supplier WHERE s_nationkey % 3 = 0)),
+    pg AS (SELECT *, row_number() OVER (ORDER BY first_seen_at DESC, company, title, lead) AS position, (SELECT count(*) FROM vis) AS total FROM vis QUALIFY position <= 200)"""
 _COLUMNS = "id, company, title, location, track, category, region, apply_url, first_seen_at, last_seen_at, opening_count, opening_urls"
 
-QUERIES = {f.__name__: f for f in (feed_recent, feed_company_sort, feed_filtered, feed_search, feed_incremental, feed_summary, rejection_codes, admission_rows, rejection_ledger)}
+QUERIES = {f.__name__: f for f in (feed_recent, feed_company_sort, feed_filtered, feed_search, feed_incremental, feed_page, feed_page_update, feed_active_ids, feed_from_cache, feed_reloaded, feed_source_summary, feed_summary, rejection_codes, admission_rows, rejection_ledger)}
 ORACLE = {
     "feed_recent": f"{_OPEN} SELECT {_COLUMNS} FROM grp ORDER BY first_seen_at DESC, company, title, lead LIMIT 200",
     "feed_company_sort": f"{_OPEN} SELECT {_COLUMNS} FROM grp ORDER BY company, title, first_seen_at DESC, lead LIMIT 200",
     "feed_filtered": f"{_OPEN} SELECT {_COLUMNS} FROM grp WHERE region = 'us' AND track = 'internship' AND category = 'software'",
     "feed_search": f"{_OPEN} SELECT {_COLUMNS} FROM grp WHERE contains({S.feed(chr(39).join(['company || ', ' ', ' || title || ', ' ', ' || location']))}, 'quantitative')",
     "feed_incremental": f"{_OPEN} SELECT id, first_seen_at >= TIMESTAMP '2001-06-01' AS has_body, company, title, first_seen_at FROM grp",
+    "feed_page": f"{_PAGE} SELECT position, id, company, title, total FROM pg",
+    "feed_page_update": f"{_PAGE} SELECT position, id, CASE WHEN first_seen_at >= TIMESTAMP '2001-10-05' THEN company END AS company FROM pg",
+    "feed_active_ids": f"{_PAGE} SELECT string_agg(id, ',' ORDER BY position) AS active_ids FROM pg",
+    "feed_from_cache": f"{_PAGE} SELECT position, id, CASE WHEN first_seen_at >= TIMESTAMP '2001-10-05' THEN company ELSE 'old ' || company END AS company, false AS reloaded FROM pg",
+    "feed_reloaded": f"{_PAGE} SELECT position, id, company, true AS reloaded FROM pg",
+    "feed_source_summary": f"""{_OPEN.replace(D.with_views('v_post'), D.with_views('v_post', 'v_att'), 1)},
+        st AS (SELECT source_id, arg_max(ok, strftime("at", '%Y%m%d%H%M%S%f') || arrival) AS ok FROM v_att GROUP BY source_id)
+        SELECT count(*) AS openings, count(DISTINCT group_key) AS roles, count(DISTINCT company_key) AS companies,
+        count(*) FILTER (first_seen_at >= TIMESTAMP '2001-08-30') AS added_today, count(*) FILTER (first_seen_at >= TIMESTAMP '2001-08-24') AS added_week, max(last_seen_at) AS last_updated_at,
+        (SELECT count(*) FROM st WHERE ok) AS sources_healthy, (SELECT count(*) FROM st WHERE NOT ok) AS sources_failed, (SELECT greatest(count(*), 7) FROM st) AS sources_total FROM opened""",
     "feed_summary": f"""{_OPEN} SELECT count(*) AS openings, count(DISTINCT group_key) AS roles, count(DISTINCT company_key) AS companies,
         count(*) FILTER (first_seen_at >= TIMESTAMP '2001-08-30') AS added_today, count(*) FILTER (first_seen_at >= TIMESTAMP '2001-08-24') AS added_week,
         max(last_seen_at) AS last_updated_at FROM opened""",
