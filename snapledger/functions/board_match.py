@@ -33,16 +33,21 @@ GENERIC_WORDS = (
 INSIDE, WORD, LABEL = 4, 4, 3
 
 
+#: Authority and path of an address. Spaces and other signs that a strict reader refuses do occur in paths.
+_ADDRESS = "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)([^?#]*)"
+
+
 def bare_host(url: Column) -> Column:
     """The host of an address in lower case, without a leading `www.`; empty if there is none."""
-    return F.coalesce(F.regexp_replace(F.lower(F.try_parse_url(F.trim(url), F.lit("HOST"))), "^www\\.", ""), F.lit(""))
+    authority = F.regexp_extract(F.trim(url), _ADDRESS, 1)
+    return F.coalesce(F.regexp_replace(F.lower(F.regexp_replace(authority, "^.*@|:[0-9]*$", "")), "^www\\.", ""), F.lit(""))
 
 
 def segments(url: Column) -> Column:
     """The parts of an address's path, decoded and trimmed, without empty ones."""
-    path = F.coalesce(F.try_parse_url(F.trim(url), F.lit("PATH")), F.lit(""))
+    path = F.coalesce(F.regexp_extract(F.trim(url), _ADDRESS, 2), F.lit(""))
     parts = F.split(F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path), "/")
-    return F.filter(F.transform(parts, F.trim), lambda s: s != "")
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def website_brand(url: Column) -> Column:

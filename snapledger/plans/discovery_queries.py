@@ -6,8 +6,9 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
+from snapledger.functions.board_match import board_matches
 from snapledger.functions.text import company_key
-from snapledger.operators import discovery, messages
+from snapledger.operators import discovery, messages, triage
 from snapledger.plans import domain as D
 from snapledger.plans import sqltext as S
 
@@ -24,6 +25,38 @@ def probe_fold(spark, sf_dir):
     return discovery.fold_probes(_probes(spark, sf_dir))
 
 
+_BOARDS = (
+    "o_orderkey AS id", "concat('c', o_custkey) AS candidate_id",
+    "element_at(array('greenhouse', 'Lever', 'ashby', 'workday', 'official_careers', 'smartrecruiters', 'gem', 'unheard_of', 'yc_jobs'), cast(o_orderkey % 9 AS int) + 1) AS provider",
+    """CASE o_orderkey % 9 WHEN 3 THEN concat('https://www.C', o_custkey, '.wd1.example.com/en/jobs') WHEN 4 THEN concat('https://own', o_custkey % 10, '.example.com/jobs')
+        WHEN 8 THEN concat('https://ycombinator.com/companies/x', o_custkey % 7, CASE WHEN o_custkey % 3 = 0 THEN '/jobs' ELSE '' END)
+        ELSE concat('https://b.example.com/', CASE o_custkey % 8 WHEN 0 THEN 'The-' WHEN 1 THEN 'staffing' ELSE '' END, CASE o_custkey % 3 WHEN 0 THEN 'Customer%23' WHEN 1 THEN 'c' ELSE 'other' END,
+            CASE WHEN o_custkey % 3 = 0 THEN '' ELSE concat(o_custkey) END,
+            CASE o_orderkey % 7 WHEN 0 THEN 'Search' WHEN 1 THEN '-health' WHEN 2 THEN '9' WHEN 3 THEN 'executive' WHEN 4 THEN ' labs' ELSE '' END, '/x') END AS url""",
+)
+
+
+def _boards(spark, sf_dir):
+    """Boards of orders and the customers that they may belong to."""
+    c = D.table(spark, sf_dir, "customer").selectExpr("concat('c', c_custkey) AS candidate_id", "c_name AS name", "concat('https://www.own', c_nationkey % 10, '.example.com/about') AS website")
+    return D.table(spark, sf_dir, "orders").selectExpr(*_BOARDS), c
+
+
+def board_owners(spark, sf_dir):
+    found, c = _boards(spark, sf_dir)
+    match = board_matches(*(F.col(k) for k in ("provider", "url", "name", "candidate_id", "website")), ("own3.example.com",))
+    return found.join(c, "candidate_id").select("id", match.alias("belongs"))
+
+
+def foreign_boards(spark, sf_dir):
+    """What demotion does with boards that belong to nobody or to others."""
+    found, c = _boards(spark, sf_dir)
+    found = found.selectExpr("*", "'Some Company' AS company", "CASE WHEN id % 2 = 0 THEN 'promoted' ELSE 'candidate' END AS state")
+    health = D.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS source_id", "'failure' AS state", "o_orderkey % 6 AS consecutive_failures")
+    tagged = c.withColumnRenamed("candidate_id", "id").withColumn("tags", F.array(F.lit("priority-1"), F.lit("yc-top")))
+    return triage.demote(found, tagged, health, ("own3.example.com",)).select("id", "state", "reason", "candidate_state")
+
+
 def _discovered(spark, sf_dir):
     """Routes of slug providers and of others, spelt in either case, in every state."""
     c = D.table(spark, sf_dir, "customer")
@@ -76,14 +109,31 @@ def rendered_messages(spark, sf_dir):
     return p.select("id", F.md5(text).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (probe_fold, route_duplicates, catalog_duplicates, market_targets, refresh_candidates, search_results, company_equality, rendered_messages)}
+QUERIES = {f.__name__: f for f in (board_owners, foreign_boards, probe_fold, route_duplicates, catalog_duplicates, market_targets, refresh_candidates, search_results, company_equality, rendered_messages)}
 _DISC = """WITH d AS (SELECT c_custkey AS id, (['lever', 'Lever', 'workday'])[c_custkey // 4 % 3 + 1] AS provider,
     (CASE WHEN c_custkey % 2 = 0 THEN 'HTTPS://B/Board' ELSE 'https://b/board' END) || (c_custkey % 60) || CASE WHEN c_custkey % 3 = 0 THEN '/' ELSE '' END AS url,
     (['promoted', 'candidate', 'unhealthy', 'duplicate', 'rejected'])[c_nationkey % 5 + 1] AS state,
     CASE WHEN c_custkey % 4 = 0 THEN TIMESTAMP '2001-01-01' + to_days((c_custkey % 50)::INTEGER) END AS promoted_at, c_custkey % 17 AS last_checked_at FROM customer)"""
 _ESC = lambda x: f"replace(replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&#34;'), '''', '&#39;')"
 _T = "title || ' & ' || company"
+_OWNERS = f"""WITH o AS (SELECT {', '.join(_BOARDS).replace('element_at(array(', 'list_extract(list_value(').replace("concat('c', o_custkey)", "'c' || o_custkey").replace('AS int)', 'AS INTEGER)')} FROM orders),
+    r AS (SELECT o.id, lower(provider) AS provider, url, c_name AS name, o.candidate_id AS cid, 'own' || (c_nationkey % 10) AS brand, regexp_replace(lower(regexp_extract(url, '^https://([^/]*)', 1)), '^www[.]', '') AS host,
+                 string_split(replace(regexp_extract(url, '^https://[^/]*/(.*)$', 1), '%23', '#'), '/') AS path FROM o JOIN customer ON o.candidate_id = 'c' || c_custkey),
+    k AS (SELECT *, regexp_replace(lower(CASE provider WHEN 'workday' THEN string_split(host, '.')[1] ELSE '' END || path[1]), '[^a-z0-9]', '', 'g') AS board,
+                 [regexp_replace(lower(name), '[^a-z0-9]', '', 'g'), cid, brand] AS ids,
+                 list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda w: length(w) >= 4) AS words FROM r),
+    v AS (SELECT *, board IN ('staffing' || ids[1], 'staffing' || ids[2], ids[1] || 'search', ids[2] || 'search', 'staffing' || ids[3], ids[3] || 'search')
+                    OR len(list_filter(ids, lambda i: starts_with(regexp_replace(board, '^the', ''), i) AND regexp_matches(substr(regexp_replace(board, '^the', ''), length(i) + 1), '^([0-9]+|health)$'))) > 0 AS veto,
+                 len(list_filter(ids, lambda i: i = board OR (length(i) >= 4 AND (contains(board, i) OR contains(i, board))))) > 0 OR len(list_filter(words, lambda w: contains(board, w))) > 0 AS named FROM k),
+    b AS (SELECT id, CASE provider WHEN 'unheard_of' THEN false WHEN 'official_careers' THEN host = brand || '.example.com' AND host <> 'own3.example.com'
+                 WHEN 'yc_jobs' THEN len(path) >= 3 AND path[3] = 'jobs' AND (contains(ids[1], path[2]) OR contains(path[2], ids[1]) OR contains(cid, path[2]) OR contains(path[2], cid))
+                 ELSE NOT veto AND NOT contains(board, 'executive') AND named END AS belongs, host, provider FROM v)"""
 ORACLE = {
+    "board_owners": f"{_OWNERS} SELECT id, belongs FROM b",
+    "foreign_boards": f"""{_OWNERS}, w AS (SELECT *, CASE WHEN provider = 'official_careers' AND host_of_site = 'own3.example.com' THEN 'official route belongs to a job aggregator'
+            WHEN NOT belongs THEN 'discovered board identity does not match candidate company' END AS reason FROM (SELECT b.*, v.brand || '.example.com' AS host_of_site FROM b JOIN v USING (id)))
+        SELECT id, CASE WHEN reason IS NOT NULL OR (id % 2 = 0 AND id % 6 >= 3) THEN 'unhealthy' WHEN id % 2 = 0 THEN 'promoted' ELSE 'candidate' END AS state, reason,
+               CASE WHEN reason LIKE 'official%' THEN 'duplicate' WHEN reason IS NOT NULL OR (id % 2 = 0 AND id % 6 >= 3) THEN 'retry' END AS candidate_state FROM w""",
     "probe_fold": """WITH p AS (SELECT 'lever' AS provider, 'https://x/a' || user_id AS route, event_id AS seq, 'c' || (event_id % 9) AS candidate_id, event_type = 'view' AS ok, value > 15 AS seen FROM events),
         o AS (SELECT *, first_value(candidate_id) OVER (PARTITION BY route ORDER BY seq) AS owner FROM p), m AS (SELECT *, sum(ok::INTEGER) OVER (PARTITION BY route ORDER BY seq ROWS UNBOUNDED PRECEDING) AS island FROM o WHERE owner = candidate_id),
         l AS (SELECT *, max(island) OVER (PARTITION BY route) AS last_island FROM m),

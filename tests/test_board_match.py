@@ -16,6 +16,7 @@ CASES = [
     ("lever", "https://jobs.lever.co/xai", "xAI", "x-ai", "", True),
     ("lever", "https://jobs.lever.co/xaiworld", "xAI", "x", "", False),
     ("ashby", "https://jobs.ashbyhq.com/Acme%20Robotics", "Acme Robotics", "acme", "", True),
+    ("ashby", "https://user@jobs.ashbyhq.com:443/Acme Robotics|x/y?z", "Acme", "acme", "", True),
     ("ashby", "https://jobs.ashbyhq.com/", "Acme", "acme", "", False),
     ("greenhouse", "https://boards.greenhouse.io/acmeexperienced", "Acme", "acme", "", False),
     ("workday", "https://acme.wd5.myworkdayjobs.com/Careers", "Acme", "acme", "", True),
@@ -30,6 +31,7 @@ CASES = [
     ("official_careers", "https://aumovio.com", "Aumovio", "aumovio", "https://www.jobs.aumovio.com", True),
     ("official_careers", "https://startup.jobs/company/acme", "Acme", "acme", "https://startup.jobs/company/acme", False),
     ("official_careers", "https://acme.com", "Acme", "acme", None, False),
+    ("lever", "https://jobs.lever.co/c61/2x2", "Zz", "c61", "", True),
     ("unheard_of", "https://unheard.example/acme", "Acme", "acme", "", False),
     ("lever", "not an address", "Acme", "acme", "", False),
     ("lever", None, "Acme", "acme", "", False),
