@@ -1,4 +1,4 @@
-"""Candidate resolution and fetched pages over the driver tables; the SQL says by hand what must come out."""
+"""Candidate resolution, fetched pages, market names and generations of files over the driver tables; the SQL says by hand what must come out."""
 
 from __future__ import annotations
 
@@ -6,9 +6,10 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from snapledger.operators import resolution
+from snapledger.operators import market_names, resolution
 from snapledger.plans import domain as D
-from snapledger.sources import fetched
+from snapledger.scratch import scratch_path
+from snapledger.sources import fetched, generations
 
 AGGREGATORS = ("own7.example.com",)
 
@@ -71,7 +72,48 @@ def page_rejections(spark, sf_dir):
     return fetched.rejections(_fetched(spark, sf_dir)).select("reject_reason", "pages", *(F.col(f"sample_{k}.url").alias(f"url_{k}") for k in (1, 2, 3)))
 
 
-QUERIES = {f.__name__: f for f in (resolved_candidates, candidate_searches, candidate_pages, page_postings, page_rejections)}
+_NAMES = "element_at(array('Builtin Place', 'SonyGlobal', ' Blue  Sky ', 'hirify', 'The Job Board', 'WalleyeCapital external students'), cast(c_custkey % 6 AS int) + 1)"
+
+
+def _named(spark, sf_dir):
+    """Customers as candidates, named as market searches name them, some on job sites."""
+    return D.table(spark, sf_dir, "customer").selectExpr(
+        "c_custkey AS id", f"{_NAMES} AS name", "CASE c_custkey % 7 WHEN 0 THEN 'https://jobs.indeed.com/x' WHEN 1 THEN 'https://notindeed.com' ELSE '' END AS website",
+        "CASE WHEN c_custkey % 4 = 0 THEN array('curated') ELSE array('x', 'auto-market-search') END AS tags",
+        "element_at(array('pending', 'retry', 'validating', 'promoted', 'parked'), cast(c_nationkey % 5 AS int) + 1) AS state", "'' AS last_error",
+    )
+
+
+def screened_candidates(spark, sf_dir):
+    return market_names.screen_candidates(_named(spark, sf_dir)).select("id", "name", "state", "last_error")
+
+
+def renamed_sources(spark, sf_dir):
+    c = _named(spark, sf_dir)
+    found = D.table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_custkey AS candidate_id", "'as before' AS company")
+    return market_names.renamed_sources(found, c, market_names.screen_candidates(c)).select("id", "company")
+
+
+def mixed_generations(spark, sf_dir):
+    """Orders as three generations of files have them, read back as one table."""
+    o = D.table(spark, sf_dir, "orders")
+    made = (
+        o.where("o_orderkey % 3 = 0").selectExpr("cast(o_orderkey AS string) AS id", "o_orderstatus AS note"),
+        o.where("o_orderkey % 3 = 1").selectExpr("o_orderkey AS id", "o_orderpriority AS priority", "cast(o_orderdate AS date) AS ordered"),
+        o.where("o_orderkey % 3 = 2").selectExpr("o_orderkey AS id", "named_struct('priority', o_orderpriority, 'status', o_orderstatus) AS handling", "cast(o_orderdate AS timestamp) AS ordered_at"),
+    )
+    folders = [scratch_path(spark, f"generation-{k}") for k in range(len(made))]
+    for rows, folder in zip(made, folders, strict=True):
+        rows.write.parquet(folder)
+    layout = {"id": ("bigint", "id"), "priority": ("string", "handling.priority", "priority", "'none'"), "ordered": ("date", "ordered_at", "ordered", "NULL")}
+    return generations.scan(spark, folders, layout)
+
+
+QUERIES = {f.__name__: f for f in (resolved_candidates, candidate_searches, candidate_pages, page_postings, page_rejections, screened_candidates, renamed_sources, mixed_generations)}
+_SCREEN = """WITH c AS (SELECT c_custkey AS id, (['Builtin Place', 'SonyGlobal', ' Blue  Sky ', 'hirify', 'The Job Board', 'WalleyeCapital external students'])[c_custkey % 6 + 1] AS old,
+        c_custkey % 4 <> 0 AS market, c_custkey % 6 IN (0, 3) OR c_custkey % 7 = 0 AS site, (['pending', 'retry', 'validating', 'promoted', 'parked'])[c_nationkey % 5 + 1] AS state FROM customer),
+    s AS (SELECT id, old, CASE WHEN market AND NOT site THEN CASE id % 6 WHEN 1 THEN 'Sony' WHEN 2 THEN 'Blue Sky' WHEN 5 THEN 'Walleye Capital' ELSE old END ELSE old END AS name,
+        market AND site AND state NOT IN ('promoted', 'parked') AS ended, state FROM c)"""
 _CUSTOMERS = """WITH c AS (SELECT c_custkey AS k, 'c' || c_custkey AS cid, c_name AS name, lower(replace(c_name, '#', '')) AS slug FROM customer),
     o AS (SELECT o_orderkey AS n, c.*, n % 3 <> 0 AS said FROM orders JOIN c ON o_custkey = k)"""
 # what the titles and texts of pages must come out as, by their numbers
@@ -86,6 +128,9 @@ _READ = """WITH p AS (SELECT o_orderkey AS n, o_orderkey % 7 AS t, o_orderkey //
             CASE WHEN b = 3 THEN 'blocked_source' WHEN b = 1 THEN 'closed_or_not_live' WHEN t = 4 THEN 'content_or_program_page' WHEN t IN (2, 5) THEN 'not_specific_early_career_software'
                  WHEN t = 3 THEN 'aggregate_listing' WHEN location = '' THEN 'missing_location' END AS reject_reason FROM r)"""
 ORACLE = {
+    "screened_candidates": f"""{_SCREEN} SELECT id, name, CASE WHEN ended THEN 'duplicate' ELSE state END AS state, CASE WHEN ended THEN 'market result points to blocked job aggregator' ELSE '' END AS last_error FROM s""",
+    "renamed_sources": f"{_SCREEN} SELECT o_orderkey AS id, CASE WHEN name <> old THEN name ELSE 'as before' END AS company FROM orders LEFT JOIN s ON o_custkey = id",
+    "mixed_generations": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN 'none' ELSE o_orderpriority END AS priority, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate::DATE END AS ordered FROM orders",
     "resolved_candidates": f"""{_CUSTOMERS},
         b AS (SELECT DISTINCT k, 1 AS rank, CASE n % 97 WHEN 1 THEN 'greenhouse' WHEN 2 THEN 'lever' ELSE 'workday' END AS provider,
                 CASE n % 97 WHEN 1 THEN 'https://job-boards.greenhouse.io/' || slug WHEN 2 THEN 'https://jobs.lever.co/' || slug ELSE 'https://' || slug || '.wd5.myworkdayjobs.com/Jobs' END AS url, 'Jobs at ' || name AS evidence
