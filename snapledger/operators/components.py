@@ -56,3 +56,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         after = stored(_small_star(_large_star(now)), "edges")
         discard(now)
         now = after
+
+
+def linked_groups(pairs: DataFrame) -> DataFrame:
+    """node and component of the groups that items connect, of pairs (a: group, b: item); groups that share no item with another are left out.
+
+    Only items of several groups link anything, so rows whose items are their own never enter the rounds.
+    """
+    ends = pairs.groupBy("b").agg(F.min("a").alias("_least"), F.max("a").alias("_most")).where("_least <> _most").select("b", "_least")
+    return connected_components(pairs.join(ends, "b").select("a", F.col("_least").alias("b")))

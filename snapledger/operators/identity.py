@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snapledger.functions.text import canonical_text, company_key, digest_prefix, in_feed_text, feed_text
-from snapledger.operators.components import connected_components
+from snapledger.operators.components import linked_groups
 from snapledger.scratch import stored
 
 #: Rows that a task resolves (about; whole chains).
@@ -139,19 +139,20 @@ def stable_id(keys: Column) -> Column:
 def blocks(rows: DataFrame) -> DataFrame:
     """rows (company_id, native) with block: what companies and native ids connect. A renamed company stays in one block."""
     node = lambda prefix, c: F.xxhash64(F.lit(prefix), F.col(c))
-    edges = rows.where("native IS NOT NULL").select(node("c", "company_id").alias("a"), node("n", "native").alias("b")).distinct()
-    parts = connected_components(edges)
+    parts = linked_groups(rows.where("native IS NOT NULL").select(node("c", "company_id").alias("a"), node("n", "native").alias("b")))
     keyed = rows.withColumn("_node", node("c", "company_id"))
     return keyed.join(parts, keyed["_node"] == parts["node"], "left").withColumn("block", F.coalesce("component", "_node")).drop("_node", "node", "component")
 
 
 def chains(rows: DataFrame) -> DataFrame:
-    """rows (block, keys) with chain: what shared keys connect inside a block. Rows of different chains never meet in the resolution."""
+    """rows (block, keys) with chain: what shared keys connect inside a block. Rows of different chains never meet in the resolution.
+
+    Rows are grouped by their last key, which most share; the other keys link these groups. An address is never but the last.
+    """
     node = lambda key: F.xxhash64("block", key)
-    first = F.element_at("keys", 1)
-    pairs = rows.where(F.size("keys") > 1).select("block", first.alias("first"), F.explode(F.slice("keys", 2, 2**31 - 1)).alias("other"))
-    parts = connected_components(pairs.select(node(F.col("first")).alias("a"), node(F.col("other")).alias("b")).distinct())
-    keyed = rows.withColumn("_node", node(first))
+    last = node(F.element_at("keys", -1))
+    parts = linked_groups(rows.where(F.size("keys") > 1).select("block", last.alias("a"), F.explode(F.filter("keys", lambda k: ~k.startswith("url:"))).alias("key")).select("a", node(F.col("key")).alias("b")))
+    keyed = rows.withColumn("_node", last)
     return keyed.join(parts, keyed["_node"] == parts["node"], "left").withColumn("chain", F.coalesce("component", "_node")).drop("_node", "node", "component")
 
 
@@ -183,10 +184,10 @@ def resolve(observations: DataFrame, canonical: Column, order: list[str], replay
         jobs: list[str] = []
         for end in ends:
             jobs += _resolve_block({c: v[len(jobs) : end] for c, v in columns.items()}, replay_merge)
-        return pd.DataFrame({"_row": pdf["_row"].values, "_job": jobs})
+        return pd.DataFrame({"_row": pdf["_row"].values, "_job": [bytes.fromhex(j) for j in jobs]})
 
-    solved = dealt.groupBy("_task").applyInPandas(work, "_row bigint, _job string")
-    return rows.drop("company_id", "native").join(solved, "_row", "left").withColumn("job_id", F.col("_job")).drop("_row", "_job")
+    solved = dealt.groupBy("_task").applyInPandas(work, "_row bigint, _job binary")
+    return rows.drop("company_id", "native").join(solved, "_row", "left").withColumn("job_id", F.lower(F.hex("_job"))).drop("_row", "_job")
 
 
 def _resolve_block(pdf: pd.DataFrame | dict[str, list], replay_merge: bool) -> list[str]:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from snapledger.functions.text import company_key, digest_prefix
 from snapledger.operators import merge
-from snapledger.operators.components import connected_components
+from snapledger.operators.components import linked_groups
 from snapledger.operators.identity import TASK_ROWS, identity_keys
 from snapledger.operators.passes import replaced
 from snapledger.scratch import stored
@@ -42,7 +42,7 @@ AT = "at:"
 #: Rows of no given authority are the weakest.
 WEAKEST = 100
 _FIELDS = [f.split()[0] for f in JOBS.split(", ")]
-_OUT = f"kind string, row bigint, key string, job_id string, other string, seq bigint, job struct<{', '.join(f.replace(' ', ':', 1) for f in JOBS.split(', '))}>"
+_OUT = f"kind string, row bigint, key string, job_id string, other string, seq bigint, first_at timestamp, last_at timestamp, active boolean, job struct<{', '.join(f.replace(' ', ':', 1) for f in JOBS.split(', '))}>"
 
 
 @dataclass
@@ -150,7 +150,7 @@ def _plain(records: list[dict]) -> list[dict]:
     return [{k: None if v is pd.NaT else v for k, v in r.items()} for r in records]
 
 
-def _work(order: list[str], policy: str):
+def _work(order: list[str], policy: str, announced: bool):
     def work(rows: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         known: dict[int, list[dict]] = {}
         for h in _plain(held.to_dict("records")):
@@ -160,19 +160,26 @@ def _work(order: list[str], policy: str):
             c = _Chain(policy)
             for h in known.get(chain, ()):
                 c.load({f: h[f] for f in _FIELDS}, list(h["keys"]))
+            seen: dict[tuple, tuple] = {}
             for row in part:
                 row["keys"] = list(row["keys"])
                 job, merges, conflict = c.apply(row)
                 if conflict is not None:
-                    out.append(("conflict", row["row"], *conflict, None, None, None))
+                    out.append({"kind": "conflict", "row": row["row"], "key": conflict[0], "job_id": conflict[1]})
                     continue
-                out.append(("row", row["row"], None, job, None, None, None))
+                if announced:
+                    out.append({"kind": "row", "row": row["row"], "job_id": job})
+                at, place = row["observed_at"], (job, row["source_id"], row["source_native_id"])
+                first, last, active = seen.get(place, (at, at, False))
+                seen[place] = (min(first, at), max(last, at), active or not row["snapshot_pending"])
                 for winner, loser in merges:
                     seq += 1
-                    out.append(("merge", None, None, winner, loser, seq, None))
-            out += [("key", None, k, c.current(j), None, None, None) for k, j in c.owner.items() if k not in c.old_keys]
-            out += [("job", None, None, j, None, None, tuple(c.jobs[j][f] for f in _FIELDS)) for j in sorted({c.current(j) for j in c.changed})]
-        return pd.DataFrame(out, columns=["kind", "row", "key", "job_id", "other", "seq", "job"]).astype({"row": "Int64", "seq": "Int64"})
+                    out.append({"kind": "merge", "job_id": winner, "other": loser, "seq": seq})
+            out += [{"kind": "seen", "job_id": j, "other": s, "key": n, "first_at": first, "last_at": last, "active": active} for (j, s, n), (first, last, active) in seen.items()]
+            out += [{"kind": "key", "key": k, "job_id": c.current(j)} for k, j in c.owner.items() if k not in c.old_keys]
+            out += [{"kind": "job", "job_id": j, "job": tuple(c.jobs[j][f] for f in _FIELDS)} for j in sorted({c.current(j) for j in c.changed})]
+        names = ["kind", "row", "key", "job_id", "other", "seq", "first_at", "last_at", "active", "job"]
+        return pd.DataFrame({n: [o.get(n) for o in out] for n in names}).astype({"row": "Int64", "seq": "Int64", "active": "boolean"})
 
     return work
 
@@ -208,32 +215,34 @@ def observe(observations: DataFrame, state: dict[str, DataFrame], canonical: Col
     at = at.select(F.concat(F.lit(AT), "key").alias("key"), "job_id")
     touched = stored(state["identities"].join(named, "key", "left_semi").select("key", "job_id").unionByName(at), "observe-keys")
     node = lambda prefix, c: F.xxhash64(F.lit(prefix), c)
-    first = node("k", F.get("keys", F.lit(0)))
-    links = rows.select(first.alias("a"), F.explode("keys").alias("k")).select("a", node("k", F.col("k")).alias("b")).where("a <> b")
-    links = links.unionByName(touched.select(node("k", F.regexp_replace("key", f"^{AT}", "")).alias("a"), node("j", F.col("job_id")).alias("b"))).distinct()
-    parts = stored(connected_components(links).select("node", "component"), "observe-chains")
+    # rows are grouped by their last key; other keys, and jobs that own keys, link the groups
+    last = node("k", F.element_at("keys", -1))
+    pairs = rows.select(last.alias("a"), F.explode("keys").alias("k")).select("a", node("k", F.col("k")).alias("b"))
+    owned = touched.select("job_id", node("k", F.regexp_replace("key", f"^{AT}", "")).alias("b"))
+    owned = stored(owned.join(pairs.groupBy("b").agg(F.min("a").alias("a")), "b").select("job_id", "a").distinct(), "observe-owned")
+    parts = stored(linked_groups(pairs.unionByName(owned.select("a", node("j", F.col("job_id")).alias("b")))), "observe-chains")
     with_chain = lambda df, n: df.withColumn("node", n).join(parts, "node", "left").withColumn("chain", F.coalesce("component", "node")).drop("node", "component")
     tasks = max(1, -(-rows.count() // TASK_ROWS))
     task = F.pmod(F.xxhash64("chain", F.lit("task")), F.lit(tasks))
     held = touched.groupBy("job_id").agg(F.collect_list("key").alias("keys")).join(state["jobs"].withColumnRenamed("id", "job_id"), "job_id").withColumnRenamed("job_id", "id")
-    held = with_chain(held, node("j", F.col("id"))).withColumn("_task", task)
-    sent = with_chain(rows.drop("snapshot_pending", "source_native_id", "first_status"), first).withColumn("_task", task)
+    held = held.join(owned.groupBy("job_id").agg(F.min("a").alias("_group")).withColumnRenamed("job_id", "id"), "id")
+    held = with_chain(held, F.col("_group")).drop("_group").withColumn("_task", task)
+    sent = with_chain(rows.drop("first_status"), last).withColumn("_task", task)
     if "observed_at" in order:
         sent = sent.withColumn("observed_at", F.col("seen_at"))
     else:
         sent = sent.withColumnRenamed("seen_at", "observed_at")
-    done = stored(sent.groupBy("_task").cogroup(held.groupBy("_task")).applyInPandas(_work(order, policy), _OUT), "observe")
+    done = stored(sent.groupBy("_task").cogroup(held.groupBy("_task")).applyInPandas(_work(order, policy, target is not None), _OUT), "observe")
 
-    pairs = done.where("kind = 'merge'").select(F.col("job_id").alias("canonical_id"), F.col("other").alias("duplicate_id"), "seq")
+    pairs = stored(done.where("kind = 'merge'").select(F.col("job_id").alias("canonical_id"), F.col("other").alias("duplicate_id"), "seq"), "observe-merges")
     ends = merge.survivors(pairs)
     settled = lambda df: df.join(ends, "job_id", "left").withColumn("job_id", F.coalesce("survivor", "job_id")).drop("survivor")
-    placed = rows.join(done.where("kind = 'row'").select("row", "job_id"), "row")
 
     jobs = state["jobs"].join(pairs.select(F.col("duplicate_id").alias("id")), "id", "left_anti")
     jobs = replaced(jobs, done.where("kind = 'job'").select("job.*"), "id")
     added = done.where("kind = 'key'").select("key", "job_id")
-    seen = placed.groupBy("job_id", "source_id", "source_native_id").agg(
-        F.min("seen_at").alias("first_observed_at"), F.max("seen_at").alias("last_observed_at"), F.bool_or(~F.col("snapshot_pending")).alias("active")
+    seen = done.where("kind = 'seen'").select(
+        "job_id", F.col("other").alias("source_id"), F.col("key").alias("source_native_id"), F.col("first_at").alias("first_observed_at"), F.col("last_at").alias("last_observed_at"), "active"
     )
     tables = {
         "jobs": jobs,
@@ -245,6 +254,7 @@ def observe(observations: DataFrame, state: dict[str, DataFrame], canonical: Col
         "conflicts": done.where("kind = 'conflict'").select("row", "key", "job_id"),
     }
     if target is not None:
+        placed = rows.join(done.where("kind = 'row'").select("row", "job_id"), "row")
         new = placed.groupBy("job_id").agg(*(F.min_by(c, F.struct(*order)).alias(c) for c in ("first_status", "seen_at", "company", "title", "apply_url")))
         at_target = state["deliveries"].where((F.col("channel") == target.channel) & (F.col("recipient") == target.recipient))
         new = new.join(at_target.select("job_id"), "job_id", "left_anti").select(
