@@ -36,6 +36,8 @@ SITES = {
 _TEAMTAILOR_APPLY = "(?is)data-careersite--jobs--form-overlay-job-application-url-value=[\"']([^\"']+)[\"']"
 _JOBVITE_TITLE = "(?is)<h[12][^>]*class=[\"'][^\"']*jv-header[^\"']*[\"'][^>]*>(.*?)</h[12]>"
 _JOBVITE_COMPANY = "(?is)function\\s+getCompanyName\\(\\)\\s*\\{\\s*return\\s*[\"']([^\"']+)[\"']"
+#: Pairs that a table of leaps may have, as a multiple of the links.
+LEAP_GROWTH = 4
 _JOB_PATHS = ("/job", "/jobs/", "/careers/", "/career/", "/position", "/positions/", "/opening", "/openings/", "/opportunit", "/requisition", "/role/")
 _OTHER_PATHS = ("/blog/", "/news/", "/press/", "/privacy", "/terms", "/legal", "/events/")
 
@@ -194,25 +196,45 @@ def paging(pages: DataFrame, page_size: int, result_limit: int) -> DataFrame:
     )
 
 
+def _leaps(links: DataFrame) -> tuple[list[DataFrame], bool]:
+    """Tables (url, to) of what lies 1, 2, 4, ... links (url, to) ahead, and whether they span every way there is.
+
+    A table as long as LEAP_GROWTH times the links is not made: where many links meet in one place, steps take its stead.
+    """
+    total, sources = links.count(), links.select("url").distinct().count()
+    leaps, span = [links], 2
+    while span <= sources:
+        last = leaps[-1]
+        ways = last.groupBy(F.col("to").alias("url")).agg(F.count(F.lit(1)).alias("i")).join(last.groupBy("url").agg(F.count(F.lit(1)).alias("o")), "url")
+        if (ways.agg(F.sum(F.col("i").cast("double") * F.col("o"))).first()[0] or 0) > LEAP_GROWTH * total:
+            return leaps, False
+        ahead = last.select(F.col("url").alias("to"), F.col("to").alias("_further"))
+        leaps.append(stored(last.join(ahead, "to").select("url", F.col("_further").alias("to")).distinct(), "sitemap-leaps"))
+        span *= 2
+    return leaps, True
+
+
 def crawl_sitemaps(roots: DataFrame, documents: DataFrame) -> DataFrame:
     """(root, url) of all pages that root sitemaps (url) reach through indexes of any depth, by documents (url, payload).
 
-    A level at a time; a document that a root has already reached is not read again, so loops of indexes end. Every
-    level is a stored table. Documents that were not fetched give nothing.
+    Every document is read once. Roots run ahead over the links of indexes in leaps of doubling length, so a chain of indexes takes as
+    many rounds as its length has binary digits; what a root has reached is not followed again, so loops end. Every round is
+    a stored table. Documents that were not fetched give nothing.
     """
+    entries = sitemap_urls(documents).select(F.col("url").alias("entry"), "parent", "is_index")
+    entries = stored(entries.select(F.col("parent").alias("url"), resolve(F.col("parent"), F.col("entry")).alias("to"), "is_index").distinct(), "sitemap-entries")
+    leaps, whole = _leaps(stored(entries.where("is_index AND url <> to").select("url", "to"), "sitemap-links"))
     frontier = stored(roots.select(F.col("url").alias("root"), "url").distinct(), "sitemaps")
-    seen, found = frontier, []
-    while not frontier.isEmpty():
-        entries = sitemap_urls(documents.join(frontier.select("url").distinct(), "url", "left_semi"))
-        reached = frontier.withColumnRenamed("url", "parent").join(entries, "parent")
-        level = stored(reached.select("root", resolve(F.col("parent"), F.col("url")).alias("url"), "is_index").distinct(), "sitemaps")
-        found.append(level.where(~F.col("is_index")).select("root", "url"))
-        frontier = stored(level.where("is_index").select("root", "url").join(seen, ["root", "url"], "left_anti"), "sitemaps")
+    seen = frontier
+    while True:
+        reached = frontier
+        for leap in reversed(leaps):
+            reached = stored(reached.unionByName(reached.join(leap, "url").select("root", F.col("to").alias("url"))).distinct(), "sitemaps")
+        frontier = stored(reached.join(seen, ["root", "url"], "left_anti"), "sitemaps")
         seen = seen.unionByName(frontier)
-    out = roots.select(F.col("url").alias("root"), "url").limit(0)
-    for level in found:
-        out = out.unionByName(level)
-    return out.distinct()
+        if whole or frontier.isEmpty():
+            break
+    return seen.join(entries.where(~F.col("is_index")), "url").select("root", F.col("to").alias("url")).distinct()
 
 
 def search_feeds(specs: DataFrame, scheme: str, company: str = "Market discovery") -> DataFrame:

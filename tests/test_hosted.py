@@ -46,6 +46,19 @@ def test_loops_of_sitemaps_end(spark):
     assert hosted.crawl_sitemaps(roots.limit(0), docs).count() == 0
 
 
+@pytest.mark.parametrize("growth", [4, 0])
+def test_a_chain_of_indexes_takes_few_rounds(spark, monkeypatch, growth):
+    n, rounds, put = 12, [], hosted.stored
+    monkeypatch.setattr(hosted, "stored", lambda df, name: rounds.append(name) or put(df, name))
+    monkeypatch.setattr(hosted, "LEAP_GROWTH", growth)
+    docs = [(f"h://a/{i}", f"<sitemapindex><sitemap><loc>/{i + 1 if i < n else 0}</loc></sitemap><sitemap><loc>/m{i}</loc></sitemap></sitemapindex>") for i in range(n + 1)]
+    docs += [(f"h://a/m{i}", f"<urlset><url><loc>/p{i}</loc></url></urlset>") for i in range(n + 1)]
+    roots = spark.createDataFrame([("h://a/0",), ("h://a/m3",)], "url string")
+    found = hosted.crawl_sitemaps(roots, spark.createDataFrame(docs, "url string, payload string").coalesce(2))
+    assert {tuple(r) for r in found.collect()} == {("h://a/0", f"h://a/p{i}") for i in range(n + 1)} | {("h://a/m3", "h://a/p3")}
+    assert growth == 0 or len(rounds) < n + 1
+
+
 @pytest.mark.parametrize(("candidates", "fault"), [
     ([{"id": "a", "name": "A", "tags": ["t-1"]}, {"id": "b", "name": "B", "website": "https://b"}], None),
     ([{"id": "A b", "name": "A"}], "invalid id"), ([{"id": "a", "name": " "}], "name is required"), ([{"id": "a", "name": "A", "website": "ftp://x"}], "invalid website"),
