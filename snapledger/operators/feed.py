@@ -118,8 +118,8 @@ def numbered_page(feed: DataFrame, sort: str = "recent", limit=DEFAULT_LIMIT) ->
     return first.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("bigint")).withColumn("total", total).drop("_order")
 
 
-def page_update(numbered: DataFrame, since: datetime) -> DataFrame:
-    """What a reader that has a page from `since` needs: position, id and total of every row, and the body (a struct) of those that are new."""
+def page_update(numbered: DataFrame, since: datetime | Column) -> DataFrame:
+    """What a reader that has a page from `since` (a time, or a column) needs: position, id and total of every row, and the body (a struct) of those that are new."""
     names = [c for c in numbered.columns if c not in ("position", "id", "total")]
     body = F.when(F.col("first_seen_at") >= F.lit(since), F.struct(*names))
     return numbered.select("position", "id", "total", body.alias("body"))

@@ -72,22 +72,23 @@ def feed_active_ids(spark, sf_dir):
     return feed.active_ids(feed.page_update(_page(spark, sf_dir), PAGE_SINCE)).select(F.array_join("active_ids", ",").alias("active_ids"))
 
 
-def _reconciled(spark, sf_dir, cached_until):
+def _reconciled(spark, sf_dir, since, cached_until):
     shown = _page(spark, sf_dir).select("position", "id", "total", "company", "first_seen_at")
     bodies = shown.select("position", "id", F.struct("company", "first_seen_at").alias("body"))
     cached = bodies.where(F.col("body.first_seen_at") < F.lit(cached_until)).select("id", F.struct(F.concat(F.lit("old "), "body.company").alias("company"), "body.first_seen_at").alias("body"))
-    out = feed.from_cache(cached, feed.page_update(shown, PAGE_SINCE), bodies)
+    out = feed.from_cache(cached, feed.page_update(shown, since(shown)), bodies)
     return out.select("position", "id", "body.company", "reloaded")
 
 
 def feed_from_cache(spark, sf_dir):
     """The cache has all that is older than the update."""
-    return _reconciled(spark, sf_dir, PAGE_SINCE)
+    return _reconciled(spark, sf_dir, lambda shown: F.lit(PAGE_SINCE), PAGE_SINCE)
 
 
 def feed_reloaded(spark, sf_dir):
-    """The cache ends before the update begins."""
-    return _reconciled(spark, sf_dir, datetime(1990, 1, 1))
+    """The cache ends before the update begins: its reader has had all of the page, whatever its dates, and lost what it had."""
+    behind = lambda shown: shown.agg(F.max("first_seen_at") + F.expr("INTERVAL 1 SECOND")).scalar()
+    return _reconciled(spark, sf_dir, behind, datetime(1990, 1, 1))
 
 
 def feed_source_summary(spark, sf_dir):

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from snapledger.operators import feed
+from snapledger.plans import feed_queries
 
 BODY = "id string, body struct<company:string>"
 
@@ -57,3 +58,10 @@ def test_counts_of_sources(spark):
     status = spark.createDataFrame([("a", "success"), ("b", "failure"), ("c", "pending"), ("d", None)], "source_id string, state string")
     counts = lambda s, n=0: tuple(feed.summary_with_sources(opened, datetime(2024, 1, 2), s, n).first()[k] for k in ("sources_healthy", "sources_failed", "sources_total"))
     assert counts(status) == (1, 1, 4) and counts(status, 9) == (1, 1, 9) and counts(status.limit(0)) == (0, 0, 0)
+
+
+def test_a_lost_cache_is_reloaded_whatever_the_dates_of_the_page(spark, monkeypatch):
+    page = feed.numbered_page(groups(spark, 6), "recent", 5)
+    monkeypatch.setattr(feed_queries, "_page", lambda spark, sf_dir: page)
+    assert [(r.position, r.id, r.company, r.reloaded) for r in feed_queries.feed_reloaded(spark, "").orderBy("position").collect()] == [(k + 1, str(5 - k), f"c{(5 - k) % 3}", True) for k in range(5)]
+    assert not any(r.reloaded for r in feed_queries.feed_from_cache(spark, "").collect())
