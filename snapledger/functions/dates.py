@@ -9,18 +9,19 @@ from pyspark.sql import functions as F
 
 from snapledger.functions.text import has_phrase
 
-#: Layouts that are tried in turn.
-LAYOUTS = (
-    "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "MM/dd/yyyy", "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy",
-)
+#: Layouts that are tried in turn, each with the signs that a text must have for it: a layout that does not fit costs an exception.
+LAYOUTS = {
+    "yyyy-MM-dd'T'HH:mm:ssXXX": "[Tt].*:.*:", "yyyy-MM-dd'T'HH:mm:ss.SSSXXX": "[Tt].*:.*:.*\\.", "yyyy-MM-dd'T'HH:mm:ss": "[Tt].*:.*:", "yyyy-MM-dd HH:mm:ss": " .*:.*:",
+    "yyyy-MM-dd'T'HH:mm": "[Tt].*:", "yyyy-MM-dd HH:mm": " .*:", "yyyy-MM-dd": "^[^:/, ]+-[^:/, ]+$", "MM/dd/yyyy": "/", "MMMM d, yyyy": ",", "MMM d, yyyy": ",",
+    "d MMMM yyyy": "^[0-9]+ ", "d MMM yyyy": "^[0-9]+ ",
+}
 MAX_AGE_DAYS = 180
 
 
 def parse_time(c: Column) -> Column:
     """The first layout that fits, as a UTC time; null if none does."""
     text = F.trim(c)
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f in LAYOUTS))
+    return F.coalesce(*(F.when(text.rlike(signs), F.try_to_timestamp(text, F.lit(f))) for f, signs in LAYOUTS.items()))
 
 
 def epoch_time(c: Column) -> Column:

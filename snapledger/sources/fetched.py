@@ -12,6 +12,7 @@ from snapledger.functions.outcomes import any_of
 from snapledger.functions.text import first_non_empty, once
 from snapledger.operators.dedupe import first_wins
 from snapledger.operators.discovery import content_page
+from snapledger.scratch import stored
 from snapledger.sources.search import posted_in_prose
 
 # Parts of titles that name software roles, and beginners' roles.
@@ -239,7 +240,8 @@ def fetched_postings(results: DataFrame, pages: DataFrame, now: datetime) -> Dat
 
 def rejections(postings: DataFrame, samples: int = 3) -> DataFrame:
     """Per reason: how many pages it rejected, and the addresses and titles of the first few by address, as a report shows them."""
-    rows = postings.where("reject_reason IS NOT NULL")
+    # stored: every use of the reason, each filter on it as well, would read the pages again
+    rows = stored(postings.select("reject_reason", "url", "title"), "rejections").where("reject_reason IS NOT NULL")
     counts = rows.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("pages"))
     # the limit by rank reaches each task before the shuffle, so no task gathers a reason's pages
     nth = F.row_number().over(Window.partitionBy("reject_reason").orderBy("url", "title"))
