@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snapledger.functions.text import canonical_text, company_key, digest_prefix, in_feed_text, feed_text
+from snapledger.functions.text import canonical_text, company_key, digest_prefix, in_feed_text, feed_text, once
 from snapledger.operators.components import linked_groups
 from snapledger.scratch import stored
 
@@ -87,8 +87,8 @@ def normal_country(country: Column, location: Column) -> Column:
 
 def detected_countries(place: Column) -> Column:
     """Sorted codes of the countries that a text names."""
-    text = feed_text(place)
-    return F.array_sort(F.array_compact(F.array(*(F.when(in_feed_text(text, p), c) for c, p in COUNTRY_PHRASES.items()))))
+    hits = lambda text: F.array(*(F.when(in_feed_text(text, p), c) for c, p in COUNTRY_PHRASES.items()))
+    return F.array_sort(F.array_compact(once(feed_text(place), hits)))
 
 
 def place_marker(codes: Column) -> Column:

@@ -88,7 +88,8 @@ def level_family(spark, sf_dir):
 def countries(spark, sf_dir):
     o = D.observations(spark, sf_dir)
     found = identity.detected_countries(F.concat_ws("; ", "country", "location"))
-    return o.select("seq", F.array_join(found, ",").alias("codes"), identity.place_marker(found).alias("marker"))
+    both = lambda codes: F.struct(F.array_join(codes, ",").alias("codes"), identity.place_marker(codes).alias("marker"))
+    return o.select("seq", text.once(found, both).alias("x")).select("seq", "x.*")
 
 
 def source_authority(spark, sf_dir):
