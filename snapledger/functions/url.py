@@ -29,28 +29,33 @@ def host(url: Column) -> Column:
     return F.lower(part(url, "HOST"))
 
 
-_PARTS = "^([A-Za-z]+)://([A-Za-z0-9.-]+)(?::([0-9]+))?(/[^?#]*)?(?:\\?([^#]*))?"
+# the whole of a plain URL, and its parts behind one another with a sign between that no plain URL has
+_PARTS = "^([A-Za-z]+)://([A-Za-z0-9.-]+)(?::([0-9]+))?(/[^?#]*)?(?:\\?([^#]*))?.*$"
+_BETWEEN = "\u0001"
 
 
 def canonical_url_plain(url: Column) -> Column:
     """canonical_url of URLs that match _PLAIN, as built-in expressions; null for others."""
 
     def split(u: Column) -> Column:
-        group = lambda i: F.regexp_extract(u, _PARTS, i)
-        parts = F.struct(
-            F.lower(group(1)).alias("scheme"), F.lower(group(2)).alias("host"), group(3).alias("port"), group(4).alias("path"), group(5).alias("query"),
-            F.lower(group(2)).isin(*BOARD_HOSTS).alias("board"),
+        # one pass of the expression; a group for each part would take one pass each
+        whole = F.regexp_replace(u, F.lit(_PARTS), F.lit(_BETWEEN.join(f"${i}" for i in range(1, 6))))
+        return F.when(u.rlike(_PLAIN), once(F.split(whole, _BETWEEN), lambda g: once(named(g), join)))
+
+    def named(g: Column) -> Column:
+        at = lambda i: F.get(g, F.lit(i))
+        return F.struct(
+            F.lower(at(0)).alias("scheme"), F.lower(at(1)).alias("host"), at(2).alias("port"), at(3).alias("path"), at(4).alias("query"), F.lower(at(1)).isin(*BOARD_HOSTS).alias("board"),
         )
-        return F.when(u.rlike(_PLAIN), once(parts, join))
 
     def join(p: Column) -> Column:
         scheme = F.when(p["board"], F.lit("https")).otherwise(p["scheme"])
         host = F.when(p["board"], F.lit(BOARD_HOSTS[1])).otherwise(p["host"])
         usual = (p["port"] == "") | ((scheme == "https") & (p["port"] == "443")) | ((scheme == "http") & (p["port"] == "80"))
-        path = F.when(F.length(p["path"]) > 1, F.regexp_replace(p["path"], "/$", "")).otherwise("/")
+        path = F.when(F.length(p["path"]) > 1, F.when(p["path"].endswith("/"), F.substr(p["path"], F.lit(1), F.length(p["path"]) - 1)).otherwise(p["path"])).otherwise("/")
         pairs = F.transform(
             F.filter(F.split(p["query"], "&"), lambda x: x != ""),
-            lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.regexp_replace(x, "^[^=]*=?", "").alias("v")),
+            lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.substr(x, F.length(F.substring_index(x, "=", 1)) + 2).alias("v")),
         )
         kept = F.filter(
             pairs,

@@ -117,19 +117,25 @@ def identity_keys(canonical: Column) -> Column:
 
     Reads source_id, source_native_id, company, title, location; canonical is the canonical URL. Null without company or title.
     """
-    company, title, location = (canonical_text(F.col(c)) for c in ("company", "title", "location"))
-    source, native = canonical_text(F.col("source_id")), F.trim(F.coalesce("source_native_id", F.lit("")))
-    uuid = F.lower(F.regexp_extract(canonical, UUID, 0))
-    keys = F.array_compact(
-        F.array(
-            F.when((source != "") & (native != ""), F.concat(F.lit("native:"), source, F.lit(":"), native)),
-            F.when(uuid != "", F.concat(F.lit("requisition:"), company, F.lit(":"), uuid)),
-            F.when(canonical != "", F.concat(F.lit("company-url:"), company, F.lit("|url:"), canonical)),
-            F.when(canonical != "", F.concat(F.lit("url:"), canonical)),
-        )
+    told = F.struct(
+        *(canonical_text(F.col(c)).alias(n) for c, n in (("company", "company"), ("title", "title"), ("source_id", "source"))), F.trim(F.coalesce("source_native_id", F.lit(""))).alias("native"),
+        F.lower(F.regexp_extract(canonical, UUID, 0)).alias("uuid"), canonical.alias("url"),
     )
-    weak = F.array(F.concat(F.lit("posting:"), company, F.lit("|"), title, F.lit("|"), location))
-    return F.when((company != "") & (title != ""), F.when(F.size(keys) > 0, keys).otherwise(weak))
+
+    def read(t: Column) -> Column:
+        keys = F.array_compact(
+            F.array(
+                F.when((t["source"] != "") & (t["native"] != ""), F.concat(F.lit("native:"), t["source"], F.lit(":"), t["native"])),
+                F.when(t["uuid"] != "", F.concat(F.lit("requisition:"), t["company"], F.lit(":"), t["uuid"])),
+                F.when(t["url"] != "", F.concat(F.lit("company-url:"), t["company"], F.lit("|url:"), t["url"])),
+                F.when(t["url"] != "", F.concat(F.lit("url:"), t["url"])),
+            )
+        )
+        weak = F.array(F.concat(F.lit("posting:"), t["company"], F.lit("|"), t["title"], F.lit("|"), canonical_text(F.col("location"))))
+        return F.when((t["company"] != "") & (t["title"] != ""), once(keys, lambda k: F.when(F.size(k) > 0, k).otherwise(weak)))
+
+    # values of a lambda stay one: each is used several times
+    return once(told, read)
 
 
 def stable_id(keys: Column) -> Column:

@@ -44,8 +44,8 @@ def identity_keys(spark, sf_dir):
     # as columns of their own: each is used several times
     o = D.observations(spark, sf_dir).withColumn("safe_url", url.canonical_url_plain(F.col("apply_url")))
     o = o.withColumn("keys", identity.identity_keys(F.col("safe_url")))
-    keys = F.col("keys")
-    return o.select("seq", F.array_join(keys, "\n").alias("keys"), identity.stable_id(keys).alias("id"))
+    both = lambda k: F.struct(F.array_join(k, "\n").alias("keys"), identity.stable_id(k).alias("id"))
+    return o.select("seq", text.once(F.col("keys"), both).alias("x")).select("seq", "x.*")
 
 
 def identity_resolution(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from snapledger.functions import dates
+from snapledger.functions import dates, url
 from snapledger.operators import identity
 from snapledger.sources import fetched
 
@@ -38,3 +38,13 @@ def test_texts_that_no_layout_fits_are_not_tried(spark):
     assert isinstance(dates.LAYOUTS, dict)
     none = [signs for signs in dates.LAYOUTS.values() if spark.range(1).select(F.lit("").rlike(signs)).first()[0]]
     assert none == [] and spark.range(1).select(dates.parse_time(F.lit("soon"))).first()[0] is None
+
+
+def test_plain_addresses_are_taken_apart_in_one_pass(spark):
+    urls = [
+        "https://Jobs.Example.com/7/8/?utm_source=A", "http://x.com:80/", "https://x.com:8443/a/?b=2&a=1=3&c&=5", "HTTP://X.com", "https://boards.greenhouse.io/a/jobs/1?gh_jid=3&q=1", "ftp://x.com/a", "https://x.com/a//?x=1#f",
+        "https://x.com?ref=a", " https://x.com/a/b/ ",
+    ]
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", url.canonical_url_plain(F.col("u")).alias("c"))
+    assert {r.u: r.c for r in rows.collect()} == {u: url._canonical(u) for u in urls if u != urls[2]} | {urls[2]: "https://x.com:8443/a?=5&a=1=3&b=2&c="}
+    assert "regexp_extract(" not in rows._jdf.queryExecution().optimizedPlan().toString()
