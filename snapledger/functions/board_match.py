@@ -45,8 +45,8 @@ def bare_host(url: Column) -> Column:
 
 def segments(url: Column) -> Column:
     """The parts of an address's path, decoded and trimmed, without empty ones."""
-    path = F.coalesce(F.regexp_extract(F.trim(url), _ADDRESS, 2), F.lit(""))
-    parts = F.split(F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path), "/")
+    decoded = lambda path: F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    parts = F.split(once(F.coalesce(F.regexp_extract(F.trim(url), _ADDRESS, 2), F.lit("")), decoded), "/")
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from snapledger.functions.text import has_phrase
+from snapledger.functions.text import has_phrase, once
 
 #: Layouts that are tried in turn, each with the signs that a text must have for it: a layout that does not fit costs an exception.
 LAYOUTS = {
@@ -20,8 +20,8 @@ MAX_AGE_DAYS = 180
 
 def parse_time(c: Column) -> Column:
     """The first layout that fits, as a UTC time; null if none does."""
-    text = F.trim(c)
-    return F.coalesce(*(F.when(text.rlike(signs), F.try_to_timestamp(text, F.lit(f))) for f, signs in LAYOUTS.items()))
+    tries = lambda text: F.coalesce(*(F.when(text.rlike(signs), F.try_to_timestamp(text, F.lit(f))) for f, signs in LAYOUTS.items()))
+    return once(F.trim(c), tries)
 
 
 def epoch_time(c: Column) -> Column:
@@ -60,16 +60,19 @@ def retry_delay(failures: Column) -> Column:
 
 def relative_time(c: Column, now: datetime) -> Column:
     """`posted 3 weeks ago` and the like, counted back from now; null otherwise."""
-    text = F.lower(c)
-    n = F.regexp_extract(text, "([0-9]+)\\+? (?:minute|hour|day|week|month)s? ago", 1)
-    unit = F.regexp_extract(text, "[0-9]+\\+? (minute|hour|day|week|month)s? ago", 1)
     seconds = F.create_map(*(F.lit(x) for p in {"minute": 60, "hour": 3600, "day": 86_400, "week": 604_800, "month": 2_592_000}.items() for x in p))
-    back = n.try_cast("bigint") * seconds[unit]
-    return (
-        F.when(unit != "", F.timestamp_seconds(F.unix_timestamp(F.lit(now)) - back))
-        .when(text.rlike("\\btoday\\b|\\bjust posted\\b"), F.date_trunc("day", F.lit(now)))
-        .when(text.rlike("\\byesterday\\b"), F.date_trunc("day", F.lit(now)) - F.expr("INTERVAL 1 DAY"))
-    )
+
+    def read(text: Column) -> Column:
+        n = F.regexp_extract(text, "([0-9]+)\\+? (?:minute|hour|day|week|month)s? ago", 1)
+        unit = F.regexp_extract(text, "[0-9]+\\+? (minute|hour|day|week|month)s? ago", 1)
+        back = n.try_cast("bigint") * seconds[unit]
+        return (
+            F.when(text.contains(" ago") & (unit != ""), F.timestamp_seconds(F.unix_timestamp(F.lit(now)) - back))
+            .when((text.contains("today") | text.contains("just posted")) & text.rlike("\\btoday\\b|\\bjust posted\\b"), F.date_trunc("day", F.lit(now)))
+            .when(text.contains("yesterday") & text.rlike("\\byesterday\\b"), F.date_trunc("day", F.lit(now)) - F.expr("INTERVAL 1 DAY"))
+        )
+
+    return once(F.lower(c), read)
 
 
 def next_wake(interval_seconds: int, due: Column, now: datetime) -> Column:

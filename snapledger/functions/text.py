@@ -25,8 +25,11 @@ def feed_text(c: Column) -> Column:
 
 
 def once(value: Column, body) -> Column:
-    """body of a value that is computed once: an expression that is used twice would run twice."""
-    return F.transform(F.array(value), body)[0]
+    """body of a value that is computed once: an expression that is used twice would run twice.
+
+    The value is the start of a fold over nothing, body its finish: an item of a transformed array asks for its type, through the whole of body, at every row.
+    """
+    return F.aggregate(F.array(), value, lambda held, _: held, body)
 
 
 def feed_company(c: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from snapledger.functions.classify import high_signal
-from snapledger.functions.text import company_key
+from snapledger.functions.text import company_key, once
 from snapledger.operators.dedupe import first_wins
 
 # Preference of states where one route was found twice (others come last), providers whose boards are named by a
@@ -108,13 +111,9 @@ def market_targets(observations: DataFrame, targets: DataFrame) -> DataFrame:
 
 def content_page(title: Column, url: Column, text: Column) -> Column:
     """Whether a fetched page is about a programme or people, not a posting."""
-    t, u, c = F.lower(F.trim(title)), F.lower(F.trim(url)), F.lower(F.trim(text))
-    found = u.contains("/university/internships") & ~u.contains("/jobs/")
-    for p in CONTENT_TITLES:
-        found = found | t.contains(p)
-    for p in CONTENT_TEXTS:
-        found = found | c.contains(p)
-    return found
+    holds = lambda c, parts: once(F.lower(F.trim(c)), lambda t: reduce(or_, (t.contains(p) for p in parts)))
+    programme = once(F.lower(F.trim(url)), lambda u: u.contains("/university/internships") & ~u.contains("/jobs/"))
+    return programme | holds(title, CONTENT_TITLES) | holds(text, CONTENT_TEXTS)
 
 
 def filter_results(results: DataFrame, blocked: tuple[str, ...], limit: int) -> DataFrame:

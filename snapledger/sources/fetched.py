@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from snapledger.functions.board_match import bare_host, segments
 from snapledger.functions.outcomes import any_of
-from snapledger.functions.text import first_non_empty, once
+from snapledger.functions.text import once
 from snapledger.operators.dedupe import first_wins
 from snapledger.operators.discovery import content_page
 from snapledger.scratch import stored
@@ -49,6 +49,8 @@ REASONS = ("blocked_source", "closed_or_not_live", "content_or_program_page", "n
 NAME_START = 3
 
 _HEADING = "^#{1,4}\\s+(.+?)\\s*$"
+# what a pattern takes for white space, and further ends of lines
+_WHITE, _SEPARATORS = " \t\n\x0b\f\r", ("\u0085", "\u2028", "\u2029")
 
 
 def _holds(c: Column, parts: tuple[str, ...]) -> Column:
@@ -56,7 +58,18 @@ def _holds(c: Column, parts: tuple[str, ...]) -> Column:
 
 
 def _strip(c: Column, signs: str = "") -> Column:
-    return F.regexp_replace(c, f"^[\\s{signs}]+|[\\s{signs}]+$", "")
+    """c without white space and signs at its ends. Before a closing line separator, which is no white space here, they go too."""
+
+    def strip(t: Column) -> Column:
+        odd = any_of(t.endswith(x) for x in _SEPARATORS)
+        return F.when(odd, F.regexp_replace(t, f"^[\\s{signs}]+|[\\s{signs}]+$", "")).otherwise(F.btrim(t, F.lit(_WHITE + signs)))
+
+    return once(c, strip)
+
+
+def _first(*columns: Column) -> Column:
+    """first_non_empty for long expressions: none is written out twice, nor read once another has given a text."""
+    return F.coalesce(*(once(F.trim(c), lambda t: F.when(t != "", t)) for c in columns), F.lit(""))
 
 
 def title_words(c: Column) -> Column:
@@ -70,7 +83,7 @@ def clean_title(c: Column) -> Column:
     bare = _strip(F.regexp_replace(_strip(c), "^#+", ""), "|-")
 
     def cut(t: Column) -> Column:
-        first = _strip(F.get(F.split(t, "\\s+[-|]\\s+", 2), F.lit(0)))
+        first = _strip(F.regexp_replace(t, "(?s)\\s+[-|]\\s+.*", ""))
         return F.when(t == "", NO_TITLE).otherwise(_strip(F.regexp_replace(first, "(?is)^(.+) at .*$", "$1")))
 
     return once(bare, cut)
@@ -89,10 +102,11 @@ def without_company(title: Column, company: Column) -> Column:
 def specific_title(c: Column) -> Column:
     """Whether a title names one software role for beginners, not a list of roles."""
 
+    def generic(name: Column) -> Column:
+        return name.isin(*GENERIC_TITLES) | name.startswith("jobs at ") | name.startswith("careers at ") | name.endswith(" careers") | name.endswith(" job board") | name.contains("search results")
+
     def read(t: Column) -> Column:
-        name = _strip(t, "|-")
-        generic = name.isin(*GENERIC_TITLES) | name.startswith("jobs at ") | name.startswith("careers at ") | name.endswith(" careers") | name.endswith(" job board") | name.contains("search results")
-        return ~generic & (_holds(t, SOFTWARE) | t.startswith("ai ")) & _holds(t, BEGINNERS)
+        return (_holds(t, SOFTWARE) | t.startswith("ai ")) & _holds(t, BEGINNERS) & ~once(_strip(t, "|-"), generic)
 
     return F.coalesce(once(F.lower(_strip(c)), read), F.lit(False))
 
@@ -100,8 +114,9 @@ def specific_title(c: Column) -> Column:
 def title_candidates(text: Column, *others: Column) -> Column:
     """What may be a page's title, best first: its first line if that is no heading, all its headings in order, then the others."""
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: _strip(x)), lambda x: x != "")
-    kept = F.filter(lines, lambda x, i: (i == 0) | x.rlike(_HEADING))
-    bare = F.transform(kept, lambda x: F.when(x.rlike(_HEADING), F.regexp_extract(x, _HEADING, 1)).otherwise(x))
+    heading = lambda x: x.startswith("#") & x.rlike(_HEADING)
+    kept = F.filter(lines, lambda x, i: (i == 0) | heading(x))
+    bare = F.transform(kept, lambda x: F.when(heading(x), F.regexp_extract(x, _HEADING, 1)).otherwise(x))
     return F.concat(F.coalesce(bare, F.array().cast("array<string>")), F.filter(F.array(*others), lambda x: x.isNotNull()))
 
 
@@ -110,9 +125,11 @@ def page_title(text: Column, page_title: Column, result_title: Column, company:
 
     def choose(own: Column) -> Column:
         tidy = lambda c: without_company(clean_title(c), own)
-        named = F.filter(F.transform(title_candidates(text, page_title, result_title), tidy), specific_title)
+        # tidying only takes away, or names what has nothing but signs: most candidates need none to be told from a role
+        likely = F.filter(title_candidates(text, page_title, result_title), lambda x: once(F.lower(x), lambda t: _holds(t, BEGINNERS)) | x.rlike("^[#\\s|-]*$"))
+        named = F.filter(F.transform(likely, tidy), specific_title)
         first_line = F.get(F.filter(F.split(text, "\n"), lambda x: _strip(x) != ""), F.lit(0))
-        return F.coalesce(F.get(named, F.lit(0)), tidy(first_non_empty(page_title, result_title, first_line)))
+        return F.coalesce(once(named, lambda titles: F.get(titles, F.lit(0))), tidy(_first(page_title, result_title, first_line)))
 
     return once(company, choose)
 
@@ -134,12 +151,15 @@ def hosted_company(slug: Column) -> Column:
 
 def company_of_address(url: Column) -> Column:
     """The company that a posting's address names, by its board or by the part behind `company` or `companies`; empty if none."""
-    host, path = bare_host(url), segments(url)
-    at = lambda k: F.coalesce(F.get(path, k), F.lit(""))
-    spot = F.transform(path, lambda x: x.isin("companies", "company"))
-    named = title_words(F.replace(_strip(at(F.array_position(spot, F.lit(True)).cast("int")), "_-"), F.lit("-"), F.lit(" ")))
-    hosted = _holds(host, ("ashbyhq.com", "greenhouse.io", "lever.co"))
-    return F.when(hosted, hosted_company(at(F.lit(0)))).when(F.array_contains(spot, True), named).otherwise(F.lit(""))
+
+    def read(path: Column) -> Column:
+        at = lambda k: F.coalesce(F.get(path, k), F.lit(""))
+        named = lambda k: title_words(F.replace(_strip(at(k), "_-"), F.lit("-"), F.lit(" ")))
+        behind = F.array_position(F.transform(path, lambda x: x.isin("companies", "company")), F.lit(True)).cast("int")
+        hosted = once(bare_host(url), lambda h: _holds(h, ("ashbyhq.com", "greenhouse.io", "lever.co")))
+        return F.when(hosted, hosted_company(at(F.lit(0)))).otherwise(once(behind, lambda k: F.when(k > 0, named(k)).otherwise(F.lit(""))))
+
+    return once(segments(url), read)
 
 
 def _company_of_title(c: Column) -> Column:
@@ -153,28 +173,37 @@ def _company_of_host(url: Column) -> Column:
 
 def board_name(c: Column) -> Column:
     """Whether the name of a site is that of a job board, an address, or none."""
-    text = F.lower(_strip(c))
-    address = text.contains(".") & ~text.rlike("[ \\t]")
-    return address | text.isin(*BOARD_NAMES) | any_of(text.endswith(e) for e in BOARD_ENDINGS)
+
+    def read(text: Column) -> Column:
+        address = text.contains(".") & ~text.rlike("[ \\t]")
+        return address | text.isin(*BOARD_NAMES) | any_of(text.endswith(e) for e in BOARD_ENDINGS)
+
+    return once(F.lower(_strip(c)), read)
 
 
-def company_of(title: Column, site_name: Column, result_title: Column, url: Column) -> Column:
-    """A posting's company: the site's name if it is one, else by address, titles and host, the first that gives any."""
+def company_of(title: Column, site_name: Column, result_title: Column, url: Column, by_address: Column | None = None) -> Column:
+    """A posting's company: the site's name if it is one, else by address (by_address where that is known), titles and host, the first that gives any."""
     own = F.when(~board_name(site_name), site_name)
-    return first_non_empty(own, company_of_address(url), _company_of_title(title), _company_of_title(result_title), _company_of_host(url))
+    named = company_of_address(url) if by_address is None else by_address
+    return _first(own, named, _company_of_title(title), _company_of_title(result_title), _company_of_host(url))
 
 
 def discussion(url: Column, text: Column) -> Column:
     """Whether a page is a discussion, or a repository that offers no jobs; text in lower case."""
-    host, path = F.lower(F.try_parse_url(_strip(url), F.lit("HOST"))), F.lower(F.coalesce(F.try_parse_url(_strip(url), F.lit("PATH")), F.lit("")))
-    return F.coalesce(_holds(host, DISCUSSION_HOSTS) | ((host == "github.com") & ~path.contains("/jobs")), F.lit(False)) | _holds(text, DISCUSSION_TEXTS)
+    path = F.lower(F.coalesce(F.try_parse_url(_strip(url), F.lit("PATH")), F.lit("")))
+    hosted = once(F.lower(F.try_parse_url(_strip(url), F.lit("HOST"))), lambda host: _holds(host, DISCUSSION_HOSTS) | ((host == "github.com") & ~path.contains("/jobs")))
+    return F.coalesce(hosted, F.lit(False)) | _holds(text, DISCUSSION_TEXTS)
 
 
 def many_jobs(title: Column, url: Column, text: Column) -> Column:
     """Whether a page lists the postings of many."""
-    t, path = F.lower(title), F.lower(F.coalesce(F.try_parse_url(_strip(url), F.lit("PATH")), F.lit("")))
-    named = t.contains("jobs (with salaries)") | (t.startswith("discover ") & t.contains(" jobs")) | t.contains(" job openings")
-    return t.rlike("\\b[0-9][0-9,]*\\+?\\s+.*\\bjobs?\\b") | named | (t.contains("jobs in ") & ~F.lower(text).contains("apply now")) | (path.contains("/q-") & path.endswith("-jobs.html"))
+    listed = once(F.lower(F.coalesce(F.try_parse_url(_strip(url), F.lit("PATH")), F.lit(""))), lambda path: path.contains("/q-") & path.endswith("-jobs.html"))
+
+    def read(t: Column) -> Column:
+        named = t.contains("jobs (with salaries)") | (t.startswith("discover ") & t.contains(" jobs")) | t.contains(" job openings")
+        return t.rlike("\\b[0-9][0-9,]*\\+?\\s+.*\\bjobs?\\b") | named | (t.contains("jobs in ") & ~F.lower(text).contains("apply now"))
+
+    return once(F.lower(title), read) | listed
 
 
 def place_said(text: Column) -> Column:
@@ -215,9 +244,9 @@ def fetched_postings(results: DataFrame, pages: DataFrame, now: datetime) -> Dat
     """
     once_each = first_wins(results.select("url", "position", F.col("title").alias("_title"), "snippet", "site_name"), ["url"], ["position"]).drop("position")
     rows = first_wins(pages.select("url", "title", "text"), ["url"], ["title", "text"]).join(once_each, "url", "left")
-    text = first_non_empty(F.col("text"), F.col("snippet"))
+    told = F.struct(_first(F.col("text"), F.col("snippet")).alias("text"), company_of_address(F.col("url")).alias("company"))
     facts = lambda t: F.struct(
-        t.alias("text"), page_title(t, F.col("title"), F.col("_title"), company_of_address(F.col("url"))).alias("title"), place_said(t).alias("location"),
+        t["text"].alias("text"), page_title(t["text"], F.col("title"), F.col("_title"), t["company"]).alias("title"), place_said(t["text"]).alias("location"), t["company"].alias("company"),
     )
     everything = lambda f: F.lower(F.concat_ws("\n", f["title"], f["text"], "snippet"))
 
@@ -229,12 +258,12 @@ def fetched_postings(results: DataFrame, pages: DataFrame, now: datetime) -> Dat
         )
         reason = F.coalesce(*(F.when(F.coalesce(test, F.lit(False)), why) for why, test in zip(REASONS, tests, strict=True)))
         return F.struct(
-            title.alias("title"), company_of(title, F.col("site_name"), F.col("_title"), F.col("url")).alias("company"), f["location"].alias("location"),
+            title.alias("title"), company_of(title, F.col("site_name"), F.col("_title"), F.col("url"), f["company"]).alias("company"), f["location"].alias("location"),
             posted_in_prose(F.concat_ws("\n", said, "snippet"), now).alias("posted_at"), confidence(whole).alias("confidence"), reason.alias("reject_reason"),
         )
 
     # values of a lambda stay one: as columns of their own they would be written out again in every filter that is pushed below them
-    posting = once(once(text, facts), lambda f: once(everything(f), lambda whole: read(f, whole)))
+    posting = once(once(told, facts), lambda f: once(everything(f), lambda whole: read(f, whole)))
     return rows.select("url", posting.alias("p")).select("url", "p.*")
 
 
