@@ -107,6 +107,16 @@ def _postings(source: str) -> list[tuple]:
 
 
 @F.pandas_udf(POSTING)
-def jsonld_postings(pages: pd.Series) -> pd.Series:
-    """All JobPosting nodes of a page's JSON-LD, at any depth."""
+def _jsonld(pages: pd.Series) -> pd.Series:
     return pages.map(_postings)
+
+
+def jsonld_postings(pages: Column | str) -> Column:
+    """All JobPosting nodes of a page's JSON-LD, at any depth.
+
+    Marked as not deterministic, so that no filter on what is made of it reads the pages a second time, in Python workers of its own.
+    """
+    return _HELD_JSONLD(pages)
+
+
+_HELD_JSONLD = _jsonld.asNondeterministic()

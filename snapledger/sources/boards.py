@@ -174,7 +174,7 @@ def _parse(payloads: DataFrame, provider: str, layout: Layout) -> DataFrame:
 
 def _parse_jsonld(payloads: DataFrame, now: datetime) -> DataFrame:
     """Pages with JSON-LD postings; those whose validity has ended are left out."""
-    rows = payloads.where("provider = 'jsonld'").withColumn("item", F.explode(jsonld_postings("payload")))
+    rows = payloads.where("provider = 'jsonld'").withColumn("found", jsonld_postings("payload")).withColumn("item", F.explode("found"))
     until = parse_time(F.col("item.valid_through"))
     rows = rows.where(until.isNull() | (until >= F.lit(now)))
     return rows.select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import html
+import re
 from dataclasses import dataclass
 from urllib.parse import urljoin
 
@@ -42,14 +44,50 @@ _JOB_PATHS = ("/job", "/jobs/", "/careers/", "/career/", "/position", "/position
 _OTHER_PATHS = ("/blog/", "/news/", "/press/", "/privacy", "/terms", "/legal", "/events/")
 
 
+#: Links with dot segments; the end is that of a Java pattern, before a last line separator too.
+_DOTS = re.compile("(?:^|/)\\.{1,2}(?:/|[?#]|(?=(?:\r\n|[\n\r\u0085\u2028\u2029])?\\Z))")
+_READ = T.StructType([T.StructField("ref", T.StringType()), T.StructField("url", T.StringType())])
+
+
+@F.pandas_udf(_READ)
+def _read_link(base: pd.Series, ref: pd.Series) -> pd.DataFrame:
+    """Links with their character references decoded and, of those with dot segments, the absolute URL."""
+    refs = [None if r is None else html.unescape(r) for r in ref]
+    urls = [urljoin(b or "", r.strip(" ")) if r is not None and _DOTS.search(r) else None for b, r in zip(base, refs, strict=True)]
+    return pd.DataFrame({"ref": refs, "url": urls}, dtype=object)
+
+
+# not deterministic: a filter on an address would decode all links a second time, in Python workers of its own
+_held_link = _read_link.asNondeterministic()
+
+
+def _decoded_link(base: Column, ref: Column) -> Column:
+    """Struct for _absolute of a link whose character references are not decoded yet; null for links that need neither decoding nor joining."""
+    hard = ref.contains("&") | ref.rlike("(^|/)\\.{1,2}(/|$|[?#])")
+    return _held_link(F.when(hard, base), F.when(hard, ref))
+
+
+def _absolute(base: Column, ref: Column, read: Column) -> Column:
+    """resolve(base, unescaped(ref)), where read is _decoded_link of both."""
+    return F.coalesce(read["url"], _plain(base, F.coalesce(read["ref"], ref)))
+
+
 @F.pandas_udf(T.StringType())
 def _joined(base: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([None if r is None else urljoin(b or "", r) for b, r in zip(base, ref, strict=True)])
 
 
-def resolve(base: Column, ref: Column) -> Column:
+_held_joined = _joined.asNondeterministic()
+
+
+def resolve(base: Column, ref: Column, join=_joined) -> Column:
     """A link as an absolute URL; empty links stay empty. Only links with dot segments leave the built-in expressions."""
     dots = ref.rlike("(^|/)\\.{1,2}(/|$|[?#])")
+    return F.coalesce(join(F.when(dots, base), F.when(dots, F.trim(ref))), _plain(base, ref))
+
+
+def _plain(base: Column, ref: Column) -> Column:
+    """The same for a link without dot segments."""
     origin, folder = F.regexp_extract(base, "^[^/?#]*//[^/?#]*", 0), F.regexp_extract(base, "^[^/?#]*//[^/?#]*(?:/(?:[^?#]*/)?)?", 0)
 
     def plain(r: Column) -> Column:
@@ -63,7 +101,7 @@ def resolve(base: Column, ref: Column) -> Column:
             .otherwise(F.concat(F.when(folder == origin, F.concat(origin, F.lit("/"))).otherwise(folder), r))
         )
 
-    return F.coalesce(_joined(F.when(dots, base), F.when(dots, F.trim(ref))), once(F.trim(ref), plain))
+    return once(F.trim(ref), plain)
 
 
 def _first(*columns: Column) -> Column:
@@ -102,7 +140,8 @@ def links(boards: DataFrame, provider: str) -> DataFrame:
         found = found.withColumns({"target": F.trim("l.loc"), "lastmod": F.coalesce("l.lastmod", F.lit(""))})
     else:
         found = mine.select("*", F.posexplode(F.concat(F.array("url"), F.coalesce(anchors(F.col("payload")), F.array().cast("array<string>")))).alias("pos", "l"))
-        found = found.withColumns({"target": resolve(F.col("url"), unescaped(F.col("l"))), "lastmod": F.lit("")})
+        found = found.withColumn("read", _decoded_link(F.col("url"), F.col("l")))
+        found = found.withColumns({"target": _absolute(F.col("url"), F.col("l"), F.col("read")), "lastmod": F.lit("")})
     found = found.withColumns({"loc": F.regexp_extract("target", site.link, 1), "id": F.regexp_extract("target", site.link, 2)}).where("loc <> ''")
     if provider == "jobvite":
         slug = lambda u: F.lower(F.regexp_extract(u, "^https?://[^/]+/+([^/?#]+)", 1))
@@ -112,10 +151,9 @@ def links(boards: DataFrame, provider: str) -> DataFrame:
     return rows.withColumn("page_url", _with_frame_key(F.col("loc")) if site.sitemap else F.col("loc")).drop("pos")
 
 
-def _first_link(document: Column, base: Column, marker: str) -> Column:
-    """The first link whose address holds the marker, as an absolute URL; empty if there is none."""
-    hit = F.get(F.filter(anchors(document), lambda h: F.contains(F.lower(h), F.lit(marker))), F.lit(0))
-    return resolve(base, F.coalesce(unescaped(hit), F.lit("")))
+def _first_link(document: Column, marker: str) -> Column:
+    """The first link whose address holds the marker, as written; empty if there is none."""
+    return F.coalesce(F.get(F.filter(anchors(document), lambda h: F.contains(F.lower(h), F.lit(marker))), F.lit(0)), F.lit(""))
 
 
 def _listed(document: Column, label: str) -> Column:
@@ -124,15 +162,19 @@ def _listed(document: Column, label: str) -> Column:
     return clean_html(F.regexp_extract(segment, f"(?is)<li[^>]*>\\s*<strong[^>]*>\\s*{label}\\s*</strong>(.*?)</li>", 1))
 
 
-def _plain_jobvite(rows: DataFrame) -> DataFrame:
-    """Gives pages without JSON-LD one posting, read from the page's own markup."""
-    d = F.col("document")
+def _jobvite_markup(d: Column) -> dict[str, Column]:
+    """What a posting's page says in its own markup."""
     head = clean_html(class_segment(d, "jv-job-detail-meta", "<hr", "jv-job-detail-top-actions", "jv-job-detail-description"))
-    rows = rows.withColumns({
+    return {
         "h_title": clean_html(F.regexp_extract(d, _JOBVITE_TITLE, 1)), "h_kind": _listed(d, "Employment Type"),
         "h_place": _first(_listed(d, "Location"), F.when(head.contains("Location"), "").otherwise(head)),
         "h_text": clean_html(class_segment(d, "jv-job-detail-description", "job-description-meta", "jv-job-detail-bottom-actions", "jv-current-openings")),
-    })
+        "h_company": unescaped(F.regexp_extract(d, _JOBVITE_COMPANY, 1)),
+    }
+
+
+def _plain_jobvite(rows: DataFrame) -> DataFrame:
+    """Gives pages without JSON-LD one posting, by the columns of _jobvite_markup."""
     none = F.lit("")
     made = F.struct(
         none.alias("native_id"), F.col("h_title").alias("title"), none.alias("company"), F.col("h_place").alias("location"), none.alias("country"),
@@ -145,30 +187,37 @@ def _plain_jobvite(rows: DataFrame) -> DataFrame:
 def postings(boards: DataFrame, pages: DataFrame, provider: str) -> DataFrame:
     """Observations of a provider's boards and the pages (url, payload) they link to; links without a page give nothing."""
     fetched = pages.select(F.col("url").alias("page_url"), F.col("payload").alias("document"))
-    rows = links(boards, provider).join(fetched, "page_url").withColumn("found", jsonld_postings("document"))
+    document, page = F.col("document"), F.col("page_url")
+    # all that Python reads of a page in one step, and of its items in another: a task then has two workers, not one for each expression
+    apply = {"icims": _first_link(document, "mode=apply"), "jobvite": _first_link(document, "/apply"), "teamtailor": F.trim(F.regexp_extract(document, _TEAMTAILOR_APPLY, 1))}[provider]
+    markup = _jobvite_markup(document) if provider == "jobvite" else {}
+    rows = links(boards, provider).join(fetched, "page_url").withColumn("apply_ref", apply)
+    rows = rows.withColumns({"found": jsonld_postings("document"), "apply_read": _decoded_link(page, F.col("apply_ref")), **markup}).drop("document")
     if provider == "jobvite":
         rows = _plain_jobvite(rows)
     rows = rows.withColumn("item", F.explode("found"))
-    own = resolve(F.col("page_url"), F.coalesce("item.url", F.lit("")))
-    document, page = F.col("document"), F.col("page_url")
+    given = _absolute(page, F.col("apply_ref"), F.col("apply_read"))
+    read = {"description": clean_html(F.col("item.description"))}
+    if provider != "teamtailor":
+        read["own"] = resolve(page, F.coalesce("item.url", F.lit("")), _held_joined)
+    rows, own = rows.withColumns(read), F.col("own")
     company, posted = F.col("item.company"), parse_time(F.col("item.posted"))
     if provider == "icims":
-        account, apply_url = None, _first(_first_link(document, page, "mode=apply"), own, F.col("loc"))
+        account, apply_url = None, _first(given, own, F.col("loc"))
         posted = F.coalesce(posted, parse_time(F.col("lastmod")))
     elif provider == "jobvite":
         account = F.regexp_extract("board_url", "^https?://[^/]+/+([^/?#]+)", 1)
-        apply_url = _first(_first_link(document, page, "/apply"), own, page)
-        company = _first(company, unescaped(F.regexp_extract(document, _JOBVITE_COMPANY, 1)), account)
+        apply_url = _first(given, own, page)
+        company = _first(company, F.col("h_company"), account)
     else:
         name = host(F.col("board_url"))
         account = _token(F.when(name.rlike("\\.teamtailor\\.com$"), F.substring_index(name, ".", 1)).otherwise(name))
-        given = resolve(page, unescaped(F.trim(F.regexp_extract(document, _TEAMTAILOR_APPLY, 1))))
         apply_url = _first(given, F.concat(F.rtrim(page, F.lit("/")), F.lit("/applications/new")))
     parts = [F.lit(provider), *([] if account is None else [account]), F.col("id")]
     return finished(rows.select(
         "source_id", "provider", F.concat_ws(":", *parts).alias("source_native_id"), squeeze(company).alias("reported_company"), "source_company", squeeze(F.col("item.title")).alias("title"),
         squeeze(F.col("item.location")).alias("location"), squeeze(F.col("item.country")).alias("country"), F.lower(F.col("item.employment_type")).alias("employment_type"), F.lit("").alias("level"),
-        F.trim(apply_url).alias("apply_url"), posted.alias("posted_at"), clean_html(F.col("item.description")).alias("description"), "observed_at",
+        F.trim(apply_url).alias("apply_url"), posted.alias("posted_at"), "description", "observed_at",
     ))
 
 
