@@ -186,7 +186,9 @@ def _plain_jobvite(rows: DataFrame) -> DataFrame:
 
 def postings(boards: DataFrame, pages: DataFrame, provider: str) -> DataFrame:
     """Observations of a provider's boards and the pages (url, payload) they link to; links without a page give nothing."""
-    fetched = pages.select(F.col("url").alias("page_url"), F.col("payload").alias("document"))
+    # merged, and dealt out by number: pages pack so well that their packed size would have all of them broadcast, or very many in one task's sort
+    dealt = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fetched = pages.select(F.col("url").alias("page_url"), F.col("payload").alias("document")).repartition(dealt, "page_url").hint("merge")
     document, page = F.col("document"), F.col("page_url")
     # all that Python reads of a page in one step, and of its items in another: a task then has two workers, not one for each expression
     apply = {"icims": _first_link(document, "mode=apply"), "jobvite": _first_link(document, "/apply"), "teamtailor": F.trim(F.regexp_extract(document, _TEAMTAILOR_APPLY, 1))}[provider]

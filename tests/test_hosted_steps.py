@@ -35,3 +35,9 @@ def test_links_are_decoded_and_joined_in_one_step(spark):
     new = hosted._absolute(F.col("b"), F.col("r"), F.col("read"))
     found = rows.withColumn("read", hosted._decoded_link(F.col("b"), F.col("r"))).select("b", "r", old.alias("old"), new.alias("new")).collect()
     assert [(r.b, r.r, r.new) for r in found] == [(r.b, r.r, r.old) for r in found]
+
+
+@pytest.mark.parametrize("provider", list(hosted.SITES))
+def test_pages_are_merged_by_shares_not_broadcast(spark, provider):
+    plan = _plan(spark, provider)
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan and "REPARTITION_BY_NUM" in plan
