@@ -48,7 +48,11 @@ def survivors(pairs: DataFrame) -> DataFrame:
 
 def levels(pairs: DataFrame) -> list[DataFrame]:
     """pairs by the height of the job that takes in: in a level, no job that is merged away has merges of its own left."""
-    rest, out = checked(pairs), []
+    return _levels(checked(pairs))
+
+
+def _levels(rest: DataFrame) -> list[DataFrame]:
+    out = []
     while not rest.isEmpty():
         waiting = rest.join(rest.select(F.col("canonical_id").alias("duplicate_id")).distinct(), "duplicate_id", "left_semi").select("canonical_id").distinct()
         out.append(stored(rest.join(waiting, "canonical_id", "left_anti"), "merge-level"))
@@ -58,7 +62,8 @@ def levels(pairs: DataFrame) -> list[DataFrame]:
 
 def _by_levels(rows: DataFrame, pairs: DataFrame, key: str, fold: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """rows after fold(rows, pairs of a level) for each level; rows of jobs that take no part go past the levels."""
-    steps = levels(pairs)
+    pairs = checked(pairs)  # stored: it is read for the levels and twice for the jobs that take part
+    steps = _levels(pairs)
     if len(steps) < 2:
         return fold(rows, steps[0] if steps else pairs.limit(0))
     part = pairs.select(F.col("canonical_id").alias(key)).union(pairs.select("duplicate_id")).distinct()

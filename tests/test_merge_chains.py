@@ -109,3 +109,19 @@ def test_merges_of_jobs_that_are_gone_are_refused(spark):
         with pytest.raises(ValueError):
             merge.survivors(spark.createDataFrame(pairs, "canonical_id string, duplicate_id string, seq long"))
     assert merge.survivors(spark.createDataFrame([("a", "a", 1)], "canonical_id string, duplicate_id string, seq long")).count() == 0
+
+
+def test_merges_are_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    rows = [("a", "b", 2), ("b", "c", 1), ("a", "d", 3)]
+
+    def made(pairs):
+        for p in pairs:
+            seen.add(len(p))
+            yield p
+
+    schema = "canonical_id string, duplicate_id string, seq long"
+    pairs = spark.createDataFrame(rows, schema).mapInPandas(made, schema)
+    messages = spark.createDataFrame([(j, "x", "r", "sent", 0, "", START, "", START, START) for j in "abcd"], "job_id string, channel string, recipient string, status string, attempts int, claim_owner string, next_attempt_at timestamp, last_error string, created_at timestamp, sent_at timestamp")
+    assert [(r.job_id, r.status) for r in merge.merge_deliveries(messages, pairs).collect()] == [("a", "sent")]
+    assert seen.value == len(rows)
