@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,8 +41,14 @@ def feed_company(c: Column) -> Column:
 
 def company_key(c: Column) -> Column:
     """canonical_text without trailing legal suffixes (the first word always stays) and without spaces."""
-    suffix = "|".join(LEGAL_SUFFIXES)
-    return F.replace(F.regexp_replace(canonical_text(c), f"^(.+?)( (?:{suffix}))+$", "$1"), F.lit(" "))
+    return once(canonical_text(c), company_key_of)
+
+
+def company_key_of(text: Column) -> Column:
+    """company_key of a text that is canonical already."""
+    ends = reduce(or_, (text.endswith(f" {s}") for s in LEGAL_SUFFIXES))
+    cut = F.regexp_replace(text, f"^(.+?)( (?:{'|'.join(LEGAL_SUFFIXES)}))+$", "$1")
+    return F.replace(F.when(ends, cut).otherwise(text), F.lit(" "))
 
 
 def has_phrase(padded: Column, phrases: tuple[str, ...] | list[str]) -> Column:

@@ -112,14 +112,16 @@ def route_of(url: Column) -> Column:
     return found
 
 
-def identity_keys(canonical: Column) -> Column:
+def identity_keys(canonical: Column, company: Column | None = None) -> Column:
     """Keys of an observation, strongest first: native id, requisition, company with URL, URL; a weak one only for lack of all.
 
-    Reads source_id, source_native_id, company, title, location; canonical is the canonical URL. Null without company or title.
+    Reads source_id, source_native_id, company, title, location; canonical is the canonical URL, and company the canonical text of
+    the company where that is at hand. Null without company or title.
     """
+    native = F.trim(F.coalesce("source_native_id", F.lit("")))
     told = F.struct(
-        *(canonical_text(F.col(c)).alias(n) for c, n in (("company", "company"), ("title", "title"), ("source_id", "source"))), F.trim(F.coalesce("source_native_id", F.lit(""))).alias("native"),
-        F.lower(F.regexp_extract(canonical, UUID, 0)).alias("uuid"), canonical.alias("url"),
+        (canonical_text(F.col("company")) if company is None else company).alias("company"), F.lower("title").rlike("[\\p{L}\\p{N}]").alias("titled"),
+        F.when(native != "", canonical_text(F.col("source_id"))).alias("source"), native.alias("native"), F.lower(F.regexp_extract(canonical, UUID, 0)).alias("uuid"), canonical.alias("url"),
     )
 
     def read(t: Column) -> Column:
@@ -131,8 +133,8 @@ def identity_keys(canonical: Column) -> Column:
                 F.when(t["url"] != "", F.concat(F.lit("url:"), t["url"])),
             )
         )
-        weak = F.array(F.concat(F.lit("posting:"), t["company"], F.lit("|"), t["title"], F.lit("|"), canonical_text(F.col("location"))))
-        return F.when((t["company"] != "") & (t["title"] != ""), once(keys, lambda k: F.when(F.size(k) > 0, k).otherwise(weak)))
+        weak = F.array(F.concat(F.lit("posting:"), t["company"], F.lit("|"), canonical_text(F.col("title")), F.lit("|"), canonical_text(F.col("location"))))
+        return F.when((t["company"] != "") & t["titled"], once(keys, lambda k: F.when(F.size(k) > 0, k).otherwise(weak)))
 
     # values of a lambda stay one: each is used several times
     return once(told, read)
